@@ -6,109 +6,81 @@ Dates are ``timestamp_ntz``, so no result depends on the session time zone.
 from __future__ import annotations
 
 import datetime as dt
-from itertools import chain
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bizmetrics.functions.text import strip
-
-# Shapes that are read, with the ISO spellings they may stand for, in order of
-# preference: slashes are month first, dashes day first. A closed list: any other
-# spelling is null and shows up in the data-quality table.
-_SHAPES = [
-    (r"^(\d{1,2})-(\d{1,2})-(\d{4})$", ["$3-$2-$1", "$3-$1-$2"]),
-    (r"^(\d{1,2})/(\d{1,2})/(\d{4})$", ["$3-$1-$2", "$3-$2-$1"]),
-    (r"^(\d{4})/(\d{1,2})/(\d{1,2})$", ["$1-$2-$3"]),
-    (r"^(\d{4})(\d{2})(\d{2})$", ["$1-$2-$3"]),
-]
-_SHORT_YEAR = r"^(\d{1,2})/(\d{1,2})/(\d{2})$"
+# A closed list of shapes: any other spelling is null and shows up in the data-quality
+# table. Each is recognised by its pattern and rewritten to ISO, so no row pays for a
+# chain of failing parsers.
 _ISO = (
-    r"^\d{4}(-\d{1,2}(-\d{1,2}([ T]\d{1,2}:\d{1,2}(:\d{1,2}(\.\d{1,9})?)?"
+    r"^\d{4}([-/]\d{1,2}([-/]\d{1,2}([ T]\d{1,2}:\d{1,2}(:\d{1,2}(\.\d{1,9})?)?"
     r" ?(Z|[+-]\d{2}:?\d{2})?)?)?)?$"
 )
-_MONTH_FIRST = r"^([A-Za-z]{3,9}) +(\d{1,2}), *(\d{4})$"
-_DAY_FIRST = r"^(\d{1,2})[ -]([A-Za-z]{3,9})[ -](\d{4}|\d{2})$"
+_YEAR_LAST = r"^(\d{1,2})([-/])(\d{1,2})\2(\d{4})$"
+_COMPACT = r"^(\d{4})(\d{2})(\d{2})$"
+_SHORT_YEAR = r"^(\d{1,2})/(\d{1,2})/(\d{2})$"
+_MONTHS = (
+    r"(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?"
+    r"|sep(?:tember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
+)
+_MONTH_FIRST = rf"(?i)^{_MONTHS} +(\d{{1,2}}), *(\d{{4}})$"
+_DAY_FIRST = rf"(?i)^(\d{{1,2}})[ -]{_MONTHS}[ -](\d{{4}}|\d{{2}})$"
 
-_MONTHS = [
-    "january", "february", "march", "april", "may", "june", "july", "august",
-    "september", "october", "november", "december",
-]
 
+def _ntz(text: str) -> str:
+    return f"try_cast({text} AS TIMESTAMP_NTZ)"
 
-def _ntz(c: Column) -> Column:
-    return c.try_cast("timestamp_ntz")
 
+def _rewrite(c: str, shape: str, to: str) -> str:
+    return f"regexp_replace({c}, r'{shape}', '{to}')"
 
-def _full_year(yy: Column) -> Column:
-    # two-digit years: 69-99 are 19yy, the rest 20yy
-    return F.when(F.length(yy) == 4, yy).otherwise(
-        F.concat(F.when(yy >= "69", F.lit("19")).otherwise(F.lit("20")), yy)
-    )
+
+def _group(c: str, shape: str, i: int) -> str:
+    return f"regexp_extract({c}, r'{shape}', {i})"
 
 
-def _month_number(name: Column) -> Column:
-    spellings = {}
-    for i, month in enumerate(_MONTHS, 1):
-        spellings[month] = str(i)
-        spellings[month[:3]] = str(i)
-    table = F.create_map(*[F.lit(x) for x in chain.from_iterable(spellings.items())])
-    return F.try_element_at(table, F.lower(name))
+def _full_year(year: str) -> str:
+    # two-digit years: 69-99 are 19yy, the rest 20yy
+    century = f"CASE WHEN length({year}) = 4 THEN '' WHEN {year} >= '69' THEN '19' ELSE '20' END"
+    return f"concat({century}, {year})"
 
 
-def _named(c: Column, shape: str, year: int, month: int, day: int) -> Column:
-    part = lambda i: F.regexp_extract(c, shape, i)
+def _named(c: str, shape: str, year: int, month: int, day: int) -> str:
+    name = f"lower(substr({_group(c, shape, month)}, 1, 3))"
+    number = f"(locate({name}, 'janfebmaraprmayjunjulaugsepoctnovdec') + 2) DIV 3"
     return _ntz(
-        F.concat_ws(
-            "-",
-            _full_year(part(year)),
-            F.coalesce(_month_number(part(month)), F.lit("x")),
-            part(day),
-        )
+        f"concat_ws('-', {_full_year(_group(c, shape, year))}, "
+        f"CAST({number} AS STRING), {_group(c, shape, day)})"
     )
 
 
-def parse_date(c: Column, dtype: T.DataType | None = None) -> Column:
-    """Read a date cell; a typed date or timestamp column is cut to midnight.
+def parse_date(c: str, dtype: T.DataType | None = None) -> str:
+    """Read a stripped date cell; a typed date or timestamp column is cut to midnight.
 
-    Each shape is recognised by its pattern first and rewritten to ISO, so no row
-    pays for a chain of failing parsers.
+    Slashes are month first, dashes day first; if that is no date, the other way round.
     """
     if isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-        return c.cast("date").cast("timestamp_ntz")
-    text = strip(c)
-    out = F.when(text.rlike(_ISO), _ntz(text))
-    for shape, rewrites in _SHAPES:
-        tries = [_ntz(F.regexp_replace(text, shape, r)) for r in rewrites]
-        out = out.when(text.rlike(shape), F.coalesce(*tries))
-    out = out.when(
-        text.rlike(_SHORT_YEAR),
-        _ntz(
-            F.concat_ws(
-                "-",
-                _full_year(F.regexp_extract(text, _SHORT_YEAR, 3)),
-                F.regexp_extract(text, _SHORT_YEAR, 1),
-                F.regexp_extract(text, _SHORT_YEAR, 2),
-            )
-        ),
+        return f"CAST(CAST({c} AS DATE) AS TIMESTAMP_NTZ)"
+    month_first = _ntz(_rewrite(c, _YEAR_LAST, "$4-$1-$3"))
+    day_first = _ntz(_rewrite(c, _YEAR_LAST, "$4-$3-$1"))
+    short = f"concat_ws('-', {_full_year(_group(c, _SHORT_YEAR, 3))}, " + (
+        f"{_group(c, _SHORT_YEAR, 1)}, {_group(c, _SHORT_YEAR, 2)})"
+    )
+    return (
+        f"CASE WHEN {c} IS NULL OR {c} = '' THEN NULL "
+        f"WHEN {c} RLIKE r'{_ISO}' THEN {_ntz(f"translate({c}, '/', '-')")} "
+        f"WHEN {c} RLIKE r'{_YEAR_LAST}' THEN CASE WHEN contains({c}, '/') "
+        f"THEN coalesce({month_first}, {day_first}) "
+        f"ELSE coalesce({day_first}, {month_first}) END "
+        f"WHEN {c} RLIKE r'{_COMPACT}' THEN {_ntz(_rewrite(c, _COMPACT, '$1-$2-$3'))} "
+        f"WHEN {c} RLIKE r'{_SHORT_YEAR}' THEN {_ntz(short)} "
+        f"WHEN {c} RLIKE r'{_MONTH_FIRST}' THEN {_named(c, _MONTH_FIRST, 3, 1, 2)} "
+        f"WHEN {c} RLIKE r'{_DAY_FIRST}' THEN {_named(c, _DAY_FIRST, 3, 2, 1)} END"
     )
-    out = out.when(text.rlike(_MONTH_FIRST), _named(text, _MONTH_FIRST, 3, 1, 2))
-    return out.when(text.rlike(_DAY_FIRST), _named(text, _DAY_FIRST, 3, 2, 1))
-
-
-def month_label(c: Column) -> Column:
-    return F.date_format(c, "yyyy-MM")
-
-
-def month_bounds(as_of: dt.date) -> tuple[dt.date, dt.date]:
-    lo = dt.date(as_of.year, as_of.month, 1)
-    return lo, _add_months(lo, 1)
 
 
-def quarter_bounds(as_of: dt.date) -> tuple[dt.date, dt.date]:
-    lo = dt.date(as_of.year, (as_of.month - 1) // 3 * 3 + 1, 1)
-    return lo, _add_months(lo, 3)
+def month_label(c: str) -> str:
+    return f"date_format({c}, 'yyyy-MM')"
 
 
 def current_quarter(as_of: dt.date) -> tuple[int, int]:
@@ -121,15 +93,27 @@ def _add_months(day: dt.date, n: int) -> dt.date:
     return dt.date(months // 12, months % 12 + 1, 1)
 
 
-def within(c: Column, bounds: tuple[dt.date, dt.date]) -> Column:
-    """Half-open range on the column itself, so that the scan can use it. Null is outside."""
-    lo, hi = (F.lit(d.isoformat()).cast("timestamp_ntz") for d in bounds)
-    return F.coalesce((c >= lo) & (c < hi), F.lit(False))
+def month_bounds(as_of: dt.date) -> tuple[dt.date, dt.date]:
+    lo = dt.date(as_of.year, as_of.month, 1)
+    return lo, _add_months(lo, 1)
+
+
+def quarter_bounds(as_of: dt.date) -> tuple[dt.date, dt.date]:
+    quarter, year = current_quarter(as_of)
+    lo = dt.date(year, quarter * 3 - 2, 1)
+    return lo, _add_months(lo, 3)
+
+
+def within(c: str, bounds: tuple[dt.date, dt.date]) -> str:
+    """Half-open range on the column itself, so that the scan can use it. In a filter,
+    null is outside."""
+    lo, hi = (f"TIMESTAMP_NTZ '{d.isoformat()}'" for d in bounds)
+    return f"({c} >= {lo} AND {c} < {hi})"
 
 
-def in_month(c: Column, as_of: dt.date) -> Column:
+def in_month(c: str, as_of: dt.date) -> str:
     return within(c, month_bounds(as_of))
 
 
-def in_quarter(c: Column, as_of: dt.date) -> Column:
+def in_quarter(c: str, as_of: dt.date) -> str:
     return within(c, quarter_bounds(as_of))

@@ -2,40 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from bizmetrics import config
+from bizmetrics.functions.text import literal
 
 CRORE = 10_000_000
 LAKH = 100_000
 
 
-def fixed(c: Column, digits: int) -> Column:
+def fixed(c: str, digits: int) -> str:
     """``%.nf`` without thousands separators; rounds the binary value, ties to even."""
-    return F.replace(F.format_number(c, digits), F.lit(","), F.lit(""))
+    return f"replace(format_number({c}, {digits}), ',', '')"
 
 
-def format_currency(c: Column, symbol: str = config.CURRENCY_SYMBOL) -> Column:
+def format_currency(c: str, symbol: str = config.CURRENCY_SYMBOL) -> str:
     """Indian notation: crore, lakh, thousands, plain. The sign follows the symbol."""
-    size = F.abs(c)
-    text = (
-        F.when(size >= CRORE, F.concat(fixed(c / CRORE, 2), F.lit(" Cr")))
-        .when(size >= LAKH, F.concat(fixed(c / LAKH, 2), F.lit(" L")))
-        .when(size >= 1_000, F.concat(fixed(c / 1_000, 1), F.lit("K")))
-        .otherwise(F.format_number(c, 2))
+    return (
+        f"concat({literal(symbol)}, CASE "
+        f"WHEN abs({c}) >= {CRORE} THEN concat({fixed(f'{c} / {CRORE}D', 2)}, ' Cr') "
+        f"WHEN abs({c}) >= {LAKH} THEN concat({fixed(f'{c} / {LAKH}D', 2)}, ' L') "
+        f"WHEN abs({c}) >= 1000 THEN concat({fixed(f'{c} / 1000D', 1)}, 'K') "
+        f"ELSE format_number({c}, 2) END)"
     )
-    return F.concat(F.lit(symbol), text)
 
 
-def kpi_label(metric: Column) -> Column:
-    return F.initcap(F.replace(metric, F.lit("_"), F.lit(" ")))
+def kpi_label(metric: str) -> str:
+    return f"initcap(replace({metric}, '_', ' '))"
 
 
-def kpi_display(value: Column, unit: Column) -> Column:
+def kpi_display(value: str, unit: str) -> str:
     """By unit, not by size: an average below 1000 stays money."""
     return (
-        F.when(unit == "money", format_currency(value))
-        .when(unit == "percent", F.concat(fixed(value, 1), F.lit("%")))
-        .when(unit == "count", value.cast("bigint").cast("string"))
+        f"CASE {unit} WHEN 'money' THEN {format_currency(value)} "
+        f"WHEN 'percent' THEN concat({fixed(value, 1)}, '%') "
+        f"WHEN 'count' THEN CAST(CAST({value} AS BIGINT) AS STRING) END"
     )

@@ -1,46 +1,49 @@
-"""Category normalisers: free text in, vocabulary out."""
+"""Category normalisers: stripped free text in, vocabulary out."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from bizmetrics import config
-from bizmetrics.functions.text import lookup, missing, strip, title_case
-
+from bizmetrics.functions.text import (
+    find,
+    literal,
+    strip,
+    title_case,
+    unless_missing,
+)
 
-def _unless_missing(c: Column, value: Column) -> Column:
-    return F.when(missing(c), F.lit(config.UNKNOWN)).otherwise(value)
 
-
-def sector(c: Column, aliases: dict[str, str] | None = None) -> Column:
+def sector(c: str, aliases: dict[str, str] | None = None) -> str:
     """Lower case, only letters, digits, ``_ & /`` and spaces, then the alias table.
 
-    Text made of other characters only ends as ``''``, not as ``unknown``.
+    Text made of other characters only ends as ``''``, not as ``unknown``. Aliases hold
+    none of the removed characters, so a direct hit needs no clean-up.
     """
-    word = F.regexp_replace(
-        F.lower(strip(c)), r"(?U)[^\p{L}\p{N}_\s\x1c-\x1f&/]", ""
+    aliases = aliases or config.SECTOR_ALIASES
+    word = strip(
+        rf"regexp_replace(lower({c}), r'(?U)[^\p{{L}}\p{{N}}_\s\x1c-\x1f&/]', '')"
+    )
+    return unless_missing(
+        c, f"coalesce({find(f'lower({c})', aliases)}, {find(word, aliases)}, {word})"
     )
-    word = strip(word)
-    return _unless_missing(c, lookup(word, aliases or config.SECTOR_ALIASES, word))
 
 
-def deal_status(c: Column) -> Column:
+def deal_status(c: str) -> str:
     """Known words map to one spelling; others keep their own."""
-    text = strip(c)
-    return _unless_missing(c, lookup(F.lower(text), config.DEAL_STATUSES, text))
+    return unless_missing(
+        c, f"coalesce({find(f'lower({c})', config.DEAL_STATUSES)}, {c})"
+    )
 
 
-def probability(c: Column) -> Column:
-    text = F.lower(strip(c))
-    return _unless_missing(c, lookup(text, config.PROBABILITIES, title_case(text)))
+def probability(c: str) -> str:
+    return unless_missing(
+        c, f"coalesce({find(f'lower({c})', config.PROBABILITIES)}, {title_case(c)})"
+    )
 
 
-def execution_status(c: Column) -> Column:
-    text = strip(c)
-    low = F.lower(text)
-    value = F.when(
-        F.startswith(low, F.lit(config.EXECUTED_UNTIL_PREFIX)),
-        F.lit(config.EXECUTED_UNTIL),
-    ).otherwise(lookup(low, config.EXECUTION_STATUSES, text))
-    return _unless_missing(c, value)
+def execution_status(c: str) -> str:
+    known = find(f"lower({c})", config.EXECUTION_STATUSES)
+    value = (
+        f"CASE WHEN startswith(lower({c}), {literal(config.EXECUTED_UNTIL_PREFIX)}) "
+        f"THEN {literal(config.EXECUTED_UNTIL)} ELSE coalesce({known}, {c}) END"
+    )
+    return unless_missing(c, value)

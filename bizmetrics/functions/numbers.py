@@ -2,93 +2,100 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bizmetrics import config
 from bizmetrics.functions.display import fixed
+from bizmetrics.functions.text import literal
 
 # Amounts of this size are entry errors, like infinity: they count as 0 and are reported.
-MONEY_LIMIT = 1e15
+MONEY_LIMIT = "1e15D"
 
-_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+# Up to 15 digits before the point: always in range. The wider pattern keeps out
+# spellings that only the JVM takes for a number (1d, 0x1p3).
+_COMMON = r"r'^[+-]?\d{1,15}(\.\d*)?$'"
+_NUMBER = r"r'^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$'"
+_INFINITE = r"r'(?i)^[+-]?inf(inity)?$'"
 
 
-def _as_double(c: Column, dtype: T.DataType | None) -> Column:
-    if isinstance(dtype, T.NumericType):
-        return c.cast("double")
-    # Currency signs, thousands separators and white space go, wherever they are;
-    # an underscore between digits is a separator as well.
-    plain = F.translate(c, config.CURRENCY_SYMBOL + "$," + config.WHITESPACE, "")
-    plain = F.when(
-        F.contains(plain, F.lit("_")), F.regexp_replace(plain, r"(?<=\d)_(?=\d)", "")
-    ).otherwise(plain)
-    # The pattern keeps out spellings that only the JVM takes for a number (1d, 0x1p3).
-    return F.when(plain.rlike(_NUMBER), plain.try_cast("double"))
-
-
-def money(c: Column, dtype: T.DataType | None = None) -> Column:
+def _plain(c: str) -> str:
+    """Without currency signs, thousands separators and white space, wherever they are;
+    an underscore between digits is a separator as well."""
+    drop = literal(config.CURRENCY_SYMBOL + "$," + config.WHITESPACE)
+    return rf"regexp_replace(translate({c}, {drop}, ''), r'(?<=\d)_(?=\d)', '')"
+
+
+def money(c: str, dtype: T.DataType | None = None) -> str:
     """Amount as double; null, unreadable and non-finite text count as 0."""
-    value = _as_double(c, dtype)
-    return F.when(F.abs(value) < F.lit(MONEY_LIMIT), value).otherwise(F.lit(0.0))
+    if isinstance(dtype, T.NumericType):
+        value = f"CAST({c} AS DOUBLE)"
+        return f"CASE WHEN abs({value}) < {MONEY_LIMIT} THEN {value} ELSE 0D END"
+    plain = _plain(c)
+    value = f"try_cast({plain} AS DOUBLE)"
+    return (
+        f"CASE WHEN {c} RLIKE {_COMMON} THEN try_cast({c} AS DOUBLE) "
+        f"WHEN {plain} RLIKE {_COMMON} THEN {value} "
+        f"WHEN {plain} RLIKE {_NUMBER} AND abs({value}) < {MONEY_LIMIT} THEN {value} "
+        "ELSE 0D END"
+    )
 
 
-def non_finite(c: Column, dtype: T.DataType | None = None) -> Column:
+def non_finite(c: str, dtype: T.DataType | None = None) -> str:
     """True for amounts that `money` sets to 0 for being out of range."""
     if isinstance(dtype, T.NumericType):
-        return F.coalesce(F.abs(c.cast("double")) >= F.lit(MONEY_LIMIT), F.lit(False))
-    word = F.translate(c, config.CURRENCY_SYMBOL + "$," + config.WHITESPACE, "")
-    return F.coalesce(
-        word.rlike("(?i)^[+-]?inf(inity)?$")
-        | (F.abs(_as_double(c, dtype)) >= F.lit(MONEY_LIMIT)),
-        F.lit(False),
+        return f"coalesce(abs(CAST({c} AS DOUBLE)) >= {MONEY_LIMIT}, false)"
+    plain = _plain(c)
+    return (
+        f"CASE WHEN {c} IS NULL OR {c} RLIKE {_COMMON} THEN false "
+        f"WHEN {plain} RLIKE {_INFINITE} THEN true WHEN {plain} RLIKE {_NUMBER} "
+        f"THEN abs(try_cast({plain} AS DOUBLE)) >= {MONEY_LIMIT} ELSE false END"
     )
 
 
-def clamp(c: Column) -> Column:
+def clamp(c: str) -> str:
     """Negative amounts are entry errors and become 0."""
-    return F.greatest(c, F.lit(0.0))
+    return f"greatest({c}, 0D)"
 
 
-def enforce_double(c: Column) -> Column:
+def enforce_double(c: str) -> str:
     """Numeric or 0: unreadable, null and NaN become 0."""
-    return F.coalesce(F.nanvl(c.try_cast("double"), F.lit(0.0)), F.lit(0.0))
+    return f"coalesce(nanvl(try_cast({c} AS DOUBLE), 0D), 0D)"
 
 
-def exact_total(c: Column, where: Column | None = None) -> Column:
+def exact_total(c: str, where: str | None = None) -> str:
     """Exact decimal total, amounts taken at four decimals; null when nothing was added.
 
     A double sum changes with partitioning, task retries and merge order; a decimal sum
     does not, but costs eight times as much. So each amount is split into hundreds and
     ten-thousandths, both are summed as longs, and the decimal is built once per group.
     """
-    amount = c if where is None else F.when(where, c)
-    hundreds = F.floor(amount / F.lit(100.0))
-    rest = F.rint((amount - hundreds * F.lit(100.0)) * F.lit(10000.0)).cast("bigint")
-    whole = F.sum(hundreds).cast("decimal(20,0)") * F.lit(100).cast("decimal(3,0)")
-    return whole + F.sum(rest).cast("decimal(20,0)") * F.expr("0.0001BD")
+    only = f" FILTER (WHERE {where})" if where else ""
+    hundreds = f"floor({c} / 100D)"
+    rest = f"CAST(rint(({c} - {hundreds} * 100D) * 10000D) AS BIGINT)"
+    return (
+        f"(CAST(sum({hundreds}){only} AS DECIMAL(20,0)) * 100BD"
+        f" + CAST(sum({rest}){only} AS DECIMAL(20,0)) * 0.0001BD)"
+    )
 
 
-def exact_sum(c: Column, where: Column | None = None) -> Column:
+def exact_sum(c: str, where: str | None = None) -> str:
     """`exact_total` as double; 0 when nothing was added."""
-    return F.coalesce(exact_total(c, where).cast("double"), F.lit(0.0))
+    return f"coalesce(CAST({exact_total(c, where)} AS DOUBLE), 0D)"
 
 
-def exact_average(c: Column) -> Column:
-    return exact_total(c).cast("double") / F.count(c)
+def exact_average(c: str) -> str:
+    return f"CAST({exact_total(c)} AS DOUBLE) / count({c})"
 
 
-def round_half_even(c: Column, digits: int) -> Column:
+def round_half_even(c: str, digits: int) -> str:
     """Round the binary value itself, ties to even, as ``%.nf`` formatting does.
 
     ``round`` works on the printed decimal, ties up, and differs on values like 1.005.
     """
-    return fixed(c, digits).cast("double")
+    return f"CAST({fixed(c, digits)} AS DOUBLE)"
 
 
-def percent(part: Column, whole: Column) -> Column:
+def percent(part: str, whole: str) -> str:
     """Percentage with one decimal; 0 when there is nothing to divide by."""
-    return F.when(whole > 0, round_half_even(part / whole * F.lit(100.0), 1)).otherwise(
-        F.lit(0.0)
-    )
+    ratio = round_half_even(f"({part}) / ({whole}) * 100D", 1)
+    return f"CASE WHEN ({whole}) > 0 THEN {ratio} ELSE 0D END"

@@ -1,45 +1,64 @@
-"""Text expressions: stripping, blanks, vocabulary lookups."""
+"""Stripping, blanks, vocabulary lookups."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from bizmetrics import config
 
 
-def strip(c: Column) -> Column:
+def literal(s: str) -> str:
+    """A SQL string literal."""
+    escaped = s.replace("\\", "\\\\").replace("'", "\\'")
+    plain = "".join(c if c.isprintable() else f"\\u{ord(c):04x}" for c in escaped)
+    return f"'{plain}'"
+
+
+_WHITESPACE = literal(config.WHITESPACE)
+
+
+def strip(c: str) -> str:
     """Remove white space of any kind at both ends (``trim`` alone knows only spaces)."""
-    return F.btrim(c, F.lit(config.WHITESPACE))
+    t = f"trim({c})"
+    return (
+        f"CASE WHEN ascii({t}) BETWEEN 33 AND 126 AND ascii(substr({t}, -1, 1)) "
+        f"BETWEEN 33 AND 126 THEN {t} ELSE btrim({c}, {_WHITESPACE}) END"
+    )
 
 
-def is_blank(c: Column) -> Column:
+def is_blank(c: str) -> str:
     """True for text without visible characters; null for null."""
-    return strip(c) == F.lit("")
+    return (
+        f"(NOT ascii(ltrim({c})) BETWEEN 33 AND 126 AND btrim({c}, {_WHITESPACE}) = '')"
+    )
 
 
-def missing(c: Column) -> Column:
+def missing(c: str) -> str:
     """Null or blank, never null itself."""
-    return c.isNull() | F.coalesce(is_blank(c), F.lit(False))
+    return f"({c} IS NULL OR {is_blank(c)})"
 
 
-def null_tokens(c: Column, tokens: list[str] | None = None) -> Column:
+def null_tokens(c: str, tokens: list[str] | None = None) -> str:
     """Map the spellings of "no value" to null; compares the cell exactly as it is."""
-    return F.when(~c.isin(list(tokens or config.NULL_TOKENS)), c)
+    words = ", ".join(literal(t) for t in tokens or config.NULL_TOKENS)
+    return f"CASE WHEN {c} NOT IN ({words}) THEN {c} END"
+
+
+def find(c: str, mapping: dict[str, str]) -> str:
+    """Literal map lookup, null if absent. The maps are vocabularies of some dozen words."""
+    pairs = ", ".join(f"{literal(k)}, {literal(v)}" for k, v in mapping.items())
+    return f"try_element_at(map({pairs}), {c})"
 
 
-def lookup(c: Column, mapping: dict[str, str], otherwise: Column) -> Column:
-    """Literal map lookup. The maps are vocabularies of a few dozen words."""
-    entries = [F.lit(x) for pair in mapping.items() for x in pair]
-    return F.coalesce(F.try_element_at(F.create_map(*entries), c), otherwise)
+def unless_missing(c: str, value: str) -> str:
+    """``unknown`` for a stripped cell without text."""
+    return f"CASE WHEN {c} IS NULL OR {c} = '' THEN {literal(config.UNKNOWN)} ELSE {value} END"
 
 
-def fill_categorical(c: Column) -> Column:
+def fill_categorical(c: str) -> str:
     """Null or blank becomes ``unknown``; any other value is left untouched."""
-    return F.when(missing(c), F.lit(config.UNKNOWN)).otherwise(c)
+    return f"CASE WHEN {missing(c)} THEN {literal(config.UNKNOWN)} ELSE {c} END"
 
 
-def title_case(c: Column) -> Column:
+def title_case(c: str) -> str:
     """Capital after every non-letter (``n/a`` -> ``N/A``); ``initcap`` looks at spaces only."""
-    runs = F.regexp_extract_all(F.lower(c), F.lit(r"(\p{L}+|[^\p{L}]+)"), F.lit(1))
-    return F.array_join(F.transform(runs, F.initcap), "")
+    runs = rf"regexp_extract_all(lower({c}), r'(\p{{L}}+|[^\p{{L}}]+)', 1)"
+    return f"array_join(transform({runs}, w -> initcap(w)), '')"

@@ -7,7 +7,7 @@ before stripping and number parsing.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 
 from bizmetrics import config
 from bizmetrics.functions import normalize, numbers
@@ -32,17 +32,10 @@ def _text_columns(
     ]
 
 
-def _apply(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
-    """One projection; columns without a rule pass through unchanged."""
-    return df.select(
-        *[rules[c].alias(c) if c in rules else filters.quoted(c) for c in df.columns]
-    )
-
-
-def deal_rules(df: DataFrame) -> dict[str, Column]:
-    """Expressions over stripped raw deals, for the columns that exist."""
+def deal_rules(df: DataFrame) -> dict[str, str]:
+    """SQL texts over stripped raw deals, for the columns that exist."""
     kind = {f.name: f.dataType for f in df.schema.fields}
-    rules: dict[str, Column] = {}
+    rules: dict[str, str] = {}
     for c in kind:
         col = filters.quoted(c)
         if c == "sector":
@@ -52,7 +45,7 @@ def deal_rules(df: DataFrame) -> dict[str, Column]:
         elif c in config.DEAL_MONEY:
             rules[c] = numbers.clamp(numbers.money(col, kind[c]))
         elif c == "deal_status":
-            rules[c] = fill_categorical(normalize.deal_status(col))
+            rules[c] = normalize.deal_status(col)
         elif c == "closure_probability":
             rules[c] = normalize.probability(col)
         elif c in config.DEAL_CATEGORICALS:
@@ -60,9 +53,9 @@ def deal_rules(df: DataFrame) -> dict[str, Column]:
     return rules
 
 
-def work_order_rules(df: DataFrame) -> dict[str, Column]:
+def work_order_rules(df: DataFrame) -> dict[str, str]:
     kind = {f.name: f.dataType for f in df.schema.fields}
-    rules: dict[str, Column] = {}
+    rules: dict[str, str] = {}
     for c in kind:
         col = filters.quoted(c)
         if c == "sector":
@@ -100,7 +93,7 @@ def clean_deals(
     df = filters.drop_header_rows(df)
     df = filters.strip_strings(df)
     df = filters.drop_blank_names(df)
-    return _apply(df.drop(*order_by), deal_rules(df))
+    return filters.apply_rules(df.drop(*order_by), deal_rules(df))
 
 
 def distinct_work_orders(
@@ -122,12 +115,12 @@ def clean_work_orders(
     months stay text."""
     df = distinct_work_orders(raw, order_by, numeric_columns)
     df = filters.strip_strings(df)
-    return _apply(df.drop(*order_by), work_order_rules(df))
+    return filters.apply_rules(df.drop(*order_by), work_order_rules(df))
 
 
 def enforce_types(df: DataFrame, columns: list[str]) -> DataFrame:
     """Named columns as double, anything unreadable as 0."""
-    return _apply(
+    return filters.apply_rules(
         df,
         {
             c: numbers.enforce_double(filters.quoted(c))

@@ -6,7 +6,7 @@ that holds a third of the table still sends at most one row per task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bizmetrics.operators.filters import quoted
@@ -14,11 +14,12 @@ from bizmetrics.operators.filters import quoted
 _RANK = "__copy_rank"
 
 
-def key_expressions(keys: list[str], numeric_columns: list[str] = ()) -> list[Column]:
+def key_expressions(keys: list[str], numeric_columns: list[str] = ()) -> list[str]:
     """Raw text compares as it is (`` A`` is not ``A``, nulls are equal); columns that
     hold only numbers compare by value, so ``1000`` is ``1000.0``."""
     return [
-        quoted(k).try_cast("double") if k in numeric_columns else quoted(k) for k in keys
+        f"try_cast({quoted(k)} AS DOUBLE)" if k in numeric_columns else quoted(k)
+        for k in keys
     ]
 
 
@@ -37,12 +38,12 @@ def keep_first(
     keys = [k for k in keys if k in df.columns]
     if not keys:
         return drop_full_duplicates(df, order_by)
-    window = Window.partitionBy(*key_expressions(keys, numeric_columns)).orderBy(
-        *[quoted(c) for c in order_by]
-    )
+    window = Window.partitionBy(
+        *[F.expr(k) for k in key_expressions(keys, numeric_columns)]
+    ).orderBy(*[quoted(c) for c in order_by])
     return (
         df.withColumn(_RANK, F.row_number().over(window))
-        .filter(F.col(_RANK) == 1)
+        .filter(f"{_RANK} = 1")
         .drop(_RANK)
     )
 
@@ -70,7 +71,8 @@ def collapse_copies(
         c for c in df.columns if c not in order_by
     ]
     key_columns = [
-        e.alias(f"__key{i}") for i, e in enumerate(key_expressions(keys, numeric_columns))
+        F.expr(e).alias(f"__key{i}")
+        for i, e in enumerate(key_expressions(keys, numeric_columns))
     ]
     first = F.min_by(
         F.struct(*[quoted(c) for c in carry]), F.struct(*[quoted(c) for c in order_by])

@@ -6,73 +6,65 @@ aggregate.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bizmetrics import config
 from bizmetrics.functions.numbers import exact_sum, percent
 
 
-def _positive(column: str) -> Column:
-    return exact_sum(F.col(column), F.col(column) > 0)
+def _positive(column: str) -> str:
+    return exact_sum(column, f"{column} > 0")
 
 
-def billed_column() -> Column:
-    return _positive("billed_value")
-
-
-def collected_column() -> Column:
-    return _positive("collected_amount")
-
-
-def receivable_column() -> Column:
-    return _positive("amount_receivable")
+BILLED = _positive("billed_value")
+COLLECTED = _positive("collected_amount")
+RECEIVABLE = _positive("amount_receivable")
+COLLECTION_RATE = percent(COLLECTED, BILLED)
+OUTSTANDING_RATIO = percent(RECEIVABLE, BILLED)
 
 
 def total_billed(work_orders: DataFrame) -> DataFrame:
-    return work_orders.filter(F.col("billed_value") > 0).agg(
-        billed_column().alias("total_billed")
-    )
+    return work_orders.filter("billed_value > 0").selectExpr(f"{BILLED} AS total_billed")
 
 
 def total_collected(work_orders: DataFrame) -> DataFrame:
-    return work_orders.filter(F.col("collected_amount") > 0).agg(
-        collected_column().alias("total_collected")
+    return work_orders.filter("collected_amount > 0").selectExpr(
+        f"{COLLECTED} AS total_collected"
     )
 
 
 def total_receivable(work_orders: DataFrame) -> DataFrame:
-    return work_orders.filter(F.col("amount_receivable") > 0).agg(
-        receivable_column().alias("total_receivable")
+    return work_orders.filter("amount_receivable > 0").selectExpr(
+        f"{RECEIVABLE} AS total_receivable"
     )
 
 
 def collection_rate(work_orders: DataFrame) -> DataFrame:
-    return work_orders.agg(
-        percent(collected_column(), billed_column()).alias("collection_rate")
-    )
+    return work_orders.selectExpr(f"{COLLECTION_RATE} AS collection_rate")
 
 
 def financial_summary(work_orders: DataFrame) -> DataFrame:
-    return work_orders.agg(
-        billed_column().alias("total_billed"),
-        collected_column().alias("total_collected"),
-        receivable_column().alias("total_receivable"),
-        percent(collected_column(), billed_column()).alias("collection_rate"),
-        percent(receivable_column(), billed_column()).alias("outstanding_ratio"),
+    return work_orders.selectExpr(
+        f"{BILLED} AS total_billed",
+        f"{COLLECTED} AS total_collected",
+        f"{RECEIVABLE} AS total_receivable",
+        f"{COLLECTION_RATE} AS collection_rate",
+        f"{OUTSTANDING_RATIO} AS outstanding_ratio",
     )
 
 
 def billing_vs_collection(work_orders: DataFrame) -> DataFrame:
+    totals = {
+        "billed": "billed_value",
+        "collected": "collected_amount",
+        "receivable": "amount_receivable",
+        "to_be_billed": "amount_to_be_billed",
+    }
     return (
         work_orders.filter(F.col("sector") != config.UNKNOWN)
         .groupBy("sector")
-        .agg(
-            exact_sum(F.col("billed_value")).alias("billed"),
-            exact_sum(F.col("collected_amount")).alias("collected"),
-            exact_sum(F.col("amount_receivable")).alias("receivable"),
-            exact_sum(F.col("amount_to_be_billed")).alias("to_be_billed"),
-        )
+        .agg(*[F.expr(f"{exact_sum(c)} AS {name}") for name, c in totals.items()])
         .orderBy(F.desc("billed"), "sector")
     )
 
@@ -89,11 +81,11 @@ def billing_series_long(work_orders: DataFrame) -> DataFrame:
 def receivables_by_sector(work_orders: DataFrame) -> DataFrame:
     """Unknown sectors included."""
     return (
-        work_orders.filter(F.col("amount_receivable") > 0)
+        work_orders.filter("amount_receivable > 0")
         .groupBy("sector")
         .agg(
-            exact_sum(F.col("amount_receivable")).alias("receivable_amount"),
-            F.count(F.lit(1)).alias("wo_count"),
+            F.expr(f"{exact_sum('amount_receivable')} AS receivable_amount"),
+            F.expr("count(*) AS wo_count"),
         )
         .orderBy(F.desc("receivable_amount"), "sector")
     )

@@ -6,12 +6,15 @@ sector are all read off that small result; work orders are a single aggregate.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bizmetrics import config
 from bizmetrics.functions.display import kpi_display, kpi_label
-from bizmetrics.functions.numbers import exact_sum, exact_total, percent
+from bizmetrics.functions.numbers import exact_total
+from bizmetrics.functions.text import find, literal
 from bizmetrics.plans import financial, operational
 
 DEAL_UNITS = {
@@ -41,74 +44,55 @@ CARDS = {
 
 def to_long(wide: DataFrame, units: dict[str, str]) -> DataFrame:
     """One-row frame to KPI rows. A text KPI has no value, only a display."""
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(name).alias("metric"),
-                (F.lit(None) if unit == "text" else F.col(name))
-                .cast("double")
-                .alias("value"),
-                F.lit(unit).alias("unit"),
-                (F.col(name) if unit == "text" else F.lit(None))
-                .cast("string")
-                .alias("text"),
-            )
-            for name, unit in units.items()
-        ]
-    )
-    return wide.select(F.inline(rows)).select(
-        "metric",
-        "value",
-        "unit",
-        F.when(F.col("unit") == "text", F.col("text"))
-        .otherwise(kpi_display(F.col("value"), F.col("unit")))
-        .alias("display"),
+
+    def row(name: str, unit: str) -> str:
+        value, text = ("NULL", name) if unit == "text" else (name, "NULL")
+        return (
+            f"named_struct('metric', {literal(name)}, 'value', CAST({value} AS DOUBLE), "
+            f"'unit', {literal(unit)}, 'text', CAST({text} AS STRING))"
+        )
+
+    rows = ", ".join(row(name, unit) for name, unit in units.items())
+    return wide.selectExpr(f"inline(array({rows}))").selectExpr(
+        "metric", "value", "unit", f"coalesce(text, {kpi_display('value', 'unit')}) AS display"
     )
 
 
 def deal_kpis(deals: DataFrame) -> DataFrame:
-    valued, is_open = F.col("deal_value") > 0, F.col("deal_status") == "Open"
-    amount = F.col("deal_value")
+    valued, is_open = "deal_value > 0", "deal_status = 'Open'"
     per_sector = deals.groupBy("sector").agg(
-        exact_total(amount, valued & is_open).alias("open_total"),
-        exact_total(amount, valued).alias("total"),
-        F.count_if(valued).alias("valued"),
-        F.count_if(is_open).alias("open"),
-        F.count_if(
-            is_open & (F.col("deal_stage") == config.NEGOTIATION_STAGE)
-        ).alias("negotiating"),
+        F.expr(f"{exact_total('deal_value', f'{valued} AND {is_open}')} AS open_total"),
+        F.expr(f"{exact_total('deal_value', valued)} AS total"),
+        F.expr(f"count_if({valued}) AS valued"),
+        F.expr(f"count_if({is_open}) AS open"),
+        F.expr(
+            f"count_if({is_open} AND deal_stage = {literal(config.NEGOTIATION_STAGE)})"
+            " AS negotiating"
+        ),
     )
     # null for sectors without open value, so they cannot be the top one
-    ranked = F.when(
-        F.col("open_total").isNotNull(), F.struct(-F.col("open_total"), F.col("sector"))
-    )
-    wide = per_sector.agg(
-        F.coalesce(F.sum("open_total").cast("double"), F.lit(0.0)).alias("total_pipeline"),
-        F.coalesce(F.sum("open"), F.lit(0)).alias("active_deals"),
-        F.when(
-            F.sum("valued") > 0, F.sum("total").cast("double") / F.sum("valued")
-        ).otherwise(F.lit(0.0)).alias("avg_deal_size"),
-        F.min_by("sector", ranked).alias("top_sector"),
-        F.max("open_total").cast("double").alias("top_sector_value"),
-        F.coalesce(F.sum("negotiating"), F.lit(0)).alias("deals_in_negotiation"),
+    ranked = "CASE WHEN open_total IS NOT NULL THEN struct(-open_total, sector) END"
+    wide = per_sector.selectExpr(
+        "coalesce(CAST(sum(open_total) AS DOUBLE), 0D) AS total_pipeline",
+        "coalesce(sum(open), 0) AS active_deals",
+        "CASE WHEN sum(valued) > 0 THEN CAST(sum(total) AS DOUBLE) / sum(valued) "
+        "ELSE 0D END AS avg_deal_size",
+        f"min_by(sector, {ranked}) AS top_sector",
+        "CAST(max(open_total) AS DOUBLE) AS top_sector_value",
+        "coalesce(sum(negotiating), 0) AS deals_in_negotiation",
     )
     # without any open value there is no top sector to report
-    return to_long(wide, DEAL_UNITS).filter(F.col("display").isNotNull())
+    return to_long(wide, DEAL_UNITS).filter("display IS NOT NULL")
 
 
 def work_order_kpis(work_orders: DataFrame) -> DataFrame:
-    valued = F.col("amount_total") > 0
-    total = exact_sum(F.col("amount_total"), valued)
-    billed = exact_sum(F.col("billed_value"), valued)
-    wide = work_orders.agg(
-        operational.active_orders_column(work_orders.columns).alias("active_work_orders"),
-        percent(billed, total).alias("billing_completion"),
-        financial.receivable_column().alias("total_receivable"),
-        financial.billed_column().alias("total_billed"),
-        financial.collected_column().alias("total_collected"),
-        percent(
-            financial.collected_column(), financial.billed_column()
-        ).alias("collection_rate"),
+    wide = work_orders.selectExpr(
+        f"{operational.active_orders(work_orders.columns)} AS active_work_orders",
+        f"{operational.COMPLETION_RATE} AS billing_completion",
+        f"{financial.RECEIVABLE} AS total_receivable",
+        f"{financial.BILLED} AS total_billed",
+        f"{financial.COLLECTED} AS total_collected",
+        f"{financial.COLLECTION_RATE} AS collection_rate",
     )
     return to_long(wide, WORK_ORDER_UNITS)
 
@@ -122,23 +106,19 @@ def leadership_kpis(
         parts.append(deal_kpis(deals))
     if work_orders is not None:
         parts.append(work_order_kpis(work_orders))
-    if not parts:
-        return None
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return reduce(DataFrame.unionByName, parts) if parts else None
 
 
 def kpi_cards(deals: DataFrame | None, work_orders: DataFrame | None) -> DataFrame:
     """The dashboard row: label, value, display and caption of four KPIs."""
+    labels = find("metric", {m: label for m, (label, _) in CARDS.items()})
+    captions = find("metric", {m: caption for m, (_, caption) in CARDS.items()})
     kpis = leadership_kpis(deals, work_orders)
-    label, caption = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for metric, (name, sub) in CARDS.items():
-        label = F.when(F.col("metric") == metric, F.lit(name)).otherwise(label)
-        caption = F.when(F.col("metric") == metric, F.lit(sub)).otherwise(caption)
-    return kpis.filter(F.col("metric").isin(list(CARDS))).select(
-        "metric", label.alias("label"), "value", "display", caption.alias("caption")
+    return kpis.filter(F.col("metric").isin(list(CARDS))).selectExpr(
+        "metric", f"{labels} AS label", "value", "display", f"{captions} AS caption"
     )
 
 
 def labelled(kpis: DataFrame) -> DataFrame:
     """KPI cards for any KPI table, titled by metric name."""
-    return kpis.select("metric", kpi_label(F.col("metric")).alias("label"), "display")
+    return kpis.selectExpr("metric", f"{kpi_label('metric')} AS label", "display")

@@ -20,11 +20,12 @@ CLOSING_COLUMNS = [
     "deal_name", "sector", "deal_value", "deal_stage", "closure_probability",
     "tentative_close_date",
 ]
+_TOTAL = f"{exact_sum('deal_value')} AS total_value"
 
 
 def _valued(deals: DataFrame, status: str | None) -> DataFrame:
-    df = deals.filter(F.col("deal_value") > 0)
-    return df.filter(F.col("deal_status") == F.lit(status)) if status else df
+    df = deals.filter("deal_value > 0")
+    return df.filter(F.col("deal_status") == status) if status else df
 
 
 def pipeline_by_sector(deals: DataFrame, status: str | None = OPEN) -> DataFrame:
@@ -32,64 +33,54 @@ def pipeline_by_sector(deals: DataFrame, status: str | None = OPEN) -> DataFrame
         _valued(deals, status)
         .groupBy("sector")
         .agg(
-            F.count(F.lit(1)).alias("deal_count"),
-            exact_sum(F.col("deal_value")).alias("total_value"),
-            exact_average(F.col("deal_value")).alias("avg_value"),
+            F.expr("count(*) AS deal_count"),
+            F.expr(_TOTAL),
+            F.expr(f"{exact_average('deal_value')} AS avg_value"),
         )
         .orderBy(F.desc("total_value"), "sector")
     )
 
 
 def top_sector(deals: DataFrame, status: str | None = OPEN) -> DataFrame:
-    return (
-        pipeline_by_sector(deals, status)
-        .select("sector", "total_value")
-        .orderBy(F.desc("total_value"), "sector")
-        .limit(1)
-    )
+    return pipeline_by_sector(deals, status).select("sector", "total_value").limit(1)
 
 
 def pipeline_by_stage(deals: DataFrame, status: str | None = OPEN) -> DataFrame:
     return (
         _valued(deals, status)
         .groupBy("deal_stage")
-        .agg(
-            F.count(F.lit(1)).alias("deal_count"),
-            exact_sum(F.col("deal_value")).alias("total_value"),
-        )
+        .agg(F.expr("count(*) AS deal_count"), F.expr(_TOTAL))
         .orderBy(F.desc("total_value"), "deal_stage")
     )
 
 
 def average_deal_size(deals: DataFrame, status: str | None = None) -> DataFrame:
     """All statuses unless one is given, although dashboards label it as open deals."""
-    return _valued(deals, status).agg(
-        F.when(F.count(F.lit(1)) > 0, exact_average(F.col("deal_value")))
-        .otherwise(F.lit(0.0))
-        .alias("average_deal_size")
+    return _valued(deals, status).selectExpr(
+        f"CASE WHEN count(*) > 0 THEN {exact_average('deal_value')} ELSE 0D END"
+        " AS average_deal_size"
     )
 
 
 def total_pipeline_value(deals: DataFrame, status: str | None = OPEN) -> DataFrame:
-    return _valued(deals, status).agg(
-        exact_sum(F.col("deal_value")).alias("total_pipeline")
-    )
+    return _valued(deals, status).selectExpr(f"{exact_sum('deal_value')} AS total_pipeline")
 
 
 def active_deals(deals: DataFrame) -> DataFrame:
     """Open deals, those without a value included."""
-    return deals.filter(F.col("deal_status") == OPEN).agg(
-        F.count(F.lit(1)).alias("active_deals")
+    return deals.filter(F.col("deal_status") == OPEN).selectExpr(
+        "count(*) AS active_deals"
     )
 
 
+def _closing(deals: DataFrame, window: str) -> DataFrame:
+    return deals.filter(F.col("deal_status") == OPEN).filter(window)
+
+
 def closing_this_month(deals: DataFrame, as_of: dt.date | None = None) -> DataFrame:
     """Open deals with a tentative close date in the month of ``as_of`` (today if None)."""
-    as_of = as_of or dt.date.today()
-    return deals.filter(
-        (F.col("deal_status") == OPEN)
-        & dates.in_month(F.col("tentative_close_date"), as_of)
-    ).select(*CLOSING_COLUMNS)
+    window = dates.in_month("tentative_close_date", as_of or dt.date.today())
+    return _closing(deals, window).select(*CLOSING_COLUMNS)
 
 
 def closing_this_quarter(
@@ -97,20 +88,17 @@ def closing_this_quarter(
 ) -> DataFrame:
     """Same for the calendar quarter, all columns. The sector argument is lower-cased
     only, not looked up among the aliases."""
-    as_of = as_of or dt.date.today()
-    df = deals.filter(
-        (F.col("deal_status") == OPEN)
-        & dates.in_quarter(F.col("tentative_close_date"), as_of)
-    )
-    return df.filter(F.col("sector") == F.lit(sector.lower())) if sector else df
+    window = dates.in_quarter("tentative_close_date", as_of or dt.date.today())
+    df = _closing(deals, window)
+    return df.filter(F.col("sector") == sector.lower()) if sector else df
 
 
 def deal_creation_trend(deals: DataFrame, months: int = 6) -> DataFrame:
     """Deals per created month, the last ``months`` months that have any, ascending."""
     per_month = (
-        deals.filter(F.col("created_date").isNotNull())
-        .groupBy(dates.month_label(F.col("created_date")).alias("month"))
-        .agg(F.count(F.lit(1)).alias("deal_count"))
+        deals.filter("created_date IS NOT NULL")
+        .groupBy(F.expr(dates.month_label("created_date")).alias("month"))
+        .agg(F.expr("count(*) AS deal_count"))
     )
     return per_month.orderBy(F.desc("month")).limit(months).orderBy("month")
 
@@ -120,14 +108,11 @@ def pipeline_stage_quarter(
 ) -> DataFrame:
     """Open, valued deals closing this quarter by stage; unnamed deals are not counted
     and deals without a stage are left out."""
-    df = closing_this_quarter(deals, as_of, sector).filter(F.col("deal_value") > 0)
     return (
-        df.filter(F.col("deal_stage").isNotNull())
+        closing_this_quarter(deals, as_of, sector)
+        .filter("deal_value > 0 AND deal_stage IS NOT NULL")
         .groupBy("deal_stage")
-        .agg(
-            F.count("deal_name").alias("deal_count"),
-            exact_sum(F.col("deal_value")).alias("total_value"),
-        )
+        .agg(F.expr("count(deal_name) AS deal_count"), F.expr(_TOTAL))
         .orderBy(F.desc("total_value"), "deal_stage")
     )
 
@@ -136,7 +121,7 @@ def deals_in_negotiation(deals: DataFrame) -> DataFrame:
     return deals.filter(
         (F.col("deal_stage") == config.NEGOTIATION_STAGE)
         & (F.col("deal_status") == OPEN)
-    ).agg(F.count(F.lit(1)).alias("deals_in_negotiation"))
+    ).selectExpr("count(*) AS deals_in_negotiation")
 
 
 def value_counts(df: DataFrame, column: str, top: int | None = None) -> DataFrame:
@@ -144,7 +129,7 @@ def value_counts(df: DataFrame, column: str, top: int | None = None) -> DataFram
     counts = (
         df.filter(F.col(column).isNotNull())
         .groupBy(column)
-        .agg(F.count(F.lit(1)).alias("count"))
+        .agg(F.expr("count(*) AS count"))
         .orderBy(F.desc("count"), column)
     )
     return counts.limit(top) if top else counts

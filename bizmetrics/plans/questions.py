@@ -2,40 +2,39 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bizmetrics import config
-from bizmetrics.functions.text import strip
+from bizmetrics.functions.text import literal, strip
+from bizmetrics.operators.filters import quoted
 
 # a JSON object with at most one level of nesting; possessive, so it cannot backtrack
 _OBJECT = r"\{[^{}]*+(?:\{[^{}]*+\}[^{}]*+)*+\}"
-_FENCE = "```"
 
 
-def is_gibberish(text: Column) -> Column:
+def is_gibberish(text: str) -> str:
     """Too short, no letters, one character five times or more, one or two small
     letters, or six and more characters without a vowel. Expects stripped text."""
-    junk = [text.rlike(p) for p in config.GIBBERISH_PATTERNS]
-    return reduce(or_, junk, F.length(text) < config.MIN_QUESTION_LENGTH)
+    junk = " OR ".join(f"{text} RLIKE r'{p}'" for p in config.GIBBERISH_PATTERNS)
+    return f"(length({text}) < {config.MIN_QUESTION_LENGTH} OR {junk})"
 
 
 def flag_gibberish(questions: DataFrame, column: str = "text") -> DataFrame:
     """Adds ``nonsensical`` and, for flagged rows, the ``suggestions`` to offer."""
-    flagged = questions.withColumn("nonsensical", is_gibberish(strip(F.col(column))))
-    offer = F.array(*[F.lit(s) for s in config.SUGGESTED_QUESTIONS])
-    return flagged.withColumn("suggestions", F.when(F.col("nonsensical"), offer))
+    offer = ", ".join(literal(s) for s in config.SUGGESTED_QUESTIONS)
+    return (
+        questions.withColumn("__text", F.expr(strip(quoted(column))))
+        .withColumn("nonsensical", F.expr(is_gibberish("__text")))
+        .drop("__text")
+        .withColumn("suggestions", F.expr(f"CASE WHEN nonsensical THEN array({offer}) END"))
+    )
 
 
-def _is_json(c: Column) -> Column:
+def _is_json(c: str) -> str:
     # A parser stops after the first value; inside brackets trailing text is an error.
-    parsed = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]")))
-    return parsed.isNotNull() & (
-        F.json_array_length(F.concat(F.lit("["), c, F.lit("]"))) == 1
-    )
+    listed = f"concat('[', {c}, ']')"
+    return f"(try_parse_json({listed}) IS NOT NULL AND json_array_length({listed}) = 1)"
 
 
 def extract_intent(replies: DataFrame, column: str = "text") -> DataFrame:
@@ -45,45 +44,38 @@ def extract_intent(replies: DataFrame, column: str = "text") -> DataFrame:
     that parses. A text without any, or with JSON that is no object, is a general query
     described by the text itself.
     """
-    text = strip(F.col(column))
-    block = F.get(F.split(text, _FENCE), F.lit(1))
-    block = strip(F.regexp_replace(block, r"^json", ""))
-    objects = F.regexp_extract_all(text, F.lit(_OBJECT), F.lit(0))
-    embedded = F.get(F.filter(objects, _is_json), F.lit(0))
-
-    candidate = (
-        F.when(_is_json(text), F.struct(F.lit("whole").alias("source"), text.alias("json")))
-        .when(
-            F.coalesce(_is_json(block), F.lit(False)),
-            F.struct(F.lit("fenced").alias("source"), block.alias("json")),
-        )
-        .when(
-            embedded.isNotNull(),
-            F.struct(F.lit("embedded").alias("source"), embedded.alias("json")),
+    block = strip("regexp_replace(get(split(__text, '```'), 1), r'^json', '')")
+    objects = f"regexp_extract_all(__text, r'{_OBJECT}', 0)"
+    found = (
+        replies.withColumn("__text", F.expr(strip(quoted(column))))
+        .withColumn("__block", F.expr(block))
+        .withColumn(
+            "__found",
+            F.expr(
+                f"CASE WHEN {_is_json('__text')} THEN struct('whole' AS source, __text AS json) "
+                f"WHEN {_is_json('__block')} THEN struct('fenced' AS source, __block AS json) "
+                "ELSE struct('embedded' AS source, "
+                f"get(filter({objects}, o -> {_is_json('o')}), 0) AS json) END"
+            ),
         )
     )
     schema = ", ".join(f"{f} string" for f in config.INTENT_FIELDS)
-    found = replies.withColumn("__found", candidate)
-    is_object = F.startswith(F.col("__found.json"), F.lit("{"))
     parsed = found.withColumn(
-        "__intent", F.when(is_object, F.from_json(F.col("__found.json"), schema))
+        "__intent",
+        F.expr(
+            "CASE WHEN startswith(__found.json, '{') "
+            f"THEN from_json(__found.json, '{schema}') END"
+        ),
     )
-    known = F.col("__intent").isNotNull()
-    default = {
-        "metric": F.lit(config.DEFAULT_METRIC),
-        "description": text,
-    }
-    fields = {
-        f: F.when(known, F.col(f"__intent.{f}")).otherwise(
-            default.get(f, F.lit(None).cast("string"))
-        )
-        for f in config.INTENT_FIELDS
-    }
-    # a parsed object without a metric is a general query as well
-    fields["metric"] = F.coalesce(fields["metric"], F.lit(config.DEFAULT_METRIC))
-    return parsed.withColumns(
-        {
-            **fields,
-            "source": F.when(known, F.col("__found.source")).otherwise(F.lit("default")),
-        }
-    ).drop("__found", "__intent")
+    fields = {f: F.expr(f"__intent.{f}") for f in config.INTENT_FIELDS}
+    # an object without a metric is a general query as well
+    fields["metric"] = F.expr(
+        f"coalesce(__intent.metric, {literal(config.DEFAULT_METRIC)})"
+    )
+    fields["description"] = F.expr(
+        "CASE WHEN __intent IS NULL THEN __text ELSE __intent.description END"
+    )
+    fields["source"] = F.expr(
+        "CASE WHEN __intent IS NULL THEN 'default' ELSE __found.source END"
+    )
+    return parsed.withColumns(fields).drop("__text", "__block", "__found", "__intent")

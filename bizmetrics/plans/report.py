@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bizmetrics.functions.display import format_currency
+from bizmetrics.functions.text import literal
 from bizmetrics.plans import operational, pipeline
 from bizmetrics.plans.leadership import leadership_kpis
 
@@ -39,27 +40,22 @@ LEADERSHIP_LINES = {
 _LIST_START = 100
 
 
-def _ranked(df: DataFrame, *order) -> DataFrame:
-    """Number the rows of an already limited frame."""
-    return df.withColumn(
-        "__rank", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order))
+def _ranked(df: DataFrame, order: list, section: int, text: str) -> DataFrame:
+    """List lines of an already limited frame, numbered in order."""
+    window = Window.partitionBy(F.lit(section)).orderBy(*order)
+    return df.withColumn("__rank", F.row_number().over(window)).selectExpr(
+        f"{section} AS section", f"__rank + {_LIST_START} AS pos", f"{text} AS line"
     )
 
 
 def _headings(df: DataFrame) -> DataFrame:
-    """Title and section headings, built on the plan of ``df`` (any one-row-or-more
-    frame) rather than on local rows."""
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("section"),
-                F.lit(0).alias("pos"),
-                F.lit(("## " if i == 0 else "### ") + title).alias("line"),
-            )
-            for i, title in enumerate(SECTIONS)
-        ]
+    """Title and section headings, on the plan of any non-empty frame."""
+    rows = ", ".join(
+        f"named_struct('section', {i}, 'pos', 0, 'line', "
+        f"{literal(('### ' if i else '## ') + title)})"
+        for i, title in enumerate(SECTIONS)
     )
-    return df.limit(1).select(F.inline(rows))
+    return df.limit(1).selectExpr(f"inline(array({rows}))")
 
 
 def leadership_report(
@@ -68,46 +64,31 @@ def leadership_report(
     """Markdown lines: four sections of KPIs, the largest sectors and the execution
     statuses. Every list is limited before it is numbered."""
     kpis = leadership_kpis(deals, work_orders)
-    section, pos, caption = (F.lit(None) for _ in range(3))
-    for metric, (s, p, text) in LEADERSHIP_LINES.items():
-        hit = F.col("metric") == metric
-        section = F.when(hit, F.lit(s)).otherwise(section)
-        pos = F.when(hit, F.lit(p)).otherwise(pos)
-        caption = F.when(hit, F.lit(text)).otherwise(caption)
+    places = ", ".join(
+        f"{literal(m)}, struct({s} AS section, {p} AS pos, {literal(text)} AS caption)"
+        for m, (s, p, text) in LEADERSHIP_LINES.items()
+    )
+    placed = kpis.filter(F.col("metric").isin(list(LEADERSHIP_LINES))).selectExpr(
+        f"map({places})[metric] AS place", "display"
+    )
     parts = [
         _headings(kpis),
-        kpis.filter(F.col("metric").isin(list(LEADERSHIP_LINES))).select(
-            section.cast("int").alias("section"),
-            pos.cast("int").alias("pos"),
-            F.concat(F.lit("- "), caption.cast("string"), F.lit(": "), "display").alias(
-                "line"
-            ),
+        placed.selectExpr(
+            "place.section",
+            "place.pos",
+            "concat('- ', place.caption, ': ', display) AS line",
         ),
     ]
     if deals is not None:
         order = [F.desc("total_value"), F.col("sector")]
-        top = pipeline.pipeline_by_sector(deals).orderBy(*order).limit(TOP_SECTORS)
-        parts.append(
-            _ranked(top, *order).select(
-                F.lit(1).alias("section"),
-                (F.col("__rank") + _LIST_START).alias("pos"),
-                F.concat(
-                    F.lit("  - "), "sector", F.lit(": "), format_currency(F.col("total_value"))
-                ).alias("line"),
-            )
-        )
+        top = pipeline.pipeline_by_sector(deals).limit(TOP_SECTORS)
+        line = f"concat('  - ', sector, ': ', {format_currency('total_value')})"
+        parts.append(_ranked(top, order, 1, line))
     if work_orders is not None:
         order = [F.desc("count"), F.col("execution_status")]
-        statuses = operational.execution_status(work_orders).orderBy(*order).limit(MAX_ROWS)
-        parts.append(
-            _ranked(statuses, *order).select(
-                F.lit(2).alias("section"),
-                (F.col("__rank") + _LIST_START).alias("pos"),
-                F.concat(
-                    F.lit("  - "), "execution_status", F.lit(": "), F.col("count").cast("string")
-                ).alias("line"),
-            )
-        )
+        statuses = operational.execution_status(work_orders).limit(MAX_ROWS)
+        line = "concat('  - ', execution_status, ': ', CAST(count AS STRING))"
+        parts.append(_ranked(statuses, order, 2, line))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -116,19 +97,16 @@ def context_summary(deals: DataFrame | None, work_orders: DataFrame | None) -> D
     parts = []
 
     def total(df: DataFrame, label: str, section: int) -> DataFrame:
-        return df.agg(F.count(F.lit(1)).alias("n")).select(
-            F.lit(section).alias("section"),
-            F.lit(label).alias("item"),
-            F.lit(None).cast("string").alias("value"),
-            F.col("n").alias("count"),
+        return df.selectExpr(
+            f"{section} AS section",
+            f"{literal(label)} AS item",
+            "CAST(NULL AS STRING) AS value",
+            "count(*) AS count",
         )
 
     def listing(df: DataFrame, column: str, label: str, section: int) -> DataFrame:
-        return df.select(
-            F.lit(section).alias("section"),
-            F.lit(label).alias("item"),
-            F.col(column).alias("value"),
-            F.col("count"),
+        return df.selectExpr(
+            f"{section} AS section", f"{literal(label)} AS item", f"{column} AS value", "count"
         )
 
     if deals is not None:

@@ -7,15 +7,26 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
+# Runtime settings, valid for any session.
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.ansi.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # The JVM never compiles methods above 8000 bytes, and cleaning a wide table in one
+    # generated method runs interpreted. Above the limit Spark splits the projection.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
+def configure(spark: SparkSession) -> SparkSession:
+    """Apply the runtime settings to a session that someone else has built."""
+    for key, value in SETTINGS.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def local_session(cores: int | str = "*", memory: str = "8g") -> SparkSession:
     """Single-machine session for tests and the benchmark; a cluster brings its own."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName("bizmetrics")

@@ -348,16 +348,3 @@ def for_spark(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     for table in TABLES:
         sql = sql.replace("{" + table + "}", f"parquet.`{sf_dir}/{table}.parquet`")
     return spark.sql(sql)
-
-
-def raw_deals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Deals as a board export names them; ``ordinal`` holds the source position."""
-    df = for_spark(spark, sf_dir, "raw_deals")
-    return df.select("ordinal", *DEAL_HEADERS).toDF("ordinal", *DEAL_HEADERS.values())
-
-
-def raw_work_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = for_spark(spark, sf_dir, "raw_work_orders")
-    return df.select(*WORK_ORDER_ORDER, *WORK_ORDER_HEADERS).toDF(
-        *WORK_ORDER_ORDER, *WORK_ORDER_HEADERS.values()
-    )
