@@ -33,7 +33,8 @@ def money(c: str, dtype: T.DataType | None = None) -> str:
     plain = _plain(c)
     value = f"try_cast({plain} AS DOUBLE)"
     return (
-        f"CASE WHEN {c} RLIKE {_COMMON} THEN try_cast({c} AS DOUBLE) "
+        f"CASE WHEN {c} IS NULL OR {c} = '' THEN 0D "
+        f"WHEN {c} RLIKE {_COMMON} THEN try_cast({c} AS DOUBLE) "
         f"WHEN {plain} RLIKE {_COMMON} THEN {value} "
         f"WHEN {plain} RLIKE {_NUMBER} AND abs({value}) < {MONEY_LIMIT} THEN {value} "
         "ELSE 0D END"

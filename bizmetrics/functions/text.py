@@ -15,20 +15,27 @@ def literal(s: str) -> str:
 _WHITESPACE = literal(config.WHITESPACE)
 
 
+def _visible(char: str) -> str:
+    """The first character is printable ASCII; a plain byte comparison."""
+    return f"{char} >= '!' AND {char} < '\\u007f'"
+
+
+def _bare(c: str) -> str:
+    return f"{_visible(c)} AND {_visible(f'substr({c}, -1, 1)')}"
+
+
 def strip(c: str) -> str:
     """Remove white space of any kind at both ends (``trim`` alone knows only spaces)."""
     t = f"trim({c})"
     return (
-        f"CASE WHEN ascii({t}) BETWEEN 33 AND 126 AND ascii(substr({t}, -1, 1)) "
-        f"BETWEEN 33 AND 126 THEN {t} ELSE btrim({c}, {_WHITESPACE}) END"
+        f"CASE WHEN {_bare(c)} THEN {c} WHEN {_bare(t)} THEN {t} "
+        f"ELSE btrim({t}, {_WHITESPACE}) END"
     )
 
 
 def is_blank(c: str) -> str:
     """True for text without visible characters; null for null."""
-    return (
-        f"(NOT ascii(ltrim({c})) BETWEEN 33 AND 126 AND btrim({c}, {_WHITESPACE}) = '')"
-    )
+    return f"(NOT ({_visible(f'ltrim({c})')}) AND btrim({c}, {_WHITESPACE}) = '')"
 
 
 def missing(c: str) -> str:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from bizmetrics import config
 from bizmetrics.functions import normalize, numbers
 from bizmetrics.functions.dates import parse_date
-from bizmetrics.functions.text import fill_categorical
+from bizmetrics.functions.text import unless_missing
 from bizmetrics.operators import filters
 from bizmetrics.operators.dedupe import keep_first
 from bizmetrics.operators.schema import canonical_deals, canonical_work_orders
@@ -49,7 +49,7 @@ def deal_rules(df: DataFrame) -> dict[str, str]:
         elif c == "closure_probability":
             rules[c] = normalize.probability(col)
         elif c in config.DEAL_CATEGORICALS:
-            rules[c] = fill_categorical(col)
+            rules[c] = unless_missing(col, col)
     return rules
 
 
@@ -67,7 +67,7 @@ def work_order_rules(df: DataFrame) -> dict[str, str]:
         elif c == "execution_status":
             rules[c] = normalize.execution_status(col)
         elif c in config.WORK_ORDER_CATEGORICALS:
-            rules[c] = fill_categorical(col)
+            rules[c] = unless_missing(col, col)
     return rules
 
 

@@ -37,7 +37,12 @@ def _stored(
     """A raw table as Parquet, so that each query starts at a scan of raw cells."""
 
     def write(path: str) -> None:
-        raw.for_spark(spark, sf_dir, name).write.parquet(path)
+        table = raw.for_spark(spark, sf_dir, name)
+        cores = spark.sparkContext.defaultParallelism
+        if table.rdd.getNumPartitions() < cores:
+            # a small single-file input would leave one file, and one task for all that follows
+            table = table.repartition(cores)
+        table.write.parquet(path)
 
     df = spark.read.parquet(_once(spark, sf_dir, name, write))
     return df.select(*order, *headers).toDF(*order, *headers.values())
