@@ -12,13 +12,13 @@ import json
 import os
 import statistics
 import sys
-import tempfile
 import time
+import uuid
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from bizmetrics.plans import financial, leadership, operational, pipeline  # noqa: E402
-from bizmetrics.session import configure, local_session  # noqa: E402
+from bizmetrics.session import configure, local_session, shared_folder  # noqa: E402
 from testkit import catalog, landing  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -64,7 +64,7 @@ def main() -> None:
     }
 
     if not os.environ.get("BENCH_QUERIES"):
-        folder = tempfile.mkdtemp(prefix="bizmetrics-bench-")
+        folder = f"{shared_folder(spark)}/bizmetrics-bench/{uuid.uuid4().hex}"
         catalog.clean_deals(spark, SF_DIR).write.parquet(f"{folder}/deals")
         catalog.clean_work_orders(spark, SF_DIR).write.parquet(f"{folder}/work_orders")
         deals = spark.read.parquet(f"{folder}/deals")

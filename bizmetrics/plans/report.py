@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bizmetrics.functions.display import format_currency
@@ -48,21 +48,25 @@ def _ranked(df: DataFrame, order: list, section: int, text: str) -> DataFrame:
     )
 
 
-def _headings(df: DataFrame) -> DataFrame:
-    """Title and section headings, on the plan of any non-empty frame."""
+def _headings(spark: SparkSession) -> DataFrame:
+    """Title and section headings."""
     rows = ", ".join(
         f"named_struct('section', {i}, 'pos', 0, 'line', "
         f"{literal(('### ' if i else '## ') + title)})"
         for i, title in enumerate(SECTIONS)
     )
-    return df.limit(1).selectExpr(f"inline(array({rows}))")
+    return spark.range(1).selectExpr(f"inline(array({rows}))")
 
 
 def leadership_report(
     deals: DataFrame | None, work_orders: DataFrame | None
 ) -> DataFrame:
     """Markdown lines: four sections of KPIs, the largest sectors and the execution
-    statuses. Every list is limited before it is numbered."""
+    statuses. Every list is limited before it is numbered.
+
+    Each table is read twice, for the KPIs and for its list; pass stored tables
+    (`LoadResult.store`), on raw ones this means cleaning twice.
+    """
     kpis = leadership_kpis(deals, work_orders)
     places = ", ".join(
         f"{literal(m)}, struct({s} AS section, {p} AS pos, {literal(text)} AS caption)"
@@ -72,7 +76,7 @@ def leadership_report(
         f"map({places})[metric] AS place", "display"
     )
     parts = [
-        _headings(kpis),
+        _headings(kpis.sparkSession),
         placed.selectExpr(
             "place.section",
             "place.pos",
