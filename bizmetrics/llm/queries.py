@@ -6,16 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bizmetrics.llm import exact
+from bizmetrics.llm import exact, substrings
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeated(_documents(spark, sf_dir)).drop("kept_text")
+
+
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(_documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op9_exact_dedup": op9}
+    return {"op4_substring_dedup": op4, "op9_exact_dedup": op9}

@@ -14,6 +14,27 @@ select doc_id, max(doc_id) over (partition by norm) as keep_id,
 from t
 """
 
+SUBSTRINGS = r"""
+with w as (
+  select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws
+  from documents),
+s as (
+  select doc_id, i, array_to_string(ws[i:i + 49], ' ') as win
+  from (select doc_id, ws, unnest(range(1, len(ws) - 48)) as i from w where len(ws) >= 50)),
+f as (select win, min(doc_id) as first from s group by win),
+p as (
+  select distinct doc_id, i + k as pos
+  from (select s.doc_id, s.i from s join f using (win) where s.doc_id > f.first), range(50) t(k)),
+u as (select doc_id, unnest(ws) as word, unnest(range(1, len(ws) + 1)) as pos from w),
+j as (
+  select u.doc_id, string_agg(word, ' ' order by pos) as kept
+  from u anti join p using (doc_id, pos) group by u.doc_id),
+g as (select doc_id, count(*) as n from p group by doc_id)
+select w.doc_id, len(ws) as n_words, coalesce(n, 0) as n_removed,
+       sha256(coalesce(kept, '')) as kept_sha256
+from w left join j using (doc_id) left join g using (doc_id)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_dedup": EXACT}
+    return {"op4_substring_dedup": SUBSTRINGS, "op9_exact_dedup": EXACT}
