@@ -6,7 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bizmetrics.llm import exact, substrings
+from bizmetrics.llm import exact, packing, substrings
+
+
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,9 +23,17 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeated(_documents(spark, sf_dir)).drop("kept_text")
 
 
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_documents(spark, sf_dir), _tokenizer("byte_bpe_50k.json"))
+
+
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(_documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_substring_dedup": op4, "op9_exact_dedup": op9}
+    return {
+        "op4_substring_dedup": op4,
+        "op7_best_fit_packing": op7,
+        "op9_exact_dedup": op9,
+    }

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bizmetrics.llm import sketch
-from bizmetrics.llm.shared import prepare
+from bizmetrics.llm.shared import prepare, store
 from bizmetrics.llm.text import Chunk, chunks, window_hashes, window_mask, word_bounds, word_hashes
 
 WINDOW = 50
@@ -110,11 +110,13 @@ def repeated_spans(
     )
     repeated = spark.sparkContext.broadcast(_sketch(rows, window, anchor, shape))
     found = _candidates(rows, repeated, window, anchor)
-    first = (
+    # Stored, so that the join has an exchange on both sides and can split a hot window.
+    first = store(
         found.groupBy("h1", "h2")
         .agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
         .filter("first < last")
-        .select("h1", "h2", "first")
+        .select("h1", "h2", "first"),
+        "first-windows",
     )
     return (
         found.join(first, ["h1", "h2"])
