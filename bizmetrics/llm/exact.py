@@ -70,10 +70,14 @@ def exact_groups(
             (F.length("rest") <= width).alias("ended"),
         )
         keys = ["grp", "digit", "ended"]
-        groups = digits.groupBy(*keys).agg(
-            F.count(F.lit(1)).alias("group_size"),
-            F.max(F.struct("doc_id", "rid")).alias("last"),
-            F.min("rid").alias("next"),
+        # Stored, so that the join has an exchange on both sides and can split a hot digit.
+        groups = store(
+            digits.groupBy(*keys).agg(
+                F.count(F.lit(1)).alias("group_size"),
+                F.max(F.struct("doc_id", "rid")).alias("last"),
+                F.min("rid").alias("next"),
+            ),
+            "exact-groups",
         )
         final = F.col("ended") | (F.col("group_size") == 1)
         level = store(
