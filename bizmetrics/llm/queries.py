@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bizmetrics.llm import exact, packing, substrings
+from bizmetrics.llm import bpe, exact, packing, substrings, tokenfile
+from bizmetrics.llm.shared import scratch
 
 
 def _tokenizer(name: str) -> str:
@@ -19,10 +20,20 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(_documents(spark, sf_dir), _tokenizer("byte_bpe_multi_50k.tiktoken"))
+
+
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeated(_documents(spark, sf_dir)).drop("kept_text")
 
 
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "token-files")
+    tokenfile.write(_documents(spark, sf_dir), path, _tokenizer("byte_bpe_50k.json"))
+    return tokenfile.checksums(tokenfile.read(spark, path))
+
+
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_documents(spark, sf_dir), _tokenizer("byte_bpe_50k.json"))
 
@@ -33,7 +44,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_byte_bpe": op2,
         "op4_substring_dedup": op4,
+        "op6_token_files": op6,
         "op7_best_fit_packing": op7,
         "op9_exact_dedup": op9,
     }

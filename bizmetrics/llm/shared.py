@@ -37,17 +37,23 @@ def prepare(spark: SparkSession) -> None:
     _shipped.add(spark.sparkContext.applicationId)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, for files that ``release`` may delete."""
+    path = f"{shared_folder(spark)}/llm-scratch/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
 def store(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives executors."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/llm-scratch/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.parquet(path)
-    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:
-    """Delete what earlier calls of ``store`` wrote; their results must have been written."""
+    """Delete what stands at earlier paths of ``scratch``; their results must have been written."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path
     while _written:
         path = hadoop(_written.pop())

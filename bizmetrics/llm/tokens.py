@@ -21,7 +21,7 @@ UNITS, PIECES = 200_000, 200_000
 _SPLIT = re.compile(r"(?<=\S) (?=\S)")
 _LOOSE = re.compile(r"\s\s|^\s|\s$")
 # Marks after which, and before the end, no piece goes on.
-_ENDS = frozenset(".,;:!?")
+ENDS = frozenset(".,;:!?")
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
 
@@ -106,7 +106,7 @@ class Encoder:
             word = unit[1:]
             if unit[0] == " " and word.isalpha():
                 ids = self._piece(unit)
-            elif unit[0] == " " and word[-1:] in _ENDS and word[:-1].isalpha():
+            elif unit[0] == " " and word[-1:] in ENDS and word[:-1].isalpha():
                 ids = self._piece(unit[:-1]) + self._piece(word[-1])
             else:
                 ids = b"".join([self._piece(p) for p in self.split(unit)])
