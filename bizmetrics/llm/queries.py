@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bizmetrics.llm import bpe, exact, packing, substrings, tokenfile
+from bizmetrics.llm import bpe, exact, ngram_join, packing, substrings, tokenfile
 from bizmetrics.llm.shared import scratch
 
 
@@ -20,6 +20,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_links(_documents(spark, sf_dir), ngram_join.Similarity(3, 90, 100))
+
+
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_documents(spark, sf_dir), _tokenizer("byte_bpe_multi_50k.tiktoken"))
 
@@ -44,6 +48,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_ngram_jaccard_join": op1,
         "op2_byte_bpe": op2,
         "op4_substring_dedup": op4,
         "op6_token_files": op6,

@@ -14,6 +14,32 @@ select doc_id, max(doc_id) over (partition by norm) as keep_id,
 from t
 """
 
+NGRAM_JOIN = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x20\x09-\x0D]+') as ws
+  from documents),
+s as (
+  select distinct doc_id, sh from (
+    select doc_id, unnest(case
+      when len(ws) >= 3
+        then [array_to_string(ws[i:i + 2], ' ') for i in range(1, len(ws) - 1)]
+      when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end) as sh from w)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (
+  select a.doc_id as a, b.doc_id as b, count(*) as c
+  from s a join s b using (sh) where a.doc_id <> b.doc_id group by a.doc_id, b.doc_id),
+e as (
+  select a, b from p join n na on na.doc_id = a join n nb on nb.doc_id = b
+  where 100 * c >= 90 * (na.n + nb.n - c)),
+r(doc_id, root) as (
+  select doc_id, doc_id from documents
+  union select r.doc_id, e.b from r join e on r.root = e.a)
+select r.doc_id, coalesce(any_value(n), 0) as n_shingles, min(root) as component_id
+from r left join n using (doc_id) group by r.doc_id
+"""
+
 SUBSTRINGS = r"""
 with w as (
   select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws
@@ -37,4 +63,8 @@ from w left join j using (doc_id) left join g using (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_substring_dedup": SUBSTRINGS, "op9_exact_dedup": EXACT}
+    return {
+        "op1_ngram_jaccard_join": NGRAM_JOIN,
+        "op4_substring_dedup": SUBSTRINGS,
+        "op9_exact_dedup": EXACT,
+    }
