@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bizmetrics.llm import bpe, exact, ngram_join, packing, substrings, tokenfile
+from bizmetrics.llm import bpe, exact, ngram_join, packing, quality, substrings, tokenfile
 from bizmetrics.llm.shared import scratch
 
 
@@ -32,6 +32,10 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeated(_documents(spark, sf_dir)).drop("kept_text")
 
 
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(_documents(spark, sf_dir))
+
+
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "token-files")
     tokenfile.write(_documents(spark, sf_dir), path, _tokenizer("byte_bpe_50k.json"))
@@ -51,6 +55,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_ngram_jaccard_join": op1,
         "op2_byte_bpe": op2,
         "op4_substring_dedup": op4,
+        "op5_quality_rules": op5,
         "op6_token_files": op6,
         "op7_best_fit_packing": op7,
         "op9_exact_dedup": op9,
