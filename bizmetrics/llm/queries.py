@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bizmetrics.llm import bpe, exact, ngram_join, packing, quality, substrings, tokenfile
+from bizmetrics.llm import bpe, exact, language, ngram_join, packing, quality, substrings, tokenfile
 from bizmetrics.llm.shared import scratch
 
 
@@ -46,6 +46,10 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_documents(spark, sf_dir), _tokenizer("byte_bpe_50k.json"))
 
 
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(_documents(spark, sf_dir))
+
+
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(_documents(spark, sf_dir))
 
@@ -58,5 +62,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_quality_rules": op5,
         "op6_token_files": op6,
         "op7_best_fit_packing": op7,
+        "op8_language_id": op8,
         "op9_exact_dedup": op9,
     }
