@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bizmetrics.llm import bpe, exact, language, ngram_join, packing, quality, substrings, tokenfile
+from bizmetrics.llm import bpe, exact, language, licenses, ngram_join, packing, quality, substrings, tokenfile
 from bizmetrics.llm.shared import scratch
 
 
@@ -28,6 +28,10 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_documents(spark, sf_dir), _tokenizer("byte_bpe_multi_50k.tiktoken"))
 
 
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_documents(spark, sf_dir))
+
+
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeated(_documents(spark, sf_dir)).drop("kept_text")
 
@@ -58,6 +62,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard_join": op1,
         "op2_byte_bpe": op2,
+        "op3_license_scan": op3,
         "op4_substring_dedup": op4,
         "op5_quality_rules": op5,
         "op6_token_files": op6,

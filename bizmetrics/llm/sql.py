@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bizmetrics.llm.licenses import TEMPLATES
+
 EXACT = """
 with t as (
   select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
@@ -40,6 +42,49 @@ select r.doc_id, coalesce(any_value(n), 0) as n_shingles, min(root) as component
 from r left join n using (doc_id) group by r.doc_id
 """
 
+
+
+def _licenses() -> str:
+    """Every start of every template, without an index of rare words."""
+    templates = ", ".join(
+        f"({t}, '{x.label}', {len(x.words)}, {x.need}, {x.base})" for t, x in enumerate(TEMPLATES)
+    )
+    places = ", ".join(f"({t}, {o}, '{w}')" for t, x in enumerate(TEMPLATES) for o, w in enumerate(x.words))
+    keys = ", ".join(
+        f"({t}, {at + k})" for t, x in enumerate(TEMPLATES) for at, key in x.key_places() for k in range(len(key))
+    )
+    return rf"""
+with t(t, label, len, need, base) as (values {templates}),
+p(t, o, word) as (values {places}),
+k(t, o) as (values {keys}),
+w as (
+  select doc_id, regexp_extract_all(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws
+  from documents),
+u as (select doc_id, unnest(ws) as word, unnest(range(0, len(ws))) as pos from w),
+m as (
+  select u.doc_id, p.t, pos - p.o as s, count(*) as n,
+         count(*) filter (where (p.t, p.o) in (select (k.t, k.o) from k)) as n_keys
+  from u join p using (word) where pos >= p.o group by u.doc_id, p.t, s),
+f as (
+  select m.doc_id, m.s, t.label, t.base, n / t.len as share
+  from m join t using (t) join w using (doc_id)
+  where n >= need and s + t.len <= len(ws)
+    and n_keys = (select count(*) from (select distinct t, o from k) q where q.t = m.t)),
+g as (
+  select doc_id, count(*) filter (where base) as n_base,
+         min(s) filter (where base) as first_word, max(s) filter (where base) as last_word,
+         string_agg(distinct label, ',' order by label) filter (where base) as base_labels,
+         string_agg(distinct label, ',' order by label) as labels, max(share) as score
+  from f group by doc_id)
+select w.doc_id, len(ws) as n_words, coalesce(n_base, 0) as n_base, first_word, last_word,
+       coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels,
+       coalesce(score, 0.0) as score
+from w left join g using (doc_id)
+"""
+
+
 SUBSTRINGS = r"""
 with w as (
   select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws
@@ -65,6 +110,7 @@ from w left join j using (doc_id) left join g using (doc_id)
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_ngram_jaccard_join": NGRAM_JOIN,
+        "op3_license_scan": _licenses(),
         "op4_substring_dedup": SUBSTRINGS,
         "op9_exact_dedup": EXACT,
     }
