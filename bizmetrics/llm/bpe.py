@@ -26,8 +26,7 @@ from bizmetrics.llm.tokens import ENDS, Memory, little, units
 LEAF = 8  # bytes that are merged directly
 LONG = 64  # bytes from which the merge loop keeps its pairs in a heap
 DECODE_LEAF = 4096  # ids that are looked up in one go
-PIECES = UNITS = SHORT = 150_000
-PAIRS = 100_000
+KNOWN, SHORT, PAIRS = 400_000, 150_000, 100_000  # entries of a generation of each table
 
 
 class Codec:
@@ -42,8 +41,8 @@ class Codec:
         self.ranks = ranks
         self.tokens = {i: token for token, i in ranks.items()}
         self.split = regex.compile(public_tokenizers.PATTERN).findall
-        self._pairs, self._short = Memory(PAIRS), Memory(SHORT)
-        self._pieces, self._units = Memory(PIECES), Memory(UNITS)
+        # A piece is a unit too: one table holds both.
+        self._pairs, self._short, self._known = Memory(PAIRS), Memory(SHORT), Memory(KNOWN)
 
     @classmethod
     def get(cls, path: str) -> Codec:
@@ -135,28 +134,22 @@ class Codec:
         half = len(data) // 2
         return self.join(self.reduce(data[:half]), self.reduce(data[half:]))
 
-    def _piece(self, piece: str) -> bytes:
-        ids = self._pieces.get(piece)
-        if ids is None:
-            data = piece.encode()
-            whole = self.ranks.get(data)  # a piece that is a token is not merged
-            ids = little(self.reduce(data) if whole is None else [whole])
-            if len(data) < 100:
-                self._pieces.put(piece, ids)
-        return ids
-
-    def _unit(self, unit: str) -> bytes:
-        ids = self._units.get(unit)
+    def _unit(self, unit: str, whole: bool = False) -> bytes:
+        """Ids of a unit, or of what is known to be one piece."""
+        ids = self._known.get(unit)
         if ids is None:
             word = unit[1:]
-            if unit[0] == " " and word.isalpha():
-                ids = self._piece(unit)
-            elif unit[0] == " " and word[-1:] in ENDS and word[:-1].isalpha():
-                ids = self._piece(unit[:-1]) + self._piece(word[-1])
+            spaced = unit[0] == " "
+            if whole or spaced and word.isalpha():
+                data = unit.encode()
+                token = self.ranks.get(data)  # a piece that is a token is not merged
+                ids = little(self.reduce(data) if token is None else [token])
+            elif spaced and word[-1:] in ENDS and word[:-1].isalpha():
+                ids = self._unit(unit[:-1], True) + self._unit(word[-1], True)
             else:
-                ids = b"".join([self._piece(p) for p in self.split(unit)])
+                ids = b"".join([self._unit(p, True) for p in self.split(unit)])
             if len(unit) < 100:
-                self._units.put(unit, ids)
+                self._known.put(unit, ids)
         return ids
 
     def encode(self, text: str) -> bytes:
@@ -165,7 +158,7 @@ class Codec:
             return b""
         out = []
         for unit in units(text):
-            ids = self._units.new.get(unit)
+            ids = self._known.new.get(unit)
             out.append(self._unit(unit) if ids is None else ids)
         return b"".join(out)
 

@@ -15,11 +15,12 @@ from array import array
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-# Entries of a generation of a table; of two generations the older one is dropped.
-UNITS, PIECES = 200_000, 200_000
+# Entries of a generation of the table; of two generations the older one is dropped.
+KNOWN = 500_000
 # A space that starts a piece: beside white space the library decides.
 _SPLIT = re.compile(r"(?<=\S) (?=\S)")
-_LOOSE = re.compile(r"\s\s|^\s|\s$")
+_BEFORE = re.compile(r" \s")
+_AFTER = re.compile("[\t-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000] ")
 # Marks after which, and before the end, no piece goes on.
 ENDS = frozenset(".,;:!?")
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -64,7 +65,10 @@ class Memory:
 
 def units(text: str) -> list[str]:
     """The text, cut before single spaces that stand between characters of words."""
-    words = _SPLIT.split(text) if _LOOSE.search(text) else text.split(" ")
+    if text[0] == " " or text[-1] == " " or _BEFORE.search(text) or _AFTER.search(text):
+        words = _SPLIT.split(text)
+    else:
+        words = text.split(" ")
     return words[:1] + [" " + word for word in words[1:]]
 
 
@@ -80,10 +84,12 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.model = self.tokenizer.model
+        self.tokenize = self.tokenizer.model.tokenize
         self.split = regex.compile(public_tokenizers.PATTERN).findall
         self.letters = _byte_letters()
-        self.units, self.pieces = Memory(UNITS), Memory(PIECES)
+        self.space = self.letters[32]
+        # A piece is a unit too: one table holds both.
+        self.known = Memory(KNOWN)
 
     @classmethod
     def get(cls, path: str) -> Encoder:
@@ -91,27 +97,24 @@ class Encoder:
             cls._made[path] = cls(path)
         return cls._made[path]
 
-    def _piece(self, piece: str) -> bytes:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            letters = piece.encode().decode("latin-1").translate(self.letters)
-            ids = little([t.id for t in self.model.tokenize(letters)])
-            if len(piece) < 100:
-                self.pieces.put(piece, ids)
-        return ids
-
-    def _unit(self, unit: str) -> bytes:
-        ids = self.units.get(unit)
+    def _unit(self, unit: str, whole: bool = False) -> bytes:
+        """Ids of a unit, or of what is known to be one piece."""
+        ids = self.known.get(unit)
         if ids is None:
             word = unit[1:]
-            if unit[0] == " " and word.isalpha():
-                ids = self._piece(unit)
-            elif unit[0] == " " and word[-1:] in ENDS and word[:-1].isalpha():
-                ids = self._piece(unit[:-1]) + self._piece(word[-1])
+            spaced = unit[0] == " "
+            if whole or spaced and word.isalpha():
+                if spaced and word.isascii() and word.isalnum():
+                    letters = self.space + word
+                else:
+                    letters = unit.encode().decode("latin-1").translate(self.letters)
+                ids = little([t.id for t in self.tokenize(letters)])
+            elif spaced and word[-1:] in ENDS and word[:-1].isalpha():
+                ids = self._unit(unit[:-1], True) + self._unit(word[-1], True)
             else:
-                ids = b"".join([self._piece(p) for p in self.split(unit)])
+                ids = b"".join([self._unit(p, True) for p in self.split(unit)])
             if len(unit) < 100:
-                self.units.put(unit, ids)
+                self.known.put(unit, ids)
         return ids
 
     def encode(self, text: str) -> bytes:
@@ -119,6 +122,6 @@ class Encoder:
             return b""
         out = []
         for unit in units(text):
-            ids = self.units.new.get(unit)
+            ids = self.known.new.get(unit)
             out.append(self._unit(unit) if ids is None else ids)
         return b"".join(out)
