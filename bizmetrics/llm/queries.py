@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from bizmetrics.llm import bpe, exact, language, licenses, ngram_join, packing, quality, substrings, tokenfile
-from bizmetrics.llm.shared import scratch
+from bizmetrics.llm import bpe, exact, language, licenses, ngram_join, packing, quality, substrings, tokenfile, warc
+from bizmetrics.llm.shared import scratch, store
 
 
 def _tokenizer(name: str) -> str:
@@ -58,6 +59,24 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(_documents(spark, sf_dir))
 
 
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archive all pages, copy the archive with one record in 256 damaged, audit the copy."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    primary, replica = scratch(spark, "warc"), scratch(spark, "warc-replica")
+    warc.write(pages, primary)
+    damaged = F.substring(F.md5("id"), 1, 2) == "07"
+    warc.copy(
+        warc.files(spark, primary), replica,
+        F.when(damaged, F.concat(F.lit("warc"), F.expr("substring(record, 5)"))).otherwise(F.col("record")),
+    )
+    found = store(warc.records(warc.files(spark, primary)).drop("record"), "warc-records")
+    kind = pages.schema["page_id"].dataType
+    return warc.audit(found, warc.files(spark, replica)).select(
+        F.when(F.col("id") != "", F.col("id")).cast(kind).alias("page_id"),
+        "length", "sha256", "replica_ok", "replica_sha256",
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard_join": op1,
@@ -69,4 +88,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_best_fit_packing": op7,
         "op8_language_id": op8,
         "op9_exact_dedup": op9,
+        "op10_warc_fixity": op10,
     }

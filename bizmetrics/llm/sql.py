@@ -106,6 +106,22 @@ select w.doc_id, len(ws) as n_words, coalesce(n, 0) as n_removed,
 from w left join j using (doc_id) left join g using (doc_id)
 """
 
+FIXITY = r"""
+with r as (
+  select page_id, concat('WARC/1.0', e, 'WARC-Type: resource', e, 'WARC-Record-ID: <urn:page:',
+      coalesce(page_id::varchar, ''), '>', e, 'WARC-Date: 1970-01-01T00:00:00Z', e,
+      coalesce('WARC-Target-URI: ' || regexp_replace(url, '[\r\n]', '', 'g') || e, ''),
+      'Content-Type: text/html', e, 'Content-Length: ', strlen(coalesce(html, '')), e, e,
+      coalesce(html, '')) as rec
+  from pages, (select chr(13) || chr(10) as e)),
+c as (
+  select *, md5(coalesce(page_id::varchar, ''))[1:2] = '07' as damaged,
+         'warc' || rec[5:] as copied from r)
+select page_id, strlen(rec) as length, sha256(rec) as sha256, not damaged as replica_ok,
+       case when damaged then sha256(copied) end as replica_sha256
+from c
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
@@ -113,4 +129,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_license_scan": _licenses(),
         "op4_substring_dedup": SUBSTRINGS,
         "op9_exact_dedup": EXACT,
+        "op10_warc_fixity": FIXITY,
     }
