@@ -38,7 +38,7 @@ def prepare(spark: SparkSession) -> None:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, for files that ``release`` may delete."""
+    """A new path in the shared folder, listed for ``taken``."""
     path = f"{shared_folder(spark)}/llm-scratch/{name}-{uuid.uuid4().hex}"
     _written.append(path)
     return path
@@ -52,12 +52,23 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete what stands at earlier paths of ``scratch``; their results must have been written."""
+def mark() -> int:
+    """How many scratch paths there are: for ``taken``."""
+    return len(_written)
+
+
+def taken(since: int) -> list[str]:
+    """The scratch paths made since ``mark``; whoever takes them deletes them."""
+    own = _written[since:]
+    del _written[since:]
+    return own
+
+
+def delete(spark: SparkSession, paths: list[str]) -> None:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    while _written:
-        path = hadoop(_written.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    for path in paths:
+        at = hadoop(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def numbered(df: DataFrame, name: str) -> DataFrame:
