@@ -38,6 +38,7 @@ from bizmetrics.llm.shared import prepare, store
 from bizmetrics.llm.text import chunks, mix, poly, window_hashes, word_bounds, word_hashes
 
 SKETCH = sketch.Shape(bits=20, rows=2)
+WANTED = sketch.Shape(bits=22, rows=2, limit=255)
 HOT = 5000
 _WORD, _SHINGLE, _SHORT, _DIGEST = 21, 22, 23, 24
 
@@ -183,6 +184,44 @@ def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.withColumn("common", F.size(F.array_intersect("sa", "sb")).cast("long")).drop("sa", "sb")
 
 
+def _ids(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+
+
+def _sets(rows: DataFrame, of_set: DataFrame, ids: DataFrame, how: Similarity) -> DataFrame:
+    """``id, shingles`` of some sets, from the texts again; stored.
+
+    A sketch of the wanted documents' ids, of fixed size, keeps most other texts from being
+    cut into shingles; digests decide. Rows that repeat id and text may give a set twice.
+    """
+    wanted = store(ids.join(of_set, "id").select("id", F.xxhash64("of").alias("k"), "d1", "d2"), "wanted")
+
+    def keys(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        yield batch.column(0).to_numpy().view(np.uint64)
+
+    some = rows.sparkSession.sparkContext.broadcast(
+        sketch.AtLeast(sketch.count(wanted.select("k"), keys, WANTED), WANTED, 1)
+    )
+
+    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = some.value(batch.column(1).to_numpy().view(np.uint64))
+            for _, shingles, bounds in shingle_sets(batch.column(0).filter(pa.array(own)), how):
+                d1, d2 = _digests(shingles, bounds)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(d1), pa.array(d2),
+                        pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(shingles.view(np.int64))),
+                    ],
+                    names=["d1", "d2", "shingles"],
+                )
+
+    found = rows.select("text", F.xxhash64("doc_id").alias("k")).mapInArrow(
+        full, "d1 long, d2 long, shingles array<long>"
+    )
+    return store(found.join(wanted.select("id", "d1", "d2"), ["d1", "d2"]).select("id", "shingles"), "shingles")
+
+
 def ngram_links(
     docs: DataFrame, how: Similarity, id_col: str = "doc_id", text_col: str = "text",
     shape: sketch.Shape = SKETCH, hot: int = HOT,
@@ -228,34 +267,6 @@ def ngram_links(
         "lists",
     )
 
-    # The shingles of every set that some list holds with another.
-    wanted = live.select("id").distinct().join(of_set, "id").select("id", "of", "d1", "d2")
-    kind = rows.schema["doc_id"].dataType.simpleString()
-
-    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, shingles, bounds in shingle_sets(batch.column(0), how):
-                d1, d2 = _digests(shingles, bounds)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(1).slice(first, len(d1)), pa.array(d1), pa.array(d2),
-                        pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(shingles.view(np.int64))),
-                    ],
-                    names=["of", "d1", "d2", "shingles"],
-                )
-
-    texts = rows.join(
-        wanted.select(F.col("of").alias("wanted_id")).distinct(),
-        F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi",
-    )
-    sets = store(
-        texts.mapInArrow(full, f"of {kind}, d1 long, d2 long, shingles array<long>")
-        .join(wanted.select("id", "d1", "d2"), ["d1", "d2"])
-        .select("id", "shingles")
-        .dropDuplicates(["id"]),
-        "shingles",
-    )
-
     # Every set meets the heads of its lists; the least head it links with is its block.
     enough = how.overlap("n", "m")
     met = (
@@ -266,6 +277,8 @@ def ngram_links(
         .select(F.col("id").alias("a"), F.col("head").alias("b"), "n", F.col("head_n").alias("m"))
         .distinct()
     )
+    met = store(met, "met")
+    sets = _sets(rows, of_set, _ids(met), how)
     stars = store(
         _overlaps(met, sets)
         .filter(f"common >= {enough}")
@@ -317,6 +330,8 @@ def ngram_links(
         .distinct(),
         "meeting",
     )
+    more = _ids(meeting).join(sets.select("id").distinct(), "id", "left_anti")
+    sets = sets.union(_sets(rows, of_set, more, how))
     size = member.select("id", "n")
     heads = (
         meeting.join(size.select(F.col("id").alias("a"), "n"), "a")
@@ -353,6 +368,9 @@ def ngram_links(
             .select("a", "b", "n", "m")
             .distinct()
         )
+        near = store(near, "near")
+        more = _ids(near).join(sets.select("id").distinct(), "id", "left_anti")
+        sets = sets.union(_sets(rows, of_set, more, how))
         links = links.union(_overlaps(near, sets).filter(f"common >= {enough}").select("a", "b"))
     roots = components(links)
     named = (

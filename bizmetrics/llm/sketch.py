@@ -117,11 +117,11 @@ def estimate(table: np.ndarray, shape: Shape, keys: np.ndarray) -> np.ndarray:
     return out
 
 
-class Repeated:
-    """Only whether an estimate is two or more: one bit a cell, for the broadcast."""
+class AtLeast:
+    """Only whether an estimate is ``least`` or more: one bit a cell, for the broadcast."""
 
-    def __init__(self, table: np.ndarray, shape: Shape):
-        self.shape, self.bits = shape, np.packbits(table >= 2)
+    def __init__(self, table: np.ndarray, shape: Shape, least: int):
+        self.shape, self.bits = shape, np.packbits(table >= least)
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
         out = np.ones(len(keys), bool)

@@ -50,7 +50,7 @@ def _windows(chunk: Chunk, window: int, anchor: int):
     return words, inside, doc, least
 
 
-def _sketch(docs: DataFrame, window: int, anchor: int, shape: sketch.Shape) -> sketch.Repeated:
+def _sketch(docs: DataFrame, window: int, anchor: int, shape: sketch.Shape) -> sketch.AtLeast:
     def keys(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         for chunk in chunks(batch.column(0)):
             _, inside, doc, least = _windows(chunk, window, anchor)
@@ -61,7 +61,7 @@ def _sketch(docs: DataFrame, window: int, anchor: int, shape: sketch.Shape) -> s
             new[1:] = (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])
             yield least[new]
 
-    return sketch.Repeated(sketch.count(docs.select("text"), keys, shape), shape)
+    return sketch.AtLeast(sketch.count(docs.select("text"), keys, shape), shape, 2)
 
 
 def _candidates(rows: DataFrame, repeated, window: int, anchor: int) -> DataFrame:
