@@ -7,10 +7,13 @@ sketch; then by hash). Two sets that link share a shingle within the first
 * Equal sets are one set: the index only sees one of them.
 * Within a list, each set first only meets the list's head (its least id). Sets that
   link with a head belong to its *block*, with their distance to it: of n near copies in a
-  list that is n meetings, not n * n.
-* Then blocks meet, not sets. In every list a block is one entry with the range of its
-  sizes and the longest rest behind its positions; a pair of entries is skipped if no sizes
-  and positions in them could give the overlap, and if both are in one component already.
+  list that is n meetings, not n * n. Further rounds draw other heads for the sets that are
+  in another component than theirs.
+* Then blocks of different components meet, not sets. In every list a block is one entry
+  with the range of its sizes and the longest rest behind its positions; a pair of entries
+  is skipped if no sizes and positions in them could give the overlap, and if the heads'
+  signatures (parities of hashed shingles, a lower bound of their difference) are too far
+  apart for their radii.
 * The members' answers are derived from those of the heads. Distance is a metric: if the
   heads of two blocks are further apart than the threshold and both distances to the heads
   together, no members link. If the heads link, the blocks are one component, and no member
@@ -39,7 +42,10 @@ from bizmetrics.llm.text import chunks, mix, poly, window_hashes, word_bounds, w
 
 SKETCH = sketch.Shape(bits=20, rows=2)
 WANTED = sketch.Shape(bits=22, rows=2, limit=255)
+SIGNATURE = 8  # long integers
+SIGNED = [f"s{i}" for i in range(SIGNATURE)]
 HOT = 5000
+OFTEN = 0.02  # links a meeting, from which another round of heads is worth its while
 _WORD, _SHINGLE, _SHORT, _DIGEST = 21, 22, 23, 24
 
 
@@ -101,9 +107,19 @@ def _digests(shingles: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.n
     return high.view(np.int64), low.view(np.int64)
 
 
+def _parities(shingles: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """A row of ``SIGNATURE`` numbers for each set: the parity of its shingles in each of
+    64 * SIGNATURE cells. Two sets differ in at least as many shingles as parities."""
+    size, cells = len(bounds) - 1, 64 * SIGNATURE
+    doc = np.repeat(np.arange(size), np.diff(bounds))
+    cell = (shingles >> np.uint64(32)).astype(np.int64) % cells
+    odd = np.bincount(doc * cells + cell, minlength=size * cells).reshape(size, cells) & 1
+    return np.packbits(odd.astype(np.uint8), axis=1).view(">i8").astype(np.int64).reshape(size, SIGNATURE)
+
+
 def _indexed(rows: DataFrame, how: Similarity, shape: sketch.Shape, hot: int) -> DataFrame:
-    """``doc_id, n, d1, d2, prefix, parts``: size, digest, first shingles in the global order
-    and into how many parts each one's list is split; stored with a ``rid``."""
+    """``doc_id, n, d1, d2, prefix, parts`` and the signature: size, digest, first shingles in
+    the global order and into how many parts each one's list is split; stored with a ``rid``."""
 
     def keys(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         for _, shingles, _ in shingle_sets(batch.column(0), how):
@@ -133,13 +149,16 @@ def _indexed(rows: DataFrame, how: Similarity, shape: sketch.Shape, hot: int) ->
                         pa.array(size.astype(np.int64)), pa.array(d1), pa.array(d2),
                         pa.ListArray.from_arrays(offsets, pa.array(shingles[chosen].view(np.int64))),
                         pa.ListArray.from_arrays(offsets, pa.array(parts.astype(np.int32))),
+                        *[pa.array(np.ascontiguousarray(c)) for c in _parities(shingles, bounds).T],
                     ],
-                    names=["doc_id", "n", "d1", "d2", "prefix", "parts"],
+                    names=["doc_id", "n", "d1", "d2", "prefix", "parts", *SIGNED],
                 )
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     made = rows.mapInArrow(
-        index, f"doc_id {kind}, n long, d1 long, d2 long, prefix array<long>, parts array<int>"
+        index,
+        f"doc_id {kind}, n long, d1 long, d2 long, prefix array<long>, parts array<int>, "
+        + ", ".join(f"{c} long" for c in SIGNED),
     )
     return store(made.withColumn("rid", F.monotonically_increasing_id()), "sets")
 
@@ -222,6 +241,17 @@ def _sets(rows: DataFrame, of_set: DataFrame, ids: DataFrame, how: Similarity) -
     return store(found.join(wanted.select("id", "d1", "d2"), ["d1", "d2"]).select("id", "shingles"), "shingles")
 
 
+def _more(sets: DataFrame, rows: DataFrame, of_set: DataFrame, pairs: DataFrame, how: Similarity) -> DataFrame:
+    """``sets`` and those that ``pairs`` need besides."""
+    missing = _ids(pairs).join(sets.select("id").distinct(), "id", "left_anti")
+    return sets if missing.isEmpty() else sets.union(_sets(rows, of_set, missing, how))
+
+
+def _rooted(ids: DataFrame, roots: DataFrame) -> DataFrame:
+    """``ids`` with the root of each id, its own where nothing links to it."""
+    return ids.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+
+
 def ngram_links(
     docs: DataFrame, how: Similarity, id_col: str = "doc_id", text_col: str = "text",
     shape: sketch.Shape = SKETCH, hot: int = HOT,
@@ -269,15 +299,15 @@ def ngram_links(
 
     # Every set meets the heads of its lists; the least head it links with is its block.
     enough = how.overlap("n", "m")
-    met = (
-        live.filter(
-            f"id <> head and {how.sizes('n', 'head_n')} "
-            f"and least(n - pos, head_n - head_pos) >= {how.overlap('n', 'head_n')}"
+    meet = f"{how.sizes('n', 'm')} and least(rest, head_rest) >= {enough}"
+    met = store(
+        live.select(
+            F.col("id").alias("a"), F.col("head").alias("b"), "n", F.col("head_n").alias("m"),
+            (F.col("n") - F.col("pos")).alias("rest"), (F.col("head_n") - F.col("head_pos")).alias("head_rest"),
         )
-        .select(F.col("id").alias("a"), F.col("head").alias("b"), "n", F.col("head_n").alias("m"))
-        .distinct()
+        .filter(f"a <> b and {meet}").select("a", "b", "n", "m").distinct(),
+        "met",
     )
-    met = store(met, "met")
     sets = _sets(rows, of_set, _ids(met), how)
     stars = store(
         _overlaps(met, sets)
@@ -287,57 +317,86 @@ def ngram_links(
         .select("a", F.col("s.b").alias("b"), F.col("s.far").alias("far")),
         "stars",
     )
-    roots = components(stars.select("a", "b"))
+    links = stars.select("a", "b")
+    roots = components(links)
+    lists = live.select("shingle", "id", "n", (F.col("n") - F.col("pos")).alias("rest"))
+
+    # Then other heads, drawn for each list and round, as long as meetings often give links:
+    # what becomes one component need not be compared below.
+    draw = 0
+    while True:
+        draw += 1
+        now = store(_rooted(lists, roots), "rooted")
+        heads = store(
+            now.groupBy("shingle")
+            .agg(
+                F.min(F.struct(F.xxhash64("id", "shingle", F.lit(draw)), "id", "n", "rest", "root")).alias("h"),
+                F.min("root").alias("r0"), F.max("root").alias("r1"),
+            )
+            .filter("r0 < r1")
+            .select(
+                "shingle", F.col("h.id").alias("b"), F.col("h.n").alias("m"),
+                F.col("h.rest").alias("head_rest"), F.col("h.root").alias("head_root"),
+            ),
+            "heads-drawn",
+        )
+        met = store(
+            now.join(heads, "shingle").filter(f"root <> head_root and {meet}")
+            .select(F.col("id").alias("a"), "b", "n", "m").distinct(),
+            "met",
+        )
+        sets = _more(sets, rows, of_set, met, how)
+        new = store(_overlaps(met, sets).filter(f"common >= {enough}").select("a", "b"), "links-drawn")
+        won, tried = new.count(), met.count()
+        if won:
+            links = links.union(new)
+            roots = components(links)
+        if won < OFTEN * tried or not won:
+            break
+
     member = store(
-        live.select("id", "n").distinct()
+        _rooted(live.select("id", "n").distinct(), roots)
         .join(stars.select(F.col("a").alias("id"), F.col("b").alias("block"), "far"), "id", "left")
-        .join(roots, "id", "left")
-        .select(
-            "id", "n", F.coalesce("block", "id").alias("block"),
-            F.coalesce("far", F.lit(0.0)).alias("far"), F.coalesce("root", "id").alias("root"),
-        ),
+        .select("id", "n", "root", F.coalesce("block", "id").alias("block"), F.coalesce("far", F.lit(0.0)).alias("far")),
         "members",
     )
+    head = indexed.select(F.col("rid").alias("block"), F.col("n").alias("size"), *SIGNED)
     blocks = store(
-        member.groupBy("block").agg(F.max("far").alias("radius")), "blocks"
-    )
-    # Blocks meet in lists, each with the range of its sizes and its longest rest.
-    placed = store(
-        live.select("shingle", "id", "pos").join(member, "id")
-        .select("shingle", "id", "n", (F.col("n") - F.col("pos")).alias("rest"), "block", "far", "root"),
-        "placed",
+        member.groupBy("block").agg(F.max("far").alias("radius")).join(head, "block"), "blocks"
     )
+    placed = store(lists.drop("n").join(member, "id"), "placed")
+    # Blocks of different components meet in lists: each with the range of its sizes, its
+    # longest rest, and the size and signature of its head.
+    open_ = placed.groupBy("shingle").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 < r1")
+    placed_open = store(placed.join(store(open_.select("shingle"), "lists-open"), "shingle", "left_semi"), "placed-open")
     summary = store(
-        placed.groupBy("shingle", "root", "block").agg(
-            F.min("n").alias("low"), F.max("n").alias("high"), F.max("rest").alias("rest")
-        ),
-        "summaries",
+        placed_open.groupBy("shingle", "root", "block")
+        .agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("rest").alias("rest"))
+        .join(blocks, "block"),
+        "blocks-in-lists",
     )
-    several = summary.groupBy("shingle").agg(
-        F.min("root").alias("r0"), F.max("root").alias("r1")
-    ).filter("r0 < r1").select("shingle")
-    summary = store(summary.join(several, "shingle", "left_semi"), "summaries-open")
-    x = summary.select("shingle", *[F.col(c).alias(f"x_{c}") for c in ("root", "block", "low", "high", "rest")])
-    y = summary.select("shingle", *[F.col(c).alias(f"y_{c}") for c in ("root", "block", "low", "high", "rest")])
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        return df.select("shingle", *[F.col(c).alias(f"{name}_{c}") for c in df.columns if c != "shingle"])
+
+    most = 1 - how.num / how.den + 1e-9
+    differ = "(" + " + ".join(f"bit_count(x_{c} ^ y_{c})" for c in SIGNED) + ")"
     meeting = store(
-        x.join(y, "shingle")
+        side(summary, "x").join(side(summary, "y"), "shingle")
         .filter(
             f"x_block < y_block and x_root <> y_root "
             f"and {how.den} * x_high >= {how.num} * y_low and {how.den} * y_high >= {how.num} * x_low "
-            f"and least(x_rest, y_rest) >= {how.overlap('x_low', 'y_low')}"
+            f"and least(x_rest, y_rest) >= {how.overlap('x_low', 'y_low')} "
+            f"and 2 * {differ} <= ({most} + x_radius + y_radius) * (x_size + y_size + {differ})"
         )
         .select(F.col("x_block").alias("a"), F.col("y_block").alias("b"))
         .distinct(),
         "meeting",
     )
-    more = _ids(meeting).join(sets.select("id").distinct(), "id", "left_anti")
-    sets = sets.union(_sets(rows, of_set, more, how))
-    size = member.select("id", "n")
+    sets = _more(sets, rows, of_set, meeting, how)
     heads = (
-        meeting.join(size.select(F.col("id").alias("a"), "n"), "a")
-        .join(size.select(F.col("id").alias("b"), F.col("n").alias("m")), "b")
-        .join(blocks.select(F.col("block").alias("a"), F.col("radius").alias("ra")), "a")
-        .join(blocks.select(F.col("block").alias("b"), F.col("radius").alias("rb")), "b")
+        meeting.join(blocks.select(F.col("block").alias("a"), F.col("size").alias("n"), F.col("radius").alias("ra")), "a")
+        .join(blocks.select(F.col("block").alias("b"), F.col("size").alias("m"), F.col("radius").alias("rb")), "b")
     )
     heads = store(
         _overlaps(heads, sets)
@@ -345,32 +404,29 @@ def ngram_links(
         .withColumn("apart", 1 - F.col("common") / (F.col("n") + F.col("m") - F.col("common"))),
         "heads",
     )
-    links = stars.select("a", "b").union(heads.filter("link").select("a", "b"))
+    links = links.union(heads.filter("link").select("a", "b"))
 
     # Between the bounds: members meet, each pair only if its own distances allow a link.
-    slack = 1 - how.num / how.den + 1e-9
-    unsure = heads.filter(f"not link and apart <= {slack} + ra + rb and ra + rb > 0").select("a", "b", "apart")
+    unsure = heads.filter(f"not link and apart <= {most} + ra + rb and ra + rb > 0").select("a", "b", "apart", "ra", "rb")
     if not unsure.isEmpty():
-        roots = components(links)
-        now = placed.drop("root").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-        p = now.select("shingle", F.col("id").alias("a"), "n", F.col("rest").alias("p_rest"),
-                       F.col("block").alias("p_block"), F.col("far").alias("p_far"), F.col("root").alias("p_root"))
-        q = now.select("shingle", F.col("id").alias("b"), F.col("n").alias("m"), F.col("rest").alias("q_rest"),
-                       F.col("block").alias("q_block"), F.col("far").alias("q_far"), F.col("root").alias("q_root"))
-        near = (
-            p.join(unsure.select(F.col("a").alias("p_block"), F.col("b").alias("q_block"), "apart"), "p_block")
-            .filter(f"apart <= {slack} + p_far + (1 - {how.num / how.den})")
-            .join(q, ["shingle", "q_block"])
+        back = unsure.select(F.col("b").alias("a"), F.col("a").alias("b"), "apart", F.col("rb").alias("ra"), F.col("ra").alias("rb"))
+        unsure = store(unsure.union(back), "unsure")
+        now = store(_rooted(placed_open.drop("root"), components(links)), "placed-again")
+        # Only lists in which both blocks stand.
+        x = side(now, "x").join(
+            unsure.select(F.col("a").alias("x_block"), F.col("b").alias("y_block"), "apart", "rb"), "x_block"
+        )
+        near = store(
+            x.filter(f"apart <= {most} + x_far + rb").join(side(now, "y"), ["shingle", "y_block"])
             .filter(
-                f"p_root <> q_root and apart <= {slack} + p_far + q_far and {how.sizes('n', 'm')} "
-                f"and least(p_rest, q_rest) >= {enough}"
+                f"x_id < y_id and x_root <> y_root and apart <= {most} + x_far + y_far "
+                f"and {how.sizes('x_n', 'y_n')} and least(x_rest, y_rest) >= {how.overlap('x_n', 'y_n')}"
             )
-            .select("a", "b", "n", "m")
-            .distinct()
+            .select(F.col("x_id").alias("a"), F.col("y_id").alias("b"), F.col("x_n").alias("n"), F.col("y_n").alias("m"))
+            .distinct(),
+            "near",
         )
-        near = store(near, "near")
-        more = _ids(near).join(sets.select("id").distinct(), "id", "left_anti")
-        sets = sets.union(_sets(rows, of_set, more, how))
+        sets = _more(sets, rows, of_set, near, how)
         links = links.union(_overlaps(near, sets).filter(f"common >= {enough}").select("a", "b"))
     roots = components(links)
     named = (
