@@ -99,8 +99,8 @@ def fit(packed: np.ndarray, labels: list[str], landmarks: int = LANDMARKS, ridge
 
 
 def train(labelled: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on at most ``sample`` rows of ``id, text, lang``: those with the least hashes of
-    the id. The whole texts count, as presences packed to bits."""
+    """Fit on at most ``sample`` rows of ``id, text, lang``: those with the least hashes, one
+    of equal rows. The whole texts count, as presences packed to bits."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,11 +112,14 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Model:
                     names=["bits", "lang", "h"],
                 )
 
+    hashed = labelled.select("text", "lang", F.xxhash64("id", "text", "lang").alias("h"))
+    # The largest hash of the sample, from hashes alone: texts are not sorted or shuffled.
+    last = hashed.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
     chosen = (
-        labelled.select("text", "lang", F.xxhash64("id", F.lit(7)).alias("h"))
-        .orderBy("h", "lang", "text").limit(sample)
+        hashed.filter(F.col("h") <= (0 if last is None else last))
         .mapInArrow(pack, "bits binary, lang string, h long")
-        .toArrow().sort_by([("h", "ascending"), ("lang", "ascending"), ("bits", "ascending")])
+        .dropDuplicates(["h"])
+        .toArrow().sort_by("h")
     )
     data = b"".join(chosen["bits"].to_pylist())
     packed = np.frombuffer(data, np.uint8).reshape(-1, (1 << BITS) // 8)
