@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bizmetrics.llm.shared import prepare
+from bizmetrics.llm.shared import prepare, store
 from bizmetrics.llm.tokens import Encoder
 
 BLOCK = 1024
@@ -152,7 +152,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     # One row a shard, that is a task of the writer.
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     shards = pages.groupBy("shard").agg(F.sum(size).alias("n"))
-    shards = shards.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    # Stored: Spark sees its size and does not shuffle the pages to join a small table.
+    shards = store(shards.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "shards")
     rows = pages.join(shards, "shard").select(
         "doc_ids", "lengths", (F.col("base") + F.col("first")).alias("first"), "ids"
     )
