@@ -26,7 +26,7 @@ from bizmetrics.llm.tokens import ENDS, Memory, little, units
 LEAF = 8  # bytes that are merged directly
 LONG = 64  # bytes from which the merge loop keeps its pairs in a heap
 DECODE_LEAF = 4096  # ids that are looked up in one go
-KNOWN, SHORT, PAIRS = 400_000, 150_000, 100_000  # entries of a generation of each table
+KNOWN, SHORT, PAIRS = 300_000, 150_000, 100_000  # entries of a generation of each table
 
 
 class Codec:

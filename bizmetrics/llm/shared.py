@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from bizmetrics.session import shared_folder
 
 # Rows per Arrow batch: texts are a few KB, so that a batch stays at a few MB.
-BATCH_ROWS = "512"
+BATCH_ROWS = "256"
 _written: list[str] = []
 
 

@@ -16,7 +16,7 @@ from array import array
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 # Entries of a generation of the table; of two generations the older one is dropped.
-KNOWN = 500_000
+KNOWN = 300_000
 # A space that starts a piece: beside white space the library decides.
 _SPLIT = re.compile(r"(?<=\S) (?=\S)")
 _BEFORE = re.compile(r" \s")
