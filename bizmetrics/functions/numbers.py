@@ -8,8 +8,10 @@ from bizmetrics import config
 from bizmetrics.functions.display import fixed
 from bizmetrics.functions.text import literal
 
-# Amounts of this size are entry errors, like infinity: they count as 0 and are reported.
-MONEY_LIMIT = "1e15D"
+# Only infinity is out of range: it counts as 0 and is reported. NaN is above it as well.
+_INFINITY = "double('infinity')"
+# Below this, four decimals of a double are exact enough to be summed as whole numbers.
+_FINE = "1e15D"
 
 # Up to 15 digits before the point: always in range. The wider pattern keeps out
 # spellings that only the JVM takes for a number (1d, 0x1p3).
@@ -29,27 +31,27 @@ def money(c: str, dtype: T.DataType | None = None) -> str:
     """Amount as double; null, unreadable and non-finite text count as 0."""
     if isinstance(dtype, T.NumericType):
         value = f"CAST({c} AS DOUBLE)"
-        return f"CASE WHEN abs({value}) < {MONEY_LIMIT} THEN {value} ELSE 0D END"
+        return f"CASE WHEN abs({value}) < {_INFINITY} THEN {value} ELSE 0D END"
     plain = _plain(c)
     value = f"try_cast({plain} AS DOUBLE)"
     return (
         f"CASE WHEN {c} IS NULL OR {c} = '' THEN 0D "
         f"WHEN {c} RLIKE {_COMMON} THEN try_cast({c} AS DOUBLE) "
         f"WHEN {plain} RLIKE {_COMMON} THEN {value} "
-        f"WHEN {plain} RLIKE {_NUMBER} AND abs({value}) < {MONEY_LIMIT} THEN {value} "
+        f"WHEN {plain} RLIKE {_NUMBER} AND abs({value}) < {_INFINITY} THEN {value} "
         "ELSE 0D END"
     )
 
 
 def non_finite(c: str, dtype: T.DataType | None = None) -> str:
-    """True for amounts that `money` sets to 0 for being out of range."""
+    """True for amounts that `money` sets to 0 for being infinite."""
     if isinstance(dtype, T.NumericType):
-        return f"coalesce(abs(CAST({c} AS DOUBLE)) >= {MONEY_LIMIT}, false)"
+        return f"coalesce(abs(CAST({c} AS DOUBLE)) >= {_INFINITY}, false)"
     plain = _plain(c)
     return (
         f"CASE WHEN {c} IS NULL OR {c} RLIKE {_COMMON} THEN false "
         f"WHEN {plain} RLIKE {_INFINITE} THEN true WHEN {plain} RLIKE {_NUMBER} "
-        f"THEN abs(try_cast({plain} AS DOUBLE)) >= {MONEY_LIMIT} ELSE false END"
+        f"THEN abs(try_cast({plain} AS DOUBLE)) >= {_INFINITY} ELSE false END"
     )
 
 
@@ -63,29 +65,54 @@ def enforce_double(c: str) -> str:
     return f"coalesce(nanvl(try_cast({c} AS DOUBLE), 0D), 0D)"
 
 
-def exact_total(c: str, where: str | None = None) -> str:
-    """Exact decimal total, amounts taken at four decimals; null when nothing was added.
+def _where(*conditions: str | None) -> str:
+    """Filter of an aggregate function."""
+    given = [f"({c})" for c in conditions if c]
+    return f" FILTER (WHERE {' AND '.join(given)})" if given else ""
+
+
+def fine_total(c: str, where: str | None = None) -> str:
+    """Exact decimal total of the amounts below 1e15, at four decimals; null if none.
 
     A double sum changes with partitioning, task retries and merge order; a decimal sum
-    does not, but costs eight times as much. So each amount is split into hundreds and
-    ten-thousandths, both are summed as longs, and the decimal is built once per group.
+    does not, but costs several times as much. So each amount is split into three whole
+    numbers below 10 million, which are summed as longs (for up to 9e11 rows a group) and
+    joined to a decimal once per group.
     """
-    only = f" FILTER (WHERE {where})" if where else ""
-    hundreds = f"floor({c} / 100D)"
-    rest = f"CAST(rint(({c} - {hundreds} * 100D) * 10000D) AS BIGINT)"
-    return (
-        f"(CAST(sum({hundreds}){only} AS DECIMAL(20,0)) * 100BD"
-        f" + CAST(sum({rest}){only} AS DECIMAL(20,0)) * 0.0001BD)"
-    )
+    high = f"floor({c} / 1e8D)"
+    middle = f"floor(({c} - {high} * 1e8D) / 100D)"
+    low = f"CAST(rint(({c} - {high} * 1e8D - {middle} * 100D) * 10000D) AS BIGINT)"
+
+    def part(value: str) -> str:
+        fine = f"CASE WHEN abs({c}) < {_FINE} THEN {value} END"
+        return f"CAST(sum({fine}){_where(where)} AS DECIMAL(20,0))"
+
+    return f"({part(high)} * 100000000BD + {part(middle)} * 100BD + {part(low)} * 0.0001BD)"
+
+
+def large_total(c: str, where: str | None = None) -> str:
+    """Total of the rare amounts of 1e15 and more, which have no decimals to lose."""
+    return f"sum({c}){_where(where, f'abs({c}) >= {_FINE}')}"
+
+
+def both_totals(fine: str, large: str) -> str:
+    """The two as one double; null if both are."""
+    fine = f"CAST({fine} AS DOUBLE)"
+    return f"coalesce({fine} + {large}, {fine}, {large})"
+
+
+def exact_total(c: str, where: str | None = None) -> str:
+    """Total as double, no amount left out; null when nothing was added."""
+    return both_totals(fine_total(c, where), large_total(c, where))
 
 
 def exact_sum(c: str, where: str | None = None) -> str:
-    """`exact_total` as double; 0 when nothing was added."""
-    return f"coalesce(CAST({exact_total(c, where)} AS DOUBLE), 0D)"
+    """`exact_total`; 0 when nothing was added."""
+    return f"coalesce({exact_total(c, where)}, 0D)"
 
 
 def exact_average(c: str) -> str:
-    return f"CAST({exact_total(c)} AS DOUBLE) / count({c})"
+    return f"{exact_total(c)} / count({c})"
 
 
 def round_half_even(c: str, digits: int) -> str:

@@ -7,7 +7,10 @@ before stripping and number parsing.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from bizmetrics import config
 from bizmetrics.functions import normalize, numbers
@@ -71,17 +74,45 @@ def work_order_rules(df: DataFrame) -> dict[str, str]:
     return rules
 
 
-def distinct_deals(
-    raw: DataFrame, order_by: list[str], numeric_columns: list[str] = ()
+_HEADER = "__header_row"
+
+
+def _ready(
+    df: DataFrame, rules: Callable, keys: list[str], skip: list[str]
+) -> DataFrame:
+    """Strip and convert what is no key: these columns enter the exchange as short values,
+    and no filter behind it has to carry the parsing. Keys must stay raw till then."""
+    keys = [k for k in keys if k in df.columns]
+    if not keys:
+        return df  # whole rows are compared
+    skip = {*keys, *skip}
+    df = filters.strip_strings(df, [c for c in filters.string_columns(df) if c not in skip])
+    return filters.apply_rules(df, {c: r for c, r in rules(df).items() if c not in skip})
+
+
+def _raw_left(df: DataFrame, keys: list[str]) -> list[str]:
+    """What `_ready` has left raw: the keys, or everything if there are none."""
+    return [k for k in keys if k in df.columns] or df.columns
+
+
+def _stripped(df: DataFrame, keys: list[str]) -> DataFrame:
+    left = _raw_left(df, keys)
+    return filters.strip_strings(df, [c for c in filters.string_columns(df) if c in left])
+
+
+def _finished(df: DataFrame, rules: Callable, keys: list[str]) -> DataFrame:
+    left = _raw_left(df, keys)
+    return filters.apply_rules(df, {c: r for c, r in rules(df).items() if c in left})
+
+
+def _filled(
+    df: DataFrame, order_by: list[str], numeric_columns: list[str]
 ) -> DataFrame:
-    """Canonical columns, empty rows gone, first copy of each deal; text still raw."""
-    df = canonical_deals(raw)
-    df = filters.drop_empty_rows(
+    return filters.drop_empty_rows(
         df,
         _data_columns(df, order_by),
         _text_columns(df, order_by, numeric_columns),
     )
-    return keep_first(df, config.DEAL_KEYS, order_by, numeric_columns)
 
 
 def clean_deals(
@@ -89,22 +120,24 @@ def clean_deals(
 ) -> DataFrame:
     """``order_by`` names the columns that hold the source position; they are dropped.
     ``numeric_columns`` are canonical columns whose cells are all numbers."""
-    df = distinct_deals(raw, order_by, numeric_columns)
-    df = filters.drop_header_rows(df)
-    df = filters.strip_strings(df)
-    df = filters.drop_blank_names(df)
-    return filters.apply_rules(df.drop(*order_by), deal_rules(df))
+    df = _filled(canonical_deals(raw), order_by, numeric_columns)
+    # the header test is on raw text, like the keys
+    header = filters.is_header_row("deal_status") if "deal_status" in df.columns else "false"
+    keyed = any(k in df.columns for k in config.DEAL_KEYS)
+    if keyed:
+        df = df.withColumn(_HEADER, F.expr(header))
+    df = _ready(df, deal_rules, config.DEAL_KEYS, [*order_by, _HEADER])
+    df = keep_first(df, config.DEAL_KEYS, order_by, numeric_columns)
+    df = df.filter(f"NOT {_HEADER}").drop(_HEADER) if keyed else df.filter(f"NOT {header}")
+    df = filters.drop_blank_names(_stripped(df.drop(*order_by), config.DEAL_KEYS))
+    return _finished(df, deal_rules, config.DEAL_KEYS)
 
 
 def distinct_work_orders(
     raw: DataFrame, order_by: list[str], numeric_columns: list[str] = ()
 ) -> DataFrame:
-    df = canonical_work_orders(raw)
-    df = filters.drop_empty_rows(
-        df,
-        _data_columns(df, order_by),
-        _text_columns(df, order_by, numeric_columns),
-    )
+    """Canonical columns, empty rows gone, first copy of each order; text still raw."""
+    df = _filled(canonical_work_orders(raw), order_by, numeric_columns)
     return keep_first(df, config.WORK_ORDER_KEYS, order_by, numeric_columns)
 
 
@@ -113,9 +146,11 @@ def clean_work_orders(
 ) -> DataFrame:
     """As `clean_deals`, but header-like and nameless rows are kept here and the billing
     months stay text."""
-    df = distinct_work_orders(raw, order_by, numeric_columns)
-    df = filters.strip_strings(df)
-    return filters.apply_rules(df.drop(*order_by), work_order_rules(df))
+    df = _filled(canonical_work_orders(raw), order_by, numeric_columns)
+    df = _ready(df, work_order_rules, config.WORK_ORDER_KEYS, order_by)
+    df = keep_first(df, config.WORK_ORDER_KEYS, order_by, numeric_columns)
+    df = _stripped(df.drop(*order_by), config.WORK_ORDER_KEYS)
+    return _finished(df, work_order_rules, config.WORK_ORDER_KEYS)
 
 
 def enforce_types(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from bizmetrics import config
 from bizmetrics.functions.display import kpi_display, kpi_label
-from bizmetrics.functions.numbers import exact_total
+from bizmetrics.functions.numbers import both_totals, fine_total, large_total
 from bizmetrics.functions.text import find, literal
 from bizmetrics.plans import financial, operational
 
@@ -61,8 +61,10 @@ def to_long(wide: DataFrame, units: dict[str, str]) -> DataFrame:
 def deal_kpis(deals: DataFrame) -> DataFrame:
     valued, is_open = "deal_value > 0", "deal_status = 'Open'"
     per_sector = deals.groupBy("sector").agg(
-        F.expr(f"{exact_total('deal_value', f'{valued} AND {is_open}')} AS open_total"),
-        F.expr(f"{exact_total('deal_value', valued)} AS total"),
+        F.expr(f"{fine_total('deal_value', f'{valued} AND {is_open}')} AS open_fine"),
+        F.expr(f"{large_total('deal_value', f'{valued} AND {is_open}')} AS open_large"),
+        F.expr(f"{fine_total('deal_value', valued)} AS fine"),
+        F.expr(f"{large_total('deal_value', valued)} AS large"),
         F.expr(f"count_if({valued}) AS valued"),
         F.expr(f"count_if({is_open}) AS open"),
         F.expr(
@@ -70,15 +72,16 @@ def deal_kpis(deals: DataFrame) -> DataFrame:
             " AS negotiating"
         ),
     )
+    per_sector = per_sector.withColumn("open_total", F.expr(both_totals("open_fine", "open_large")))
     # null for sectors without open value, so they cannot be the top one
     ranked = "CASE WHEN open_total IS NOT NULL THEN struct(-open_total, sector) END"
     wide = per_sector.selectExpr(
-        "coalesce(CAST(sum(open_total) AS DOUBLE), 0D) AS total_pipeline",
+        f"coalesce({both_totals('sum(open_fine)', 'sum(open_large)')}, 0D) AS total_pipeline",
         "coalesce(sum(open), 0) AS active_deals",
-        "CASE WHEN sum(valued) > 0 THEN CAST(sum(total) AS DOUBLE) / sum(valued) "
+        f"CASE WHEN sum(valued) > 0 THEN {both_totals('sum(fine)', 'sum(large)')} / sum(valued) "
         "ELSE 0D END AS avg_deal_size",
         f"min_by(sector, {ranked}) AS top_sector",
-        "CAST(max(open_total) AS DOUBLE) AS top_sector_value",
+        "max(open_total) AS top_sector_value",
         "coalesce(sum(negotiating), 0) AS deals_in_negotiation",
     )
     # without any open value there is no top sector to report

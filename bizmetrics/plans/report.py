@@ -14,7 +14,6 @@ from bizmetrics.plans.leadership import leadership_kpis
 
 EDGE_ROWS = 10
 MAX_ROWS = 2 * EDGE_ROWS
-TOP_SECTORS = 5
 
 SECTIONS = [
     "Weekly Sales & Delivery Update",
@@ -41,7 +40,7 @@ _LIST_START = 100
 
 
 def _ranked(df: DataFrame, order: list, section: int, text: str) -> DataFrame:
-    """List lines of an already limited frame, numbered in order."""
+    """List lines of an aggregated frame (a row a sector or status), numbered in order."""
     window = Window.partitionBy(F.lit(section)).orderBy(*order)
     return df.withColumn("__rank", F.row_number().over(window)).selectExpr(
         f"{section} AS section", f"__rank + {_LIST_START} AS pos", f"{text} AS line"
@@ -59,10 +58,10 @@ def _headings(spark: SparkSession) -> DataFrame:
 
 
 def leadership_report(
-    deals: DataFrame | None, work_orders: DataFrame | None
+    deals: DataFrame | None, work_orders: DataFrame | None, sectors: int | None = None
 ) -> DataFrame:
-    """Markdown lines: four sections of KPIs, the largest sectors and the execution
-    statuses. Every list is limited before it is numbered.
+    """Markdown lines: four sections of KPIs, the sectors (the largest ``sectors`` of them,
+    if given) and all execution statuses.
 
     Each table is read twice, for the KPIs and for its list; pass stored tables
     (`LoadResult.store`), on raw ones this means cleaning twice.
@@ -85,12 +84,13 @@ def leadership_report(
     ]
     if deals is not None:
         order = [F.desc("total_value"), F.col("sector")]
-        top = pipeline.pipeline_by_sector(deals).limit(TOP_SECTORS)
+        top = pipeline.pipeline_by_sector(deals)
+        top = top if sectors is None else top.limit(sectors)
         line = f"concat('  - ', sector, ': ', {format_currency('total_value')})"
         parts.append(_ranked(top, order, 1, line))
     if work_orders is not None:
         order = [F.desc("count"), F.col("execution_status")]
-        statuses = operational.execution_status(work_orders).limit(MAX_ROWS)
+        statuses = operational.execution_status(work_orders)
         line = "concat('  - ', execution_status, ': ', CAST(count AS STRING))"
         parts.append(_ranked(statuses, order, 2, line))
     return reduce(DataFrame.unionByName, parts)

@@ -109,20 +109,23 @@ def _date(x: str) -> str:
     )
 
 
-def _money(x: str) -> str:
-    return f"CAST({x} AS DECIMAL(18,4))"
+def _total(x: str, where: str = "true") -> str:
+    """Decimal below 1e15, where decimals count; null if nothing was added."""
+    fine = f"CAST(sum(CAST({x} AS DECIMAL(20,4))) FILTER (WHERE abs({x}) < 1e15 AND {where}) AS DOUBLE)"
+    large = f"sum({x}) FILTER (WHERE abs({x}) >= 1e15 AND {where})"
+    return f"coalesce({fine} + {large}, {fine}, {large})"
 
 
 def _sum(x: str) -> str:
-    return f"coalesce(CAST(sum({_money(x)}) AS DOUBLE), 0.0)"
+    return f"coalesce({_total(x)}, 0.0)"
 
 
 def _sum_positive(x: str) -> str:
-    return f"coalesce(CAST(sum({_money(x)}) FILTER (WHERE {x} > 0) AS DOUBLE), 0.0)"
+    return f"coalesce({_total(x, f'{x} > 0')}, 0.0)"
 
 
 def _avg(x: str) -> str:
-    return f"CAST(sum({_money(x)}) AS DOUBLE) / count({x})"
+    return f"{_total(x)} / count({x})"
 
 
 def _fixed(x: str, digits: int) -> str:
@@ -324,7 +327,7 @@ _VALUED = "amount_total > 0"
 
 
 def _sum_valued(x: str) -> str:
-    return f"coalesce(CAST(sum({_money(x)}) FILTER (WHERE {_VALUED}) AS DOUBLE), 0.0)"
+    return f"coalesce({_total(x, _VALUED)}, 0.0)"
 
 
 _COMPLETION = _percent(_sum_valued("billed_value"), _sum_valued("amount_total"))
@@ -383,11 +386,11 @@ SELECT s.section, s.pos, concat('- ', s.caption, ': ', k.display) FROM (VALUES
 UNION ALL
 SELECT 1, CAST(100 + row_number() OVER (ORDER BY total_value DESC, sector) AS INT),
   concat('  - ', sector, ': ', {_currency('total_value')})
-  FROM ({_BY_SECTOR}) b QUALIFY row_number() OVER (ORDER BY total_value DESC, sector) <= 5
+  FROM ({_BY_SECTOR}) b
 UNION ALL
 SELECT 2, CAST(100 + row_number() OVER (ORDER BY count DESC, execution_status) AS INT),
   concat('  - ', execution_status, ': ', count)
-  FROM ({_EXECUTION}) e QUALIFY row_number() OVER (ORDER BY count DESC, execution_status) <= 20"""
+  FROM ({_EXECUTION}) e"""
 
 
 def _run_metric() -> str:

@@ -165,7 +165,7 @@ _WORK_ORDER_VALUES = {
         "WHEN st = 'F' AND flag = 'R' THEN CAST(half AS STRING) ELSE '' END"
     ),
     "amount_to_be_billed": (
-        "CASE WHEN st <> 'F' THEN CAST(total AS STRING) "
+        "CASE WHEN part % 499 = 0 THEN '2e15' WHEN st <> 'F' THEN CAST(total AS STRING) "
         "WHEN total > billed THEN CAST(total - billed AS STRING) ELSE '0' END"
     ),
     "amount_receivable": (
@@ -222,13 +222,14 @@ WHERE copy IS NOT NULL
 # Single cells in many spellings, one row per order.
 CELLS = f"""
 SELECT k AS id,
-  CASE k % 14 WHEN 0 THEN concat('₹ ', price) WHEN 1 THEN concat('$', price)
+  CASE k % 16 WHEN 0 THEN concat('₹ ', price) WHEN 1 THEN concat('$', price)
     WHEN 2 THEN concat('-', price) WHEN 3 THEN concat('(', price, ')')
     WHEN 4 THEN concat(CAST(k % 100 AS STRING), '%') WHEN 5 THEN concat(price, 'd')
     WHEN 6 THEN concat(CAST(k % 90 AS STRING), 'e3') WHEN 7 THEN 'nan'
     WHEN 8 THEN '' WHEN 9 THEN concat('1,00,', lpad(CAST(k % 1000 AS STRING), 3, '0'))
     WHEN 10 THEN concat(' ', price, ' ') WHEN 11 THEN concat(CAST(k AS STRING), '.')
-    WHEN 12 THEN NULL ELSE price END AS amount_cell,
+    WHEN 12 THEN NULL WHEN 13 THEN '1000000000000000' WHEN 14 THEN '2e15'
+    ELSE price END AS amount_cell,
   CASE k % 16 WHEN 0 THEN made WHEN 1 THEN {_dmy('made', '-')} WHEN 2 THEN {_mdy('made')}
     WHEN 3 THEN {_dmy('made', '/')}
     WHEN 4 THEN concat(substr(made,1,4),'/',substr(made,6,2),'/',substr(made,9,2))
