@@ -26,22 +26,21 @@ def components(links: DataFrame) -> DataFrame:
     roots = store(both.groupBy("id").agg(F.least(F.min("other"), F.col("id")).alias("root")), "roots")
     while True:
         # The least root among the neighbours, and of one's own.
-        offered = (
+        offered = store(
             both.join(roots.select(F.col("id").alias("other"), "root"), "other")
-            .select("id", "root")
-            .union(roots)
+            .select("id", "root", F.lit(None).cast("long").alias("was"))
+            .union(roots.select("id", "root", F.col("root").alias("was")))
             .groupBy("id")
-            .agg(F.min("root").alias("root"))
+            .agg(F.min("root").alias("root"), F.max("was").alias("was")),
+            "roots-offered",
         )
-        offered = store(offered, "roots-offered")
         # An id's root may have a root itself.
         after = store(
             offered.alias("o")
             .join(offered.select(F.col("id").alias("root"), F.col("root").alias("beyond")), "root", "left")
-            .select("o.id", F.least(F.col("o.root"), F.coalesce("beyond", "o.root")).alias("root")),
+            .select("o.id", F.least(F.col("o.root"), F.coalesce("beyond", "o.root")).alias("root"), "o.was"),
             "roots",
         )
-        changed = after.join(roots.withColumnRenamed("root", "was"), "id").filter("root <> was")
-        if changed.isEmpty():
-            return after
-        roots = after
+        roots = after.select("id", "root")
+        if after.filter("root <> was").isEmpty():
+            return roots

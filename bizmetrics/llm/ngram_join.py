@@ -218,9 +218,7 @@ def _sets(rows: DataFrame, of_set: DataFrame, ids: DataFrame, how: Similarity) -
     def keys(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         yield batch.column(0).to_numpy().view(np.uint64)
 
-    some = rows.sparkSession.sparkContext.broadcast(
-        sketch.AtLeast(sketch.count(wanted.select("k"), keys, WANTED), WANTED, 1)
-    )
+    some = rows.sparkSession.sparkContext.broadcast(sketch.AtLeast(wanted.select("k"), keys, WANTED, 1))
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -351,7 +349,7 @@ def ngram_links(
         if won:
             links = links.union(new)
             roots = components(links)
-        if won < OFTEN * tried or not won:
+        if won <= OFTEN * tried:
             break
 
     member = store(

@@ -71,10 +71,11 @@ def _rows(blocks: dict[int, tuple[bool, bytes]]) -> pa.RecordBatch:
     )
 
 
-def count(
-    df: DataFrame, keys: Callable[[pa.RecordBatch], Iterator[np.ndarray]], shape: Shape
-) -> np.ndarray:
-    """Cells of all keys that ``keys`` yields (arrays of uint64) over the batches of ``df``."""
+def _merged(
+    df: DataFrame, keys: Callable[[pa.RecordBatch], Iterator[np.ndarray]], shape: Shape,
+    finish: Callable[[np.ndarray], tuple[bool, bytes]],
+) -> Iterator[tuple[int, bool, bytes]]:
+    """Blocks of the merged sketch, each as ``finish`` makes it from its counts."""
     if shape.bits < BLOCK_BITS:
         raise ValueError(f"a sketch line has {_BLOCK} cells or more")
 
@@ -94,17 +95,25 @@ def count(
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for b, sparse, cells in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                total = sums.setdefault(b, np.zeros(_BLOCK, np.int64))
+                total = sums.setdefault(b, np.zeros(_BLOCK, np.uint32))
                 at, n = _unpack(sparse, cells, shape.dtype)
-                total[at] = np.minimum(total[at] + n, shape.limit)
+                total[at] = np.minimum(total[at].astype(np.int64) + n, shape.limit)
         for b, total in sums.items():
-            yield _rows({b: _pack(total.astype(shape.dtype))})
+            yield _rows({b: finish(total.astype(shape.dtype))})
 
     parts = df.mapInArrow(build, _SCHEMA).repartition("block").mapInArrow(merge, _SCHEMA)
-    table = np.zeros(shape.size, shape.dtype)
     # As many rows as the sketch has blocks, whatever the input.
-    for b, sparse, cells in parts.toLocalIterator():
-        at, n = _unpack(sparse, bytes(cells), shape.dtype)
+    for batch in parts.toArrow().to_batches():
+        yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+
+def count(
+    df: DataFrame, keys: Callable[[pa.RecordBatch], Iterator[np.ndarray]], shape: Shape
+) -> np.ndarray:
+    """Cells of all keys that ``keys`` yields (arrays of uint64) over the batches of ``df``."""
+    table = np.zeros(shape.size, shape.dtype)
+    for b, sparse, cells in _merged(df, keys, shape, _pack):
+        at, n = _unpack(sparse, cells, shape.dtype)
         table[b << BLOCK_BITS : (b + 1) << BLOCK_BITS][at] = n
     return table
 
@@ -120,8 +129,14 @@ def estimate(table: np.ndarray, shape: Shape, keys: np.ndarray) -> np.ndarray:
 class AtLeast:
     """Only whether an estimate is ``least`` or more: one bit a cell, for the broadcast."""
 
-    def __init__(self, table: np.ndarray, shape: Shape, least: int):
-        self.shape, self.bits = shape, np.packbits(table >= least)
+    def __init__(
+        self, df: DataFrame, keys: Callable[[pa.RecordBatch], Iterator[np.ndarray]],
+        shape: Shape, least: int,
+    ):
+        self.shape, self.bits = shape, np.zeros(shape.size >> 3, np.uint8)
+        width = _BLOCK >> 3
+        for b, _, cells in _merged(df, keys, shape, lambda n: (False, np.packbits(n >= least).tobytes())):
+            self.bits[b * width : (b + 1) * width] = np.frombuffer(cells, np.uint8)
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
         out = np.ones(len(keys), bool)

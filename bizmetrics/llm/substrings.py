@@ -61,7 +61,7 @@ def _sketch(docs: DataFrame, window: int, anchor: int, shape: sketch.Shape) -> s
             new[1:] = (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])
             yield least[new]
 
-    return sketch.AtLeast(sketch.count(docs.select("text"), keys, shape), shape, 2)
+    return sketch.AtLeast(docs.select("text"), keys, shape, 2)
 
 
 def _candidates(rows: DataFrame, repeated, window: int, anchor: int) -> DataFrame:
