@@ -165,7 +165,7 @@ def test_sketch_never_underestimates(spark):
     got = sketch.estimate(table, shape, np.arange(3000).astype(np.uint64))
     want = np.bincount(np.arange(20_000) % 3000)
     assert (got >= want).all() and (got == want).mean() > 0.9
-    twice = sketch.AtLeast(table, shape, 2)
+    twice = sketch.AtLeast(df, keys, shape, 2)
     assert twice(np.arange(3000).astype(np.uint64)).all()
     assert twice(np.arange(10_000, 20_000).astype(np.uint64)).mean() < 0.05
 
