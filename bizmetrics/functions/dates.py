@@ -13,17 +13,19 @@ from pyspark.sql import types as T
 # table. Year first is ISO, which the cast itself reads (with a time of day, too). The
 # others are recognised by their pattern and rewritten to ISO, so no row pays for a chain
 # of failing parsers.
-_YEAR_LAST = r"^(\d{1,2})([-/])(\d{1,2})\2(\d{4})$"
-_MONTH_PART = [r"^(0?[1-9]|1[0-2])[-/]", r"^\d{1,2}[-/](0?[1-9]|1[0-2])[-/]"]
+_YEAR_LAST = r"^(\d{1,2})([-/.])(\d{1,2})\2(\d{4})$"
+_MONTH_PART = [r"^(0?[1-9]|1[0-2])[-/.]", r"^\d{1,2}[-/.](0?[1-9]|1[0-2])[-/.]"]
 _YEAR_ONLY = r"^\d{4}$"
 _COMPACT = r"^(\d{4})(\d{2})(\d{2})$"
-_SHORT_YEAR = r"^(\d{1,2})/(\d{1,2})/(\d{2})$"
+_COMPACT_TIME = r"^(\d{4})(\d{2})(\d{2})T(\d{2})(\d{2})(\d{2})$"
+_SHORT_YEAR = r"^(\d{1,2})([-/])(\d{1,2})\2(\d{2})$"
 _MONTHS = (
     r"(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?"
     r"|sep(?:tember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
 )
-_MONTH_FIRST = rf"(?i)^{_MONTHS} +(\d{{1,2}}), *(\d{{4}})$"
-_DAY_FIRST = rf"(?i)^(\d{{1,2}})[ -]{_MONTHS}[ -](\d{{4}}|\d{{2}})$"
+_MONTH_FIRST = rf"(?i)^{_MONTHS} +(\d{{1,2}})(?:, *| +)(\d{{4}})$"
+_DAY_FIRST = rf"(?i)^(\d{{1,2}})[ -]{_MONTHS}(?:[ -]|, *)(\d{{4}}|\d{{2}})$"
+_MONTH_YEAR = rf"(?i)^{_MONTHS} +(\d{{4}})$"
 
 
 def _ntz(text: str) -> str:
@@ -44,19 +46,20 @@ def _full_year(year: str) -> str:
     return f"concat({century}, {year})"
 
 
-def _named(c: str, shape: str, year: int, month: int, day: int) -> str:
+def _named(c: str, shape: str, year: int, month: int, day: int | None) -> str:
     name = f"lower(substr({_group(c, shape, month)}, 1, 3))"
     number = f"(locate({name}, 'janfebmaraprmayjunjulaugsepoctnovdec') + 2) DIV 3"
     return _ntz(
         f"concat_ws('-', {_full_year(_group(c, shape, year))}, "
-        f"CAST({number} AS STRING), {_group(c, shape, day)})"
+        f"CAST({number} AS STRING), {_group(c, shape, day) if day else "'1'"})"
     )
 
 
 def parse_date(c: str, dtype: T.DataType | None = None) -> str:
     """Read a stripped date cell; a typed date or timestamp column is cut to midnight.
 
-    Slashes are month first, dashes day first; if that is no date, the other way round.
+    Slashes, dots and two-digit years are month first, other dashes day first; if that is
+    no date and the year has four digits, the other way round.
     """
     if isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)):
         return f"CAST(CAST({c} AS DATE) AS TIMESTAMP_NTZ)"
@@ -66,21 +69,24 @@ def parse_date(c: str, dtype: T.DataType | None = None) -> str:
         f"CASE WHEN {c} RLIKE r'{part}' THEN {_ntz(_rewrite(c, _YEAR_LAST, iso))} END"
         for part, iso in zip(_MONTH_PART, ("$4-$1-$3", "$4-$3-$1"))
     )
-    short = f"concat_ws('-', {_full_year(_group(c, _SHORT_YEAR, 3))}, " + (
-        f"{_group(c, _SHORT_YEAR, 1)}, {_group(c, _SHORT_YEAR, 2)})"
+    short = f"concat_ws('-', {_full_year(_group(c, _SHORT_YEAR, 4))}, " + (
+        f"{_group(c, _SHORT_YEAR, 1)}, {_group(c, _SHORT_YEAR, 3)})"
     )
     return (
         f"CASE WHEN {c} IS NULL OR {c} = '' THEN NULL "
         rf"WHEN {c} RLIKE r'^\d{{4}}-' THEN {_ntz(c)} "
         rf"WHEN {c} RLIKE r'^\d{{4}}/' THEN {_ntz(f"translate({c}, '/', '-')")} "
-        f"WHEN {c} RLIKE r'{_YEAR_LAST}' THEN CASE WHEN contains({c}, '/') "
+        f"WHEN {c} RLIKE r'{_YEAR_LAST}' THEN CASE WHEN NOT contains({c}, '-') "
         f"THEN coalesce({month_first}, {day_first}) "
         f"ELSE coalesce({day_first}, {month_first}) END "
         f"WHEN {c} RLIKE r'{_COMPACT}' THEN {_ntz(_rewrite(c, _COMPACT, '$1-$2-$3'))} "
+        f"WHEN {c} RLIKE r'{_COMPACT_TIME}' "
+        f"THEN {_ntz(_rewrite(c, _COMPACT_TIME, '$1-$2-$3 $4:$5:$6'))} "
         f"WHEN {c} RLIKE r'{_YEAR_ONLY}' THEN {_ntz(c)} "
         f"WHEN {c} RLIKE r'{_SHORT_YEAR}' THEN {_ntz(short)} "
         f"WHEN {c} RLIKE r'{_MONTH_FIRST}' THEN {_named(c, _MONTH_FIRST, 3, 1, 2)} "
-        f"WHEN {c} RLIKE r'{_DAY_FIRST}' THEN {_named(c, _DAY_FIRST, 3, 2, 1)} END"
+        f"WHEN {c} RLIKE r'{_DAY_FIRST}' THEN {_named(c, _DAY_FIRST, 3, 2, 1)} "
+        f"WHEN {c} RLIKE r'{_MONTH_YEAR}' THEN {_named(c, _MONTH_YEAR, 2, 1, None)} END"
     )
 
 

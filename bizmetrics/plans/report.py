@@ -14,6 +14,7 @@ from bizmetrics.plans.leadership import leadership_kpis
 
 EDGE_ROWS = 10
 MAX_ROWS = 2 * EDGE_ROWS
+TOP_SECTORS = 5  # of the context summary
 
 SECTIONS = [
     "Weekly Sales & Delivery Update",
@@ -114,11 +115,21 @@ def context_summary(deals: DataFrame | None, work_orders: DataFrame | None) -> D
         )
 
     if deals is not None:
-        parts.append(total(deals, "Deals dataset", 1))
-        if "sector" in deals.columns:
-            parts.append(listing(pipeline.top_sectors(deals), "sector", "Top sectors", 2))
-        if "deal_status" in deals.columns:
-            statuses = pipeline.status_distribution(deals)
+        keys = [c for c in ("sector", "deal_status") if c in deals.columns]
+        # one pass: all three parts are read from the same counts
+        counts = deals.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+        parts.append(
+            counts.selectExpr(
+                "1 AS section", "'Deals dataset' AS item", "CAST(NULL AS STRING) AS value",
+                "coalesce(sum(n), 0) AS count",
+            )
+        )
+        if "sector" in keys:
+            top = counts.groupBy("sector").agg(F.sum("n").alias("count"))
+            top = top.orderBy(F.desc("count"), "sector").limit(TOP_SECTORS)
+            parts.append(listing(top, "sector", "Top sectors", 2))
+        if "deal_status" in keys:
+            statuses = counts.groupBy("deal_status").agg(F.sum("n").alias("count"))
             parts.append(listing(statuses, "deal_status", "Status distribution", 3))
     if work_orders is not None:
         parts.append(total(work_orders, "Work orders dataset", 4))

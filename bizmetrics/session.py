@@ -46,9 +46,10 @@ def local_session(cores: int | str = "*", memory: str = "8g") -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """Folder all executors can reach: the session's checkpoint folder.
 
-    Only where none is set and the master is local, a fresh temporary folder is taken.
+    Only where none is set (by ``spark.checkpoint.dir`` or on the context) and the master is
+    local, a fresh temporary folder is taken.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):

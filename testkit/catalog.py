@@ -167,9 +167,7 @@ def _dedupe_work_orders(spark, sf_dir):
 
 
 def _dedupe_full_row(spark, sf_dir):
-    table = _canonical_raw_orders(spark, sf_dir).select(
-        "customer_code", "nature_of_work", "sector", "wo_status"
-    )
+    table = _canonical_raw_orders(spark, sf_dir).drop(*raw.WORK_ORDER_ORDER)
     return dedupe.drop_full_duplicates(table)
 
 
@@ -210,13 +208,17 @@ def _dq_work_orders(spark, sf_dir):
 
 
 def _dq_all(spark, sf_dir):
-    return quality.merge_findings(
-        _dq_deals(spark, sf_dir),
-        quality.outliers_quality(clean_deals(spark, sf_dir)),
-        _dq_work_orders(spark, sf_dir),
-        # query-time findings repeat load-time ones; each is reported once
-        _dq_deals(spark, sf_dir),
+    """Findings of both tables and the warnings of a load whose board can't be read."""
+    result = load.load(spark, deals_pages="/nonexistent/pages")
+    deals = landing.raw_deals(spark, sf_dir)
+    orders = landing.raw_work_orders(spark, sf_dir)
+    result.deals = load.Table(
+        deals, raw.DEAL_ORDER, cleaning.clean_deals(deals, raw.DEAL_ORDER)
+    )
+    result.work_orders = load.Table(
+        orders, raw.WORK_ORDER_ORDER, cleaning.clean_work_orders(orders, raw.WORK_ORDER_ORDER)
     )
+    return result.findings()
 
 
 def _deal_value_outliers(spark, sf_dir):

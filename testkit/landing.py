@@ -37,12 +37,9 @@ def _stored(
     """A raw table as Parquet, so that each query starts at a scan of raw cells."""
 
     def write(path: str) -> None:
+        # dealt anew: a single-file input would leave one file, and one task for what follows
         table = raw.for_spark(spark, sf_dir, name)
-        cores = spark.sparkContext.defaultParallelism
-        if table.rdd.getNumPartitions() < cores:
-            # a small single-file input would leave one file, and one task for all that follows
-            table = table.repartition(cores)
-        table.write.parquet(path)
+        table.repartition(spark.sparkContext.defaultParallelism).write.parquet(path)
 
     df = spark.read.parquet(_once(spark, sf_dir, name, write))
     return df.select(*order, *headers).toDF(*order, *headers.values())
@@ -94,7 +91,7 @@ def work_orders_csv(spark: SparkSession, sf_dir: str) -> str:
     return _once(spark, sf_dir, "work_orders_csv", write)
 
 
-BOARD_COLUMNS = ["deal_status", "deal_value", "sector", "deal_stage", "created_date"]
+BOARD_COLUMNS = list(raw.DEAL_HEADERS)
 
 
 def _cell(cell_id: str, text: Column, title: str | None) -> Column:

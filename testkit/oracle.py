@@ -95,6 +95,7 @@ def _clamped(x: str) -> str:
 _DATE_FORMATS = [
     "%Y-%m-%d", "%d-%m-%Y", "%m/%d/%Y", "%d/%m/%Y", "%Y/%m/%d", "%B %d, %Y", "%b %d, %Y",
     "%Y-%m-%dT%H:%M:%S", "%Y-%m-%d %H:%M:%S", "%Y%m%d", "%d %b %Y", "%d-%b-%y",
+    "%m.%d.%Y", "%B %d %Y", "%d %B, %Y", "%b %Y", "%Y%m%dT%H%M%S",
 ]
 
 
@@ -102,9 +103,9 @@ def _date(x: str) -> str:
     # DuckDB takes two digits for %Y, so short years are told apart first
     t = _trim(x)
     tries = ", ".join(f"try_strptime({t}, '{f}')" for f in _DATE_FORMATS)
-    short = f"regexp_full_match({t}, '[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{2}}')"
+    short = f"regexp_full_match({t}, '[0-9]{{1,2}}[-/][0-9]{{1,2}}[-/][0-9]{{2}}')"
     return (
-        f"CAST(CASE WHEN {short} THEN try_strptime({t}, '%m/%d/%y') "
+        f"CAST(CASE WHEN {short} THEN try_strptime(replace({t}, '-', '/'), '%m/%d/%y') "
         f"ELSE coalesce({tries}) END AS TIMESTAMP)"
     )
 
@@ -484,8 +485,8 @@ _VALUE_SCALE = "list_value(1.0::DOUBLE, -1.0, 100.0, 0.001, -0.01)[o_orderkey %
 def oracle_sql() -> dict[str, str]:
     deals_list, orders_list = ", ".join(_DEALS), ", ".join(_ORDERS)
     board_cells = ", ".join(
-        f'{"deal_status" if c == "deal_status" else c} AS "{raw.DEAL_HEADERS[c]}"'
-        for c in ("deal_status", "deal_value", "sector", "deal_stage", "created_date")
+        f'{c} AS "{raw.DEAL_HEADERS[c]}"'
+        for c in raw.DEAL_HEADERS
     )
     return {
         "pipeline_by_sector": _on_deals(f"{_BY_SECTOR} ORDER BY total_value DESC, sector"),
@@ -500,7 +501,7 @@ def oracle_sql() -> dict[str, str]:
         "board_items_wide": f"WITH {_RAW_DEALS} SELECT CAST(ordinal AS VARCHAR) AS item_id, "
         f"coalesce(deal_name, '') AS item_name, {board_cells}, client_code AS link FROM raw",
         "board_pages_items": f"WITH {_RAW_DEALS} SELECT CAST(ordinal AS VARCHAR) AS id, "
-        "coalesce(deal_name, '') AS name, 7 AS cells FROM raw",
+        f"coalesce(deal_name, '') AS name, {2 + len(_DEALS)} AS cells FROM raw",
         "landing_errors": "SELECT event_id, concat(CASE WHEN event_id % 5 = 0 THEN 'Unknown error' "
         "ELSE concat('failed for ', user_id) END, "
         "CASE WHEN event_id % 3 = 0 THEN '; retry' ELSE '' END) AS message "
@@ -550,8 +551,7 @@ def oracle_sql() -> dict[str, str]:
         "dedupe_deals": f"WITH {_RAW_DEALS} SELECT * FROM raw QUALIFY row_number() OVER ("
         "PARTITION BY deal_name, client_code, deal_value ORDER BY ordinal) = 1",
         "dedupe_work_orders": f"WITH {_FIRST_ORDERS} SELECT * FROM firsts_wo",
-        "dedupe_full_row": f"WITH {_RAW_ORDERS} SELECT DISTINCT customer_code, nature_of_work, "
-        "sector, wo_status FROM raw_wo",
+        "dedupe_full_row": f"WITH {_RAW_ORDERS} SELECT DISTINCT {orders_list} FROM raw_wo",
         # cleaned tables
         "clean_deals": _on_deals("SELECT * FROM deals"),
         "clean_work_orders": _on_orders(f"SELECT {orders_list} FROM work_orders"),
@@ -668,7 +668,8 @@ def oracle_sql() -> dict[str, str]:
         "dq_work_orders": f"WITH {_CLEAN_ORDERS}, {_DQ_ORDERS} SELECT * FROM dq_orders",
         "dq_all": f"WITH {_CLEAN_DEALS}, {_CLEAN_ORDERS}, {_DQ_DEALS}, {_DQ_ORDERS}, "
         f"{_DQ_OUTLIERS} SELECT * FROM dq_deals UNION SELECT * FROM dq_orders "
-        "UNION SELECT * FROM dq_outliers",
+        "UNION SELECT * FROM dq_outliers UNION SELECT 'load', 'load_warning', 1, "
+        "'Unable to retrieve latest data from the board. Using CSV fallback.'",
         "deal_value_outliers": "WITH deals AS (SELECT o_orderkey, o_totalprice * "
         "CASE WHEN o_orderkey % 997 = 0 THEN 50.0::DOUBLE ELSE 1.0::DOUBLE END AS deal_value "
         f"FROM orders) SELECT * FROM deals WHERE deal_value > ({_BOUND.format(t='deals')})",

@@ -230,7 +230,7 @@ SELECT k AS id,
     WHEN 10 THEN concat(' ', price, ' ') WHEN 11 THEN concat(CAST(k AS STRING), '.')
     WHEN 12 THEN NULL WHEN 13 THEN '1000000000000000' WHEN 14 THEN '2e15'
     ELSE price END AS amount_cell,
-  CASE k % 16 WHEN 0 THEN made WHEN 1 THEN {_dmy('made', '-')} WHEN 2 THEN {_mdy('made')}
+  CASE k % 22 WHEN 0 THEN made WHEN 1 THEN {_dmy('made', '-')} WHEN 2 THEN {_mdy('made')}
     WHEN 3 THEN {_dmy('made', '/')}
     WHEN 4 THEN concat(substr(made,1,4),'/',substr(made,6,2),'/',substr(made,9,2))
     WHEN 5 THEN concat(mon, ' ', CAST(d AS STRING), ', ', substr(made,1,4))
@@ -241,6 +241,12 @@ SELECT k AS id,
     WHEN 11 THEN concat(CAST(d AS STRING), '-', substr(mon,1,3), '-', substr(made,3,2))
     WHEN 12 THEN concat(substr(made,1,8), '32') WHEN 13 THEN 'TBD'
     WHEN 14 THEN concat(' ', CAST(m AS STRING), '/', CAST(d AS STRING), '/', substr(made,3,2))
+    WHEN 15 THEN concat(substr(made,6,2), '.', substr(made,9,2), '.', substr(made,1,4))
+    WHEN 16 THEN concat(mon, ' ', CAST(d AS STRING), ' ', substr(made,1,4))
+    WHEN 17 THEN concat(CAST(d AS STRING), ' ', mon, ', ', substr(made,1,4))
+    WHEN 18 THEN concat(substr(mon,1,3), ' ', substr(made,1,4))
+    WHEN 19 THEN concat(CAST(m AS STRING), '-', CAST(d AS STRING), '-', substr(made,3,2))
+    WHEN 20 THEN concat(substr(made,1,4), substr(made,6,2), substr(made,9,2), 'T101112')
     ELSE NULL END AS date_cell,
   CASE k % 11 WHEN 0 THEN 'Mining Sector' WHEN 1 THEN 'power-line' WHEN 2 THEN '---'
     WHEN 3 THEN 'Security & Surveillance' WHEN 4 THEN 'Énergie!' WHEN 5 THEN ' RAIL.'
@@ -284,7 +290,7 @@ SELECT conv_id, turn,
 FROM {conversations} WHERE role = 'user'
 """
 
-# A model's reply: a small JSON object plain, fenced, embedded in prose, or absent.
+# A model's reply (every turn of a conversation is taken for one): a small JSON object plain, fenced, embedded in prose, or absent.
 REPLIES = """
 SELECT conv_id, turn,
   CASE conv_id % 7
@@ -303,7 +309,7 @@ FROM (
       '", "sector": ', CASE conv_id % 2 WHEN 0 THEN 'null' ELSE '"mining"' END,
       ', "period": "current_quarter", "status_filter": null, "extra": {"turn": ',
       CAST(turn AS STRING), '}, "description": "turn ', CAST(turn AS STRING), '"}') AS intent
-  FROM {conversations} WHERE role <> 'system'
+  FROM {conversations}
 ) base
 """
 

@@ -183,3 +183,15 @@ def test_percent(spark):
         f"{numbers.percent('1D', '3D')} AS a", f"{numbers.percent('1D', '0D')} AS b"
     ).first()
     assert (row["a"], row["b"]) == (33.3, 0.0)
+
+
+def test_everyday_date_spellings(apply):
+    cells = [
+        "04.03.2024", "March 4 2024", "4 March, 2024", "Mar 2024", "4-3-24", "20240304T101112",
+        "13.03.2024", "31-3-24",
+    ]
+    day = dt.datetime
+    assert apply(dates.parse_date, cells) == [
+        day(2024, 4, 3), day(2024, 3, 4), day(2024, 3, 4), day(2024, 3, 1), day(2024, 4, 3),
+        day(2024, 3, 4, 10, 11, 12), day(2024, 3, 13), None,
+    ]
