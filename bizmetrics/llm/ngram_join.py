@@ -163,36 +163,64 @@ def _indexed(rows: DataFrame, how: Similarity, shape: sketch.Shape, hot: int) ->
     return store(made.withColumn("rid", F.monotonically_increasing_id()), "sets")
 
 
-def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _matched(run: np.ndarray, n: np.ndarray, rest: np.ndarray, how: Similarity) -> np.ndarray:
+    """Whether an entry's list has another one of a size that allows a link; in a list of
+    two, also whether their positions do. ``run`` numbers the lists, sorted."""
+    order = np.lexsort((n, run))
+    by, size = run[order], n[order]
+    near = (by[1:] == by[:-1]) & (how.den * size[:-1] >= how.num * size[1:])
+    length = np.bincount(run)
+    both = length[by[1:]] == 2
+    left = np.minimum(rest[order][1:], rest[order][:-1])
+    needed = -(-how.num * (size[1:] + size[:-1]) // (how.num + how.den))
+    near &= ~both | (left >= needed)
+    out = np.zeros(len(run), bool)
+    out[order[1:]] |= near
+    out[order[:-1]] |= near
+    return out
+
+
+def _lists(how: Similarity):
     """Entries sorted by shingle, part and id -> the same with the list's head, without
-    lists of one entry (parts of a split list stay: their heads have others to meet)."""
-    carried, sent = None, True
+    entries that no other entry of the list can link with (lists that are split or that go
+    on in another batch stay whole)."""
     names = ["shingle", "part", "split", "id", "n", "pos"]
-    for batch in batches:
-        columns = [c.to_numpy() for c in batch.columns]
-        if not len(columns[0]):
-            continue
-        extra = carried is not None
-        if extra:
-            columns = [np.concatenate([[h], c]) for h, c in zip(carried, columns, strict=True)]
-        shingle, part = columns[0], columns[1]
-        new = np.ones(len(shingle), bool)
-        new[1:] = (shingle[1:] != shingle[:-1]) | (part[1:] != part[:-1])
-        head = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-        keep = ~new | columns[2].astype(bool)
-        keep[:-1] |= new[:-1] & ~new[1:]
-        if extra and sent:
-            keep[0] = False
-        last = int(head[-1])
-        # The last list may go on: its head is carried, as sent or not yet sent.
-        was = sent and extra and last == 0
-        sent = bool(keep[last]) or was
-        carried = [c[last] for c in columns]
-        at = np.flatnonzero(keep)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c[at]) for c in (shingle, *columns[3:])] + [pa.array(c[head[at]]) for c in columns[3:]],
-            names=["shingle", *names[3:], "head", "head_n", "head_pos"],
-        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carried, sent = None, True
+        for batch in batches:
+            columns = [c.to_numpy() for c in batch.columns]
+            if not len(columns[0]):
+                continue
+            extra = carried is not None
+            if extra:
+                columns = [np.concatenate([[h], c]) for h, c in zip(carried, columns, strict=True)]
+            shingle, part, split, _, n, pos = columns
+            new = np.ones(len(shingle), bool)
+            new[1:] = (shingle[1:] != shingle[:-1]) | (part[1:] != part[:-1])
+            number = np.cumsum(new) - 1
+            head = np.flatnonzero(new)[number]
+            keep = ~new
+            keep[:-1] |= new[:-1] & ~new[1:]
+            # What is known to the end: not the first list if it goes on, not the last one.
+            whole = (number > 0) | (not extra)
+            whole &= number < number[-1]
+            keep &= ~whole | _matched(number, n, n - pos, how)
+            keep |= split.astype(bool)
+            if extra and sent:
+                keep[0] = False
+            last = int(head[-1])
+            # The last list may go on: its head is carried, as sent or not yet sent.
+            was = sent and extra and last == 0
+            sent = bool(keep[last]) or was
+            carried = [c[last] for c in columns]
+            at = np.flatnonzero(keep)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c[at]) for c in (shingle, *columns[3:])] + [pa.array(c[head[at]]) for c in columns[3:]],
+                names=["shingle", *names[3:], "head", "head_n", "head_pos"],
+            )
+
+    return run
 
 
 def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -289,7 +317,7 @@ def ngram_links(
         entries.repartition("shingle", "part")
         .sortWithinPartitions("shingle", "part", "id")
         .mapInArrow(
-            _lists,
+            _lists(how),
             "shingle long, id long, n long, pos long, head long, head_n long, head_pos long",
         ),
         "lists",
@@ -404,21 +432,30 @@ def ngram_links(
     )
     links = links.union(heads.filter("link").select("a", "b"))
 
-    # Between the bounds: members meet, each pair only if its own distances allow a link.
+    # Between the bounds: members meet, each pair only if its own distances and signatures
+    # allow a link.
     unsure = heads.filter(f"not link and apart <= {most} + ra + rb and ra + rb > 0").select("a", "b", "apart", "ra", "rb")
     if not unsure.isEmpty():
         back = unsure.select(F.col("b").alias("a"), F.col("a").alias("b"), "apart", F.col("rb").alias("ra"), F.col("ra").alias("rb"))
-        unsure = store(unsure.union(back), "unsure")
-        now = store(_rooted(placed_open.drop("root"), components(links)), "placed-again")
-        # Only lists in which both blocks stand.
-        x = side(now, "x").join(
-            unsure.select(F.col("a").alias("x_block"), F.col("b").alias("y_block"), "apart", "rb"), "x_block"
+        other = blocks.select(F.col("block").alias("b"), F.col("size").alias("y_size"), *[F.col(c).alias(f"y_{c}") for c in SIGNED])
+        unsure = store(unsure.union(back).join(other, "b"), "unsure")
+        signed = store(member.join(indexed.select(F.col("rid").alias("id"), *SIGNED), "id"), "signed")
+        x, y = ([F.col(c).alias(f"{name}_{c}") for c in signed.columns] for name in "xy")
+        # A member near enough to the other head, then members near enough to each other.
+        towards = store(
+            signed.select(*x).join(unsure, F.col("x_block") == F.col("a"))
+            .filter(
+                f"apart <= {most} + x_far + rb "
+                f"and 2 * {differ} <= ({most} + rb) * (x_n + y_size + {differ})"
+            )
+            .drop("a", "y_size", *[f"y_{c}" for c in SIGNED]),
+            "towards",
         )
         near = store(
-            x.filter(f"apart <= {most} + x_far + rb").join(side(now, "y"), ["shingle", "y_block"])
+            towards.join(signed.select(*y), F.col("y_block") == F.col("b"))
             .filter(
                 f"x_id < y_id and x_root <> y_root and apart <= {most} + x_far + y_far "
-                f"and {how.sizes('x_n', 'y_n')} and least(x_rest, y_rest) >= {how.overlap('x_n', 'y_n')}"
+                f"and {how.sizes('x_n', 'y_n')} and 2 * {differ} <= {most} * (x_n + y_n + {differ})"
             )
             .select(F.col("x_id").alias("a"), F.col("y_id").alias("b"), F.col("x_n").alias("n"), F.col("y_n").alias("m"))
             .distinct(),
