@@ -3,9 +3,11 @@
 ``write`` makes WARC files with Spark's text writer: a record is its header and payload, the
 two line ends after it are the line separator. The files are gzip streams of many records;
 offsets are those of the unpacked stream. A replica's tree hashes the byte ranges that the
-primary's manifest names: leaves are records with their range, a node covers the ranges of
-``FANOUT`` children in order, a root also the length of its file. An audit joins the roots
-of two replicas and, level by level, only the children of nodes that differ.
+primary's manifest names, and these tile the file: leaves are records with the line ends after
+them, and last what is behind the primary's end, also packed bytes that can't be unpacked. A
+node covers the ranges of ``FANOUT`` children in order, a root also the length of its file. An
+audit joins the roots of two replicas and, level by level, only the children of nodes that
+differ.
 """
 
 from __future__ import annotations
@@ -57,8 +59,9 @@ def files(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _unpack(data: bytes) -> bytes:
-    """All members of a gzip file; what is damaged ends it."""
+def _unpack(data: bytes) -> tuple[bytes, bytes]:
+    """What the members of a gzip file hold, and its packed bytes from the first member on
+    that is damaged, cut off or none."""
     out = []
     while data:
         member = zlib.decompressobj(31)
@@ -66,8 +69,10 @@ def _unpack(data: bytes) -> bytes:
             out.append(member.decompress(data))
         except zlib.error:
             break
+        if not member.eof:
+            break
         data = member.unused_data
-    return b"".join(out)
+    return b"".join(out), data
 
 
 def _ranges(content: bytes) -> Iterator[tuple[bytes, int, int]]:
@@ -89,19 +94,22 @@ def _leaf(offset: int, data: bytes) -> str:
 
 def records(found: DataFrame) -> DataFrame:
     """Every record of the primary: ``file, nth, id, offset, length, file_length, sha256,
-    hash, record``."""
+    hash, record``. The hash is also of the line ends after the record. A primary that can't be
+    unpacked to its end fails."""
     prepare(found.sparkSession)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, packed in zip(*batch.columns, strict=True):
-                content = _unpack(packed.as_py())
+                content, rest = _unpack(packed.as_py())
+                if rest:
+                    raise ValueError(f"{file}: {len(rest)} bytes that can't be unpacked")
                 out = []
                 for nth, (record_id, at, n) in enumerate(_ranges(content)):
                     own = content[at : at + n]
                     out.append((
                         file.as_py(), nth, record_id.decode(), at, n, len(content),
-                        hashlib.sha256(own).hexdigest(), _leaf(at, own), own.decode(),
+                        hashlib.sha256(own).hexdigest(), _leaf(at, content[at : at + n + len(END)]), own.decode(),
                     ))
                     if len(out) == 512:
                         yield _batch(out)
@@ -124,7 +132,8 @@ def records(found: DataFrame) -> DataFrame:
 
 def leaves(found: DataFrame, manifest: DataFrame) -> DataFrame:
     """Hashes of a replica's bytes in the ranges of the manifest (``file, nth, offset,
-    length``): ``file, nth, offset, length, file_length, sha256, hash``."""
+    length``; of length 0 is what is behind the last record): ``file, nth, offset, length,
+    file_length, sha256, hash``. A file that the manifest lacks is one leaf."""
     prepare(found.sparkSession)
     # As many ranges as a file has records, FILE_RECORDS at most.
     ranges = manifest.groupBy("file").agg(
@@ -134,18 +143,25 @@ def leaves(found: DataFrame, manifest: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, packed, own in zip(*batch.columns, strict=True):
-                content = _unpack(packed.as_py() or b"")
+                content, rest = _unpack(packed.as_py() or b"")
+                ranges = own.as_py()
+                if ranges is None:
+                    ranges = [{"nth": 0, "offset": 0, "length": 0}] if content or rest else []
                 out = []
-                for r in own.as_py():
-                    data = content[r["offset"] : r["offset"] + r["length"]]
-                    out.append((file.as_py(), r["nth"], r["offset"], r["length"], len(content),
-                                hashlib.sha256(data).hexdigest(), _leaf(r["offset"], data)))
+                for r in ranges:
+                    at, stop = r["offset"], r["offset"] + r["length"]
+                    data = content[at:stop] if r["length"] else content[at:] + rest
+                    leaf = content[at : stop + len(END)] if r["length"] else data
+                    out.append((file.as_py(), r["nth"], at, r["length"], len(content),
+                                hashlib.sha256(data).hexdigest(), _leaf(at, leaf)))
+                if not out:
+                    continue
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c) for c in zip(*out, strict=True)],
                     names=["file", "nth", "offset", "length", "file_length", "sha256", "hash"],
                 )
 
-    joined = ranges.join(found, "file", "left").select("file", "content", "ranges")
+    joined = ranges.join(found, "file", "full").select("file", "content", "ranges")
     return joined.mapInArrow(
         run, "file string, nth long, offset long, length long, file_length long, sha256 string, hash string"
     )
@@ -203,20 +219,38 @@ def audit(primary: DataFrame, replica_files: DataFrame) -> DataFrame:
     """Compare a replica with the primary's ``records``, stored and without ``record``.
 
     Returns one row per record of the primary: ``id, file, offset, length, sha256,
-    replica_ok, replica_sha256`` (null where nothing differs). Defined cases: a file that the
-    replica lacks, or whose end is missing, differs in all records that are not whole there;
-    bytes after the last record make roots differ but no record; a null payload is an empty
-    one, null urls have no target line, null ids are empty; repeated rows are records of
-    their own; an empty table gives an empty result; other columns are never archived.
+    replica_ok, replica_sha256`` (null where nothing differs, equal to ``sha256`` where only
+    the line ends after the record do), and one for each difference that is in no record, with
+    a null id and length 0: bytes behind the primary's end (also packed ones that can't be
+    unpacked), from ``offset``, and a file that the primary lacks, with a null ``sha256``.
+    Defined cases: a file that the replica lacks, or whose end is missing, differs in all
+    records that are not whole there; packing that gives the same bytes is no difference, nor is
+    a file without bytes that the primary lacks; a null payload is an empty one, null urls have
+    no target line, null ids are empty; repeated rows are records of their own; an empty table
+    gives an empty result; other columns are never archived.
     """
-    copied = store(leaves(replica_files, primary.select("file", "nth", "offset", "length")), "replica-leaves")
-    bad = compare(tree(primary), tree(copied)).select("file", "nth")
+    ends = store(
+        primary.groupBy("file").agg((F.max("nth") + 1).alias("nth"), F.max("file_length").alias("offset")).select(
+            F.lit(None).cast("string").alias("id"), "file", "nth", "offset", F.lit(0).cast("long").alias("length"),
+            F.col("offset").alias("file_length"), F.sha2(F.lit(""), 256).alias("sha256"),
+            F.sha2(F.concat_ws(":", "offset", F.lit("0"), F.lit("")), 256).alias("hash"),
+        ),
+        "ends",
+    )
+    whole = primary.select(ends.columns).union(ends)
+    copied = store(leaves(replica_files, whole.select("file", "nth", "offset", "length")), "replica-leaves")
+    bad = compare(tree(whole), tree(copied)).select("file", "nth")
     damaged = copied.join(bad, ["file", "nth"], "left_semi").select(
         "file", "nth", F.col("sha256").alias("replica_sha256")
     )
-    return primary.join(damaged, ["file", "nth"], "left").select(
-        "id", "file", "offset", "length", "sha256",
-        F.col("replica_sha256").isNull().alias("replica_ok"), "replica_sha256",
+    names = ["id", "file", "offset", "length", "sha256", "replica_sha256"]
+    judged = whole.join(damaged, ["file", "nth"], "left").filter("length > 0 or replica_sha256 is not null")
+    added = copied.join(ends.select("file"), "file", "left_anti").select(
+        F.lit(None).cast("string").alias("id"), "file", "offset", "length",
+        F.lit(None).cast("string").alias("none"), F.col("sha256").alias("replica_sha256"),
+    )
+    return judged.select(names).union(added).select(
+        *names[:-1], F.col("replica_sha256").isNull().alias("replica_ok"), "replica_sha256"
     )
 
 
