@@ -24,6 +24,7 @@ from bizmetrics.llm.shared import prepare, store
 
 FANOUT = 16
 FILE_RECORDS = 4096  # records of a file
+STEP = 1 << 14  # packed bytes of a damaged file that are unpacked at once
 END = "\r\n\r\n"
 DATE = "1970-01-01T00:00:00Z"
 
@@ -61,13 +62,14 @@ def files(spark: SparkSession, path: str) -> DataFrame:
 
 def _unpack(data: bytes) -> tuple[bytes, bytes]:
     """What the members of a gzip file hold, and its packed bytes from the first member on
-    that is damaged, cut off or none."""
+    that is damaged, cut off or none. Of a damaged member what it gives before the error."""
     out = []
     while data:
         member = zlib.decompressobj(31)
         try:
             out.append(member.decompress(data))
         except zlib.error:
+            out.append(_before_error(data))
             break
         if not member.eof:
             break
@@ -75,6 +77,23 @@ def _unpack(data: bytes) -> tuple[bytes, bytes]:
     return b"".join(out), data
 
 
+def _before_error(data: bytes) -> bytes:
+    """What a damaged member gives: to the error in steps of ``STEP`` packed bytes, the last
+    step again byte by byte."""
+    out, member = [], zlib.decompressobj(31)
+    for at in range(0, len(data), STEP):
+        before = member.copy()
+        try:
+            out.append(member.decompress(data[at : at + STEP]))
+        except zlib.error:
+            try:
+                for k in range(at, at + STEP):
+                    out.append(before.decompress(data[k : k + 1]))
+            except zlib.error:
+                break
+    return b"".join(out)
+
+
 def _ranges(content: bytes) -> Iterator[tuple[bytes, int, int]]:
     """Record id, offset and length of each record, by the Content-Length lines."""
     at, end = 0, END.encode()

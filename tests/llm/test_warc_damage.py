@@ -1,6 +1,7 @@
 """Damage of archives that is in no record, or in the packed bytes."""
 
 import gzip
+import zlib
 
 import pytest
 
@@ -42,3 +43,20 @@ def test_files_of_the_replica_alone_are_found(spark, primary):
     [row] = bad(spark, primary, [(file, packed), ("other", gzip.compress(b"x")), ("empty", b"")])
     assert (row.id, row.file, row.sha256) == (None, "other", None)
     assert bad(spark, primary, [(file, gzip.compress(gzip.decompress(packed), 1))]) == []
+
+
+def test_a_flipped_bit_leaves_the_records_before_it(spark, primary):
+    [(file, packed)] = primary[1]
+    at, data = len(packed) // 2, bytearray(packed)
+    data[at] ^= 4
+    rows = bad(spark, primary, [(file, bytes(data))])
+    before = zlib.decompressobj(31).decompress(packed[: at - 8])
+    ids = {r.id for r in rows}
+    whole = [r.id for r in primary[0].collect() if r.offset + r.length + 4 <= len(before)]
+    assert len(whole) > 10 and ids.isdisjoint(whole) and len(rows) > 1
+
+
+def test_a_wrong_checksum_leaves_all_records(spark, primary):
+    [(file, packed)] = primary[1]
+    [row] = bad(spark, primary, [(file, packed[:-6] + bytes([packed[-6] ^ 1]) + packed[-5:])])
+    assert row.id is None
