@@ -26,7 +26,7 @@ from bizmetrics.llm.text import Chunk, chunks, window_hashes, window_mask, word_
 WINDOW = 50
 ANCHOR = 8
 SKETCH = sketch.Shape(bits=25, rows=2, limit=255)
-_WORD, _FIRST, _SECOND, _ANCHOR = 11, 12, 13, 14
+_WORD, _FIRST, _SECOND, _ANCHOR, _OTHER = 11, 12, 13, 14, 15
 
 
 def _anchors(grams: np.ndarray, span: int) -> np.ndarray:
@@ -40,20 +40,20 @@ def _anchors(grams: np.ndarray, span: int) -> np.ndarray:
 
 
 def _windows(chunk: Chunk, window: int, anchor: int):
-    """Word hashes, first words, and mask, document and anchor of each window of a chunk."""
+    """Word bounds and hashes, and mask, document and anchor of each window of a chunk."""
     starts, ends, first = word_bounds(chunk)
     words = word_hashes(chunk, starts, ends, _WORD)
     inside = window_mask(first, window, len(words))
     doc = np.repeat(np.arange(chunk.size), np.diff(first))[: len(inside)]
     grams = window_hashes(words, anchor, _ANCHOR)
     least = _anchors(grams, window - anchor + 1) if len(inside) else grams[:0]
-    return words, inside, doc, least
+    return (starts, ends), words, inside, doc, least
 
 
 def _sketch(docs: DataFrame, window: int, anchor: int, shape: sketch.Shape) -> sketch.AtLeast:
     def keys(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         for chunk in chunks(batch.column(0)):
-            _, inside, doc, least = _windows(chunk, window, anchor)
+            _, _, inside, doc, least = _windows(chunk, window, anchor)
             doc, least = doc[inside], least[inside]
             # An anchor counts once a run of windows: more than once a document at most
             # overestimates.
@@ -71,17 +71,19 @@ def _candidates(rows: DataFrame, repeated, window: int, anchor: int) -> DataFram
         for batch in batches:
             ids, prints = batch.column(1), batch.column(2)
             for chunk in chunks(batch.column(0)):
-                words, inside, doc, least = _windows(chunk, window, anchor)
+                bounds, words, inside, doc, least = _windows(chunk, window, anchor)
                 at = np.flatnonzero(inside)
                 at = at[repeated.value(least[at])]
                 if not len(at):
                     continue
                 first = np.searchsorted(doc, np.arange(chunk.size))
+                # The second half of the 128 bits has word hashes of its own.
+                other = word_hashes(chunk, *bounds, _OTHER)
                 rows = pa.array(chunk.first + doc[at])
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(window_hashes(words, window, _FIRST)[at].view(np.int64)),
-                        pa.array(window_hashes(words, window, _SECOND)[at].view(np.int64)),
+                        pa.array(window_hashes(other, window, _SECOND)[at].view(np.int64)),
                         ids.take(rows),
                         prints.take(rows),
                         pa.array((at - first[doc[at]]).astype(np.int32)),

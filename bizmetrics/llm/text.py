@@ -1,19 +1,22 @@
 """Words and word hashes of whole Arrow batches, by array operations.
 
 A batch is cut into chunks of whole documents (about ``CHUNK`` bytes; a longer document is
-a chunk of its own). Word hashes are differences of one running polynomial sum over the
-bytes, so a chunk costs a fixed number of array passes, whatever its words.
+a chunk of its own). A word's hash mixes its eight-byte blocks one after the other, all words
+of a chunk at a time; the rare long ones take a digest. Windows of words are differences of
+one running polynomial sum over the words' hashes.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 1 << 21
+CHUNK = 1 << 20
+BLOCKS = 8  # eight-byte blocks up to which words are mixed; longer ones take a digest
 _M = (1 << 64) - 1
 
 
@@ -27,7 +30,9 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Poly:
-    """Powers of an odd base modulo 2**64 and of its inverse, grown on demand."""
+    """Powers of an odd base modulo 2**64 and of its inverse, grown on demand: for short runs
+    of values that are hashes themselves (over raw bytes, long runs of two values that
+    alternate in a certain order and their opposites would be equal for every base)."""
 
     def __init__(self, seed: int):
         rng = np.random.default_rng(seed)
@@ -42,7 +47,7 @@ class Poly:
             up, down = np.full(size, self.base, np.uint64), np.full(size, self.inverse, np.uint64)
             up[0] = down[0] = 1
             up, down = np.cumprod(up), np.cumprod(down)
-            if size > 2 * CHUNK:  # a very long document: do not keep its tables
+            if size > CHUNK:  # a very long document: do not keep its tables
                 return up, down
             self._up, self._down = up, down
         return self._up, self._down
@@ -61,6 +66,7 @@ def _table(separators: bytes) -> np.ndarray:
     return table
 
 
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 BLANK = _table(b" \t\n\v\f\r")
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
@@ -129,8 +135,29 @@ def word_bounds(chunk: Chunk, blank: np.ndarray = BLANK) -> tuple[np.ndarray, np
 
 
 def word_hashes(chunk: Chunk, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
-    p = poly(seed)
-    return p.runs(p.bytes[chunk.data], starts, ends)
+    """64 bits for each run of bytes. Runs of one length up to eight never share them; hashes
+    of different seeds are independent of each other."""
+    salt = np.uint64(int.from_bytes(hashlib.blake2b(seed.to_bytes(8, "little"), digest_size=8).digest(), "little"))
+    lengths = ends - starts
+    padded = np.concatenate([chunk.data, np.zeros(8, np.uint8)])
+    blocks = np.lib.stride_tricks.as_strided(padded, (len(chunk.data) + 1, 8), (1, 1), writeable=False)
+
+    def block(at: np.ndarray, left: np.ndarray) -> np.ndarray:
+        return blocks[at].view("<u8").ravel() & _MASKS[np.minimum(left, 8)]
+
+    out = mix(block(starts, lengths) ^ mix(lengths.astype(np.uint64) + salt)) if len(starts) else np.zeros(0, np.uint64)
+    longer = np.flatnonzero(lengths > 8)
+    for k in range(1, BLOCKS):
+        if not len(longer):
+            break
+        own = block(starts[longer] + 8 * k, lengths[longer] - 8 * k)
+        out[longer] = mix(out[longer] * np.uint64(0x9E3779B97F4A7C15) + mix(own ^ salt))
+        longer = longer[lengths[longer] > 8 * (k + 1)]
+    key = salt.tobytes()
+    for i in longer.tolist():
+        digest = hashlib.blake2b(chunk.data[starts[i] : ends[i]], digest_size=8, key=key).digest()
+        out[i] = int.from_bytes(digest, "little")
+    return out
 
 
 def window_hashes(words: np.ndarray, width: int, seed: int) -> np.ndarray:
