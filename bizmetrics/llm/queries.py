@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bizmetrics.llm import bpe, exact, language, licenses, ngram_join, packing, quality, substrings, tokenfile, warc
+from bizmetrics.llm import bpe, exact, language, licenses, ngram_join, packing, quality, search, substrings, tokenfile, warc
 from bizmetrics.llm.shared import scratch, store
 
 
@@ -77,6 +77,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.ranked(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard_join": op1,
@@ -89,4 +93,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": op8,
         "op9_exact_dedup": op9,
         "op10_warc_fixity": op10,
+        "op13_lexical_search": op13,
     }

@@ -123,6 +123,36 @@ from c
 """
 
 
+SEARCH = r"""
+with d as (
+  select doc_id, regexp_extract_all(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as terms
+  from documents),
+i as (
+  select item_id, unnest(regexp_extract_all(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+  from benchmark),
+c as (
+  select count(*) filter (where len(terms) > 0)::bigint as n_docs, sum(len(terms))::bigint as n_terms from d),
+p as (
+  select doc_id, n, term, count(*)::bigint as tf
+  from (select doc_id, len(terms)::bigint as n, unnest(terms) as term from d) group by doc_id, n, term),
+w as (
+  select term, floor(1000 * ln((2 * n_docs + 2)::double / (2 * count(*) + 1)::double))::bigint as w
+  from p, c group by term, n_docs),
+s as (
+  select item_id, doc_id,
+         sum(w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms))))::bigint as score
+  from i join p using (term) join w using (term), c group by item_id, doc_id),
+r as (
+  select item_id, row_number() over (partition by item_id order by score desc, doc_id) as rank, doc_id, score
+  from s where score > 0)
+select item_id, rank::integer as rank, doc_id, score from r where rank <= 20
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_ngram_jaccard_join": NGRAM_JOIN,
@@ -130,4 +160,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_substring_dedup": SUBSTRINGS,
         "op9_exact_dedup": EXACT,
         "op10_warc_fixity": FIXITY,
+        "op13_lexical_search": SEARCH,
     }
