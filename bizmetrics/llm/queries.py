@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bizmetrics.llm import bpe, exact, language, licenses, ngram_join, packing, quality, search, substrings, tokenfile, warc
+from bizmetrics.llm import (
+    bpe, exact, language, licenses, ngram_join, packing, phrases, quality, search, substrings, tokenfile, warc,
+)
 from bizmetrics.llm.shared import scratch, store
 
 
@@ -77,6 +79,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_documents(spark, sf_dir))
+
+
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.ranked(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -93,5 +99,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": op8,
         "op9_exact_dedup": op9,
         "op10_warc_fixity": op10,
+        "op11_phrase_collocations": op11,
         "op13_lexical_search": op13,
     }

@@ -153,6 +153,41 @@ select item_id, rank::integer as rank, doc_id, score from r where rank <= 20
 """
 
 
+PHRASES = r"""
+with p as (
+  select row_number() over () as piece, lang, regexp_extract_all(text, '[^\x20\x09]+') as ws
+  from (
+    select coalesce(lang, 'und') as lang, unnest(string_split_regex(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[.,;:!?\x0A-\x0D]')) as text
+    from documents)),
+t as (select lang, sum(len(ws))::bigint as n from p group by lang),
+s as (select lang, ws, len(ws) as size, unnest(range(1, len(ws) + 1)) as i from p),
+g as (
+  select lang, ws[i:i + k - 1] as g, count(*)::bigint as f
+  from s, range(1, 5) r(k) where i + k - 1 <= size group by lang, g),
+c as (select lang, g, f from g where len(g) >= 2 and f >= 30),
+x as (select lang, g, f, unnest(range(1, len(g))) as k from c),
+y as (
+  select x.lang, x.g, x.f as a, x.k, l.f as l, r.f as r,
+         (2000000::hugeint * x.f // (l.f + r.f))::bigint as score
+  from x join g l on l.lang = x.lang and l.g = x.g[1:x.k]
+         join g r on r.lang = x.lang and r.g = x.g[x.k + 1:]),
+b as (select * from y qualify row_number() over (partition by lang, g order by score, k) = 1),
+i as (
+  select lang, f, len(g) as size, unnest(list_transform(range(1, len(g) - m + 2), q -> g[q:q + m - 1])) as part
+  from c, range(2, 4) z(m) where m < len(g)),
+d as (
+  select distinct b.lang, b.g from b join i on i.lang = b.lang and i.part = b.g where 100 * i.f >= 80 * b.a),
+o as (
+  select lang, array_to_string(g, ' ') as phrase, a, l, r, score
+  from b anti join d using (lang, g)),
+k as (
+  select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from o)
+select lang, rank, phrase, a, l, r, n, score from k join t using (lang) where rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_ngram_jaccard_join": NGRAM_JOIN,
@@ -160,5 +195,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_substring_dedup": SUBSTRINGS,
         "op9_exact_dedup": EXACT,
         "op10_warc_fixity": FIXITY,
+        "op11_phrase_collocations": PHRASES,
         "op13_lexical_search": SEARCH,
     }
