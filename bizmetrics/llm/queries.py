@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bizmetrics.llm import (
-    bpe, exact, language, licenses, ngram_join, packing, phrases, quality, search, substrings, tokenfile, warc,
+    bpe, exact, language, licenses, ngram_join, packing, phrases, pii, quality, search, substrings, tokenfile, warc,
 )
 from bizmetrics.llm.shared import scratch, store
 
@@ -83,6 +83,10 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(_documents(spark, sf_dir))
 
 
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(_documents(spark, sf_dir))
+
+
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.ranked(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -100,5 +104,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_exact_dedup": op9,
         "op10_warc_fixity": op10,
         "op11_phrase_collocations": op11,
+        "op12_personal_data": op12,
         "op13_lexical_search": op13,
     }

@@ -175,7 +175,7 @@ y as (
          join g r on r.lang = x.lang and r.g = x.g[x.k + 1:]),
 b as (select * from y qualify row_number() over (partition by lang, g order by score, k) = 1),
 i as (
-  select lang, f, len(g) as size, unnest(list_transform(range(1, len(g) - m + 2), q -> g[q:q + m - 1])) as part
+  select lang, f, len(g) as size, unnest(list_transform(range(1, len(g) - m + 2), lambda q: g[q:q + m - 1])) as part
   from c, range(2, 4) z(m) where m < len(g)),
 d as (
   select distinct b.lang, b.g from b join i on i.lang = b.lang and i.part = b.g where 100 * i.f >= 80 * b.a),
