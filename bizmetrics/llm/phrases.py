@@ -32,7 +32,7 @@ from bizmetrics.llm.text import chunks, word_bounds
 DEPTH = 4
 LEAST = 30
 TOP = 2000
-SHARD = 1 << 23  # bytes of text; a longer text is a shard of its own
+SHARD = 1 << 22  # bytes of text; a longer text is a shard of its own
 HELD = 4 * SHARD  # bytes of all languages that a task keeps for their shards
 _NTH, _ROW = 10, 31  # bits of a shard's number in its task, of a row in its shard
 _SEPARATORS = np.zeros(256, bool)

@@ -14,6 +14,8 @@ from bizmetrics.session import shared_folder
 
 # Rows per Arrow batch: texts are a few KB, so that a batch stays at a few MB.
 BATCH_ROWS = "256"
+# Bytes, for rows that hold more: both sides keep a batch at a time.
+BATCH_BYTES = "8m"
 _written: list[str] = []
 
 
@@ -23,6 +25,7 @@ _shipped: set[str] = set()
 def prepare(spark: SparkSession) -> None:
     """Batch size, and this package on the executors' path (once an application)."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     if spark.sparkContext.applicationId in _shipped:
         return
     package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))

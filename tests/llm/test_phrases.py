@@ -67,7 +67,7 @@ def corpus(seed, n, langs=("en", "de", None)):
     return rows
 
 
-@pytest.mark.parametrize(("parts", "size"), [(1, 1 << 23), (5, 400)])
+@pytest.mark.parametrize(("parts", "size"), [(1, phrases.SHARD), (5, 400)])
 def test_is_brute_force(spark, parts, size):
     rows = corpus(1, 300)
     got = run(spark, rows, parts, least=5, size=size)
