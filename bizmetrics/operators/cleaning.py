@@ -95,13 +95,13 @@ def _raw_left(df: DataFrame, keys: list[str]) -> list[str]:
     return [k for k in keys if k in df.columns] or df.columns
 
 
-def _stripped(df: DataFrame, keys: list[str]) -> DataFrame:
-    left = _raw_left(df, keys)
+def _stripped(df: DataFrame, keys: list[str], order_by: list[str]) -> DataFrame:
+    left = [c for c in _raw_left(df, keys) if c not in order_by]
     return filters.strip_strings(df, [c for c in filters.string_columns(df) if c in left])
 
 
-def _finished(df: DataFrame, rules: Callable, keys: list[str]) -> DataFrame:
-    left = _raw_left(df, keys)
+def _finished(df: DataFrame, rules: Callable, keys: list[str], order_by: list[str]) -> DataFrame:
+    left = [c for c in _raw_left(df, keys) if c not in order_by]
     return filters.apply_rules(df, {c: r for c, r in rules(df).items() if c in left})
 
 
@@ -116,10 +116,10 @@ def _filled(
 
 
 def clean_deals(
-    raw: DataFrame, order_by: list[str], numeric_columns: list[str] = ()
+    raw: DataFrame, order_by: list[str], numeric_columns: list[str] = (), keep_order: bool = False
 ) -> DataFrame:
-    """``order_by`` names the columns that hold the source position; they are dropped.
-    ``numeric_columns`` are canonical columns whose cells are all numbers."""
+    """``order_by`` names the columns that hold the source position; they are dropped unless
+    ``keep_order``. ``numeric_columns`` are canonical columns whose cells are all numbers."""
     df = _filled(canonical_deals(raw), order_by, numeric_columns)
     # the header test is on raw text, like the keys
     header = filters.is_header_row("deal_status") if "deal_status" in df.columns else "false"
@@ -129,8 +129,9 @@ def clean_deals(
     df = _ready(df, deal_rules, config.DEAL_KEYS, [*order_by, _HEADER])
     df = keep_first(df, config.DEAL_KEYS, order_by, numeric_columns)
     df = df.filter(f"NOT {_HEADER}").drop(_HEADER) if keyed else df.filter(f"NOT {header}")
-    df = filters.drop_blank_names(_stripped(df.drop(*order_by), config.DEAL_KEYS))
-    return _finished(df, deal_rules, config.DEAL_KEYS)
+    df = df if keep_order else df.drop(*order_by)
+    df = filters.drop_blank_names(_stripped(df, config.DEAL_KEYS, order_by))
+    return _finished(df, deal_rules, config.DEAL_KEYS, order_by)
 
 
 def distinct_work_orders(
@@ -142,15 +143,15 @@ def distinct_work_orders(
 
 
 def clean_work_orders(
-    raw: DataFrame, order_by: list[str], numeric_columns: list[str] = ()
+    raw: DataFrame, order_by: list[str], numeric_columns: list[str] = (), keep_order: bool = False
 ) -> DataFrame:
     """As `clean_deals`, but header-like and nameless rows are kept here and the billing
     months stay text."""
     df = _filled(canonical_work_orders(raw), order_by, numeric_columns)
     df = _ready(df, work_order_rules, config.WORK_ORDER_KEYS, order_by)
     df = keep_first(df, config.WORK_ORDER_KEYS, order_by, numeric_columns)
-    df = _stripped(df.drop(*order_by), config.WORK_ORDER_KEYS)
-    return _finished(df, work_order_rules, config.WORK_ORDER_KEYS)
+    df = _stripped(df if keep_order else df.drop(*order_by), config.WORK_ORDER_KEYS, order_by)
+    return _finished(df, work_order_rules, config.WORK_ORDER_KEYS, order_by)
 
 
 def enforce_types(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -77,20 +77,33 @@ def _closing(deals: DataFrame, window: str) -> DataFrame:
     return deals.filter(F.col("deal_status") == OPEN).filter(window)
 
 
-def closing_this_month(deals: DataFrame, as_of: dt.date | None = None) -> DataFrame:
-    """Open deals with a tentative close date in the month of ``as_of`` (today if None)."""
+def _in_order(df: DataFrame, order_by: list[str] | None) -> DataFrame:
+    """In source order, by the position columns that cleaning has kept; they are dropped.
+    Only the listed rows are sorted, by ranges."""
+    return df.orderBy(*order_by).drop(*order_by) if order_by else df
+
+
+def closing_this_month(
+    deals: DataFrame, as_of: dt.date | None = None, order_by: list[str] | None = None
+) -> DataFrame:
+    """Open deals with a tentative close date in the month of ``as_of`` (today if None).
+
+    In the order of the source if ``order_by`` names its position columns, else unordered.
+    """
     window = dates.in_month("tentative_close_date", as_of or dt.date.today())
-    return _closing(deals, window).select(*CLOSING_COLUMNS)
+    kept = [c for c in CLOSING_COLUMNS if c not in (order_by or [])]
+    return _in_order(_closing(deals, window).select(*(order_by or []), *kept), order_by)
 
 
 def closing_this_quarter(
-    deals: DataFrame, as_of: dt.date | None = None, sector: str | None = None
+    deals: DataFrame, as_of: dt.date | None = None, sector: str | None = None,
+    order_by: list[str] | None = None,
 ) -> DataFrame:
     """Same for the calendar quarter, all columns. The sector argument is lower-cased
     only, not looked up among the aliases."""
     window = dates.in_quarter("tentative_close_date", as_of or dt.date.today())
     df = _closing(deals, window)
-    return df.filter(F.col("sector") == sector.lower()) if sector else df
+    return _in_order(df.filter(F.col("sector") == sector.lower()) if sector else df, order_by)
 
 
 def deal_creation_trend(deals: DataFrame, months: int = 6) -> DataFrame:

@@ -22,7 +22,7 @@ from bizmetrics.plans import (
     report,
 )
 from bizmetrics.session import configure
-from bizmetrics.sources import board, csv, load
+from bizmetrics.sources import board, csv, load, positions
 from testkit import landing
 from testkit import raw_tables as raw
 
@@ -93,9 +93,34 @@ def _load_status(spark, sf_dir):
     )
 
 
+def _load_board(spark, sf_dir):
+    """Deals from board pages; work orders from CSV, as their board can't be read."""
+    return load.loaded_rows(
+        load.load(
+            spark,
+            deals_pages=landing.board_export(spark, sf_dir),
+            work_orders_pages="/nonexistent/pages",
+            work_orders_csv=landing.work_orders_csv(spark, sf_dir),
+        )
+    )
+
+
+def _clean_deals_csv(spark, sf_dir):
+    """Twelve unpadded folders of CSV files, cleaned by the reader's own positions."""
+    table = csv.read_deals_csv(spark, landing.deals_export(spark, sf_dir))
+    table = positions.numbered(table, csv.POSITION)
+    return cleaning.clean_deals(table, [positions.NAME], keep_order=True)
+
+
+def _clean_deals_board(spark, sf_dir):
+    table = board.read_board(spark, landing.board_export(spark, sf_dir))
+    table = positions.numbered(table, board.ITEM_POSITION)
+    return cleaning.clean_deals(table, [positions.NAME], keep_order=True)
+
+
 def _board_items(spark, sf_dir):
     path = landing.board_pages(spark, sf_dir)
-    return board.page_items(board.check_errors(board.read_pages(spark, path)))
+    return board.page_items(board.land_pages(spark, path))
 
 
 def _board_pages_items(spark, sf_dir):
@@ -271,6 +296,9 @@ def _plans() -> dict[str, Query]:
         "board_columns": _board_columns,
         "find_board": _find_board,
         "load_status": _load_status,
+        "load_board": _load_board,
+        "clean_deals_csv": _clean_deals_csv,
+        "clean_deals_board": _clean_deals_board,
         # schema
         "canonical_deals": _canonical_raw_deals,
         "canonical_work_orders": _canonical_raw_orders,
@@ -308,7 +336,11 @@ def _plans() -> dict[str, Query]:
         "average_deal_size": _deals(pipeline.average_deal_size),
         "total_pipeline_value": _deals(pipeline.total_pipeline_value),
         "active_deals": _deals(pipeline.active_deals),
-        "closing_this_month": _deals(lambda d: pipeline.closing_this_month(d, AS_OF)),
+        "closing_this_month": lambda spark, sf_dir: pipeline.closing_this_month(
+            cleaning.clean_deals(landing.raw_deals(spark, sf_dir), raw.DEAL_ORDER, keep_order=True),
+            AS_OF,
+            raw.DEAL_ORDER,
+        ),
         "closing_this_quarter": _deals(
             lambda d: pipeline.closing_this_quarter(d, AS_OF, QUARTER_SECTOR)
         ),

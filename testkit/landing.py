@@ -17,6 +17,7 @@ from testkit import raw_tables as raw
 
 BANNER = "Work order tracker,,exported"
 KEYS_PER_PAGE = 4096  # positions, 8 per order
+EXPORTS = 10  # folders of rows by position; copies go to two more behind them
 _landed: dict[tuple[str, str, str], str] = {}
 
 
@@ -68,6 +69,30 @@ def deals_csv(spark: SparkSession, sf_dir: str) -> str:
     return _once(spark, sf_dir, "deals_csv", write)
 
 
+def _exported(spark: SparkSession, sf_dir: str, deals: DataFrame) -> DataFrame:
+    """Deals with the number of the ``export`` folder they are in: by range of positions,
+    second copies (position 1 of 8) in folders 10 and 11. Their numbers are not padded, so
+    the order of names is not that of positions."""
+    step = deals.agg((F.floor(F.max("ordinal") / EXPORTS) + 1).alias("step")).first()["step"]
+    copies = EXPORTS + F.floor(F.col("ordinal") / 8) % 2
+    export = F.when(F.col("ordinal") % 8 == 1, copies).otherwise(F.floor(F.col("ordinal") / step))
+    return deals.withColumn("export", export.cast("int"))
+
+
+def deals_export(spark: SparkSession, sf_dir: str) -> str:
+    """The deals as CSV files in twelve folders, each in the order of positions."""
+
+    def write(path: str) -> None:
+        deals = _exported(spark, sf_dir, raw_deals(spark, sf_dir))
+        deals.repartition("export").sortWithinPartitions("export", *raw.DEAL_ORDER).drop(
+            *raw.DEAL_ORDER
+        ).write.options(
+            header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+        ).partitionBy("export").csv(path)
+
+    return _once(spark, sf_dir, "deals_export", write)
+
+
 def work_orders_csv(spark: SparkSession, sf_dir: str) -> str:
     """Every file starts with a banner line, its header is the second line."""
 
@@ -109,47 +134,62 @@ def _cell(cell_id: str, text: Column, title: str | None) -> Column:
     )
 
 
+def _page_texts(deals: DataFrame, *by: str) -> DataFrame:
+    """Response texts (``page``, ``value`` and ``by``), some hundred items each, first and
+    follow-up page shapes by turns. Each item repeats the title ``Deal Status`` and has one
+    cell without a column."""
+    cells = F.array(
+        _cell("c0", F.lit("first of two"), "Deal Status"),
+        *[
+            _cell(f"c{i}", F.col(c), raw.DEAL_HEADERS[c])
+            for i, c in enumerate(BOARD_COLUMNS, 1)
+        ],
+        _cell("link", F.col("client_code"), None),
+    )
+    item = F.struct(
+        F.col("ordinal").cast("string").alias("id"),
+        F.coalesce("deal_name", F.lit("")).alias("name"),
+        cells.alias("column_values"),
+    )
+    # a page holds a fixed range of positions, so its list is bounded
+    pages = deals.groupBy(
+        *by, F.floor(F.col("ordinal") / KEYS_PER_PAGE).alias("page")
+    ).agg(F.sort_array(F.collect_list(F.struct("ordinal", item.alias("item")))).alias("rows"))
+    items = F.transform("rows", lambda r: r["item"])
+    page = F.struct(F.lit("next").alias("cursor"), items.alias("items"))
+    first = F.to_json(
+        F.struct(
+            F.struct(F.array(F.struct(page.alias("items_page"))).alias("boards")).alias("data")
+        )
+    )
+    follow_up = F.to_json(F.struct(F.struct(page.alias("next_items_page")).alias("data")))
+    return pages.select(
+        *by, "page", F.when(F.col("page") % 2 == 0, first).otherwise(follow_up).alias("value")
+    )
+
+
 def board_pages(spark: SparkSession, sf_dir: str) -> str:
-    """Deals as board items, some hundreds per page, first and follow-up page shapes by
-    turns. Each item repeats the title ``Deal Status`` and has one cell without a column.
-    """
+    """Deals as board items, in no order."""
 
     def write(path: str) -> None:
         deals = raw.for_spark(spark, sf_dir, "raw_deals")
-        cells = F.array(
-            _cell("c0", F.lit("first of two"), "Deal Status"),
-            *[
-                _cell(f"c{i}", F.col(c), raw.DEAL_HEADERS[c])
-                for i, c in enumerate(BOARD_COLUMNS, 1)
-            ],
-            _cell("link", F.col("client_code"), None),
-        )
-        item = F.struct(
-            F.col("ordinal").cast("string").alias("id"),
-            F.coalesce("deal_name", F.lit("")).alias("name"),
-            cells.alias("column_values"),
-        )
-        # a page holds a fixed range of positions, so its list is bounded
-        pages = deals.groupBy(
-            F.floor(F.col("ordinal") / KEYS_PER_PAGE).alias("page")
-        ).agg(F.sort_array(F.collect_list(F.struct("ordinal", item.alias("item")))).alias("rows"))
-        items = F.transform("rows", lambda r: r["item"])
-        page = F.struct(F.lit("next").alias("cursor"), items.alias("items"))
-        first = F.to_json(
-            F.struct(
-                F.struct(F.array(F.struct(page.alias("items_page"))).alias("boards")).alias(
-                    "data"
-                )
-            )
-        )
-        follow_up = F.to_json(F.struct(F.struct(page.alias("next_items_page")).alias("data")))
-        pages.select(
-            F.when(F.col("page") % 2 == 0, first).otherwise(follow_up).alias("value")
-        ).write.text(path)
+        _page_texts(deals).select("value").write.text(path)
 
     return _once(spark, sf_dir, "board_pages", write)
 
 
+def board_export(spark: SparkSession, sf_dir: str) -> str:
+    """The same pages in twelve folders, each in the order of positions."""
+
+    def write(path: str) -> None:
+        deals = _exported(spark, sf_dir, raw.for_spark(spark, sf_dir, "raw_deals"))
+        _page_texts(deals, "export").repartition("export").sortWithinPartitions(
+            "export", "page"
+        ).select("export", "value").write.partitionBy("export").text(path)
+
+    return _once(spark, sf_dir, "board_export", write)
+
+
 def catalogue_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Board catalogues as response texts: ``page`` and ``response``, 50 boards a page."""
     boards = raw.for_spark(spark, sf_dir, "boards")

@@ -189,6 +189,19 @@ named AS (SELECT * FROM stripped WHERE deal_name IS NULL OR deal_name <> '')"""
 _CLEAN_DEALS = f"""{_KEPT_DEALS},
 deals AS MATERIALIZED (SELECT {_cols(_DEALS, _DEAL_RULES)} FROM named)"""
 
+# The files hold copy 0 and 2 to 4 in order of position, then copy 1 in two more folders.
+_FILE_ORDER = "CASE WHEN ordinal % 8 = 1 THEN 10 + (ordinal // 8) % 2 ELSE 0 END, ordinal"
+_POSITIONS = f"SELECT ordinal, row_number() OVER (ORDER BY {_FILE_ORDER}) - 1 AS position FROM raw"
+# Items always have an id, so none is an empty row.
+_BOARD_DEALS = f"""{_RAW_DEALS},
+firsts AS (SELECT * FROM raw QUALIFY row_number() OVER (
+  PARTITION BY deal_name, client_code, deal_value ORDER BY {_FILE_ORDER}) = 1),
+kept AS (SELECT * FROM firsts WHERE (deal_status IS NULL OR deal_status <> 'Deal Status')
+  AND (deal_name IS NULL OR {_trim('deal_name')} <> '')),
+named AS (SELECT ordinal, {_cols(_DEALS, {c: _trim(c) for c in _DEALS})} FROM kept),
+deals AS (SELECT CAST(ordinal AS VARCHAR) AS item_id, coalesce(deal_name, '') AS item_name,
+  client_code AS link, ordinal, {_cols(_DEALS, _DEAL_RULES)} FROM named)"""
+
 _RAW_ORDERS = f"raw_wo AS ({raw.for_duckdb('raw_work_orders')})"
 _FIRST_ORDERS = f"""{_RAW_ORDERS},
 nonempty_wo AS (SELECT * FROM raw_wo WHERE {_nonempty(_ORDERS)}),
@@ -519,6 +532,17 @@ def oracle_sql() -> dict[str, str]:
             "SELECT 'deals' AS \"table\", 'loaded_from_csv' AS status, count(*) AS rows FROM deals "
             "UNION ALL SELECT 'work_orders', 'loaded_from_csv', count(*) FROM work_orders"
         ),
+        "load_board": f"WITH {_BOARD_DEALS}, {_CLEAN_ORDERS} "
+        "SELECT 'deals' AS \"table\", 'loaded_from_api' AS status, count(*) AS rows FROM deals "
+        "UNION ALL SELECT 'work_orders', 'loaded_from_csv', count(*) FROM work_orders",
+        "clean_deals_csv": f"WITH {_FIRST_DEALS}, "
+        "kept AS (SELECT * FROM firsts WHERE deal_status IS NULL OR deal_status <> 'Deal Status'), "
+        f"named AS (SELECT ordinal, {_cols(_DEALS, {c: _trim(c) for c in _DEALS})} FROM kept "
+        f"WHERE deal_name IS NULL OR {_trim('deal_name')} <> '') "
+        f"SELECT position, {_cols(_DEALS, {**_DEAL_RULES, 'product_deal': _fill('product_deal')})} "
+        f"FROM named JOIN ({_POSITIONS}) p USING (ordinal)",
+        "clean_deals_board": f"WITH {_BOARD_DEALS} SELECT deals.* EXCLUDE (ordinal), position "
+        f"FROM deals JOIN ({_POSITIONS}) p USING (ordinal)",
         # schema
         "canonical_deals": f"WITH {_RAW_DEALS} SELECT ordinal, {deals_list} FROM raw",
         "canonical_work_orders": f"WITH {_RAW_ORDERS} SELECT * FROM raw_wo",
