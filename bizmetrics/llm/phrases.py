@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bizmetrics.llm.shared import prepare, store
+from bizmetrics.llm.shared import drop, prepare, store
 from bizmetrics.llm.text import chunks, word_bounds
 
 DEPTH = 4
@@ -41,6 +41,18 @@ _GAP = _SEPARATORS.copy()
 _GAP[list(b" \t")] = True
 
 
+def packed(values: np.ndarray) -> bytes:
+    """32-bit numbers, most of them small, as compressed planes of their bytes."""
+    planes = np.ascontiguousarray(values.astype("<i4").view(np.uint8).reshape(-1, 4).T)
+    return len(values).to_bytes(4, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:4], "little")
+    planes = np.frombuffer(pa.decompress(data[4:], 4 * n, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, n).T).view("<i4").ravel()
+
+
 def word_numbers(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Different words of lower-cased texts, their counts, and all words in order as numbers
     from 1 with a 0 wherever a piece or a text ends."""
@@ -85,7 +97,7 @@ def shards(rows: DataFrame, size: int = SHARD) -> DataFrame:
                     pa.array([shard], pa.int64()), pa.array([lang]),
                     pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words.cast(pa.string())),
                     pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), pa.array(counts.astype(np.int64))),
-                    pa.array([numbers.astype("<i4").tobytes()], pa.binary()),
+                    pa.array([packed(numbers)], pa.binary()),
                 ],
                 names=["shard", "lang", "words", "counts", "numbers"],
             )
@@ -163,7 +175,7 @@ def _intervals(indexed: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for shard, psi, lows, lengths, names in zip(*batch.columns, strict=True):
-                psi = np.frombuffer(psi.as_py(), "<i4")
+                psi = np.cumsum(unpacked(psi.as_py()), dtype=np.int32)  # ascending for each word
                 named = _rows_named(len(psi), *(c.values.to_numpy().astype(np.int64) for c in (lows, lengths, names)))
                 low, n, first, last = extend(psi, named)
                 for a in range(0, len(low), 1 << 16):
@@ -218,7 +230,7 @@ def _indexes(pieces: DataFrame, words: DataFrame) -> DataFrame:
             for shard, numbers, size, at, names in zip(*batch.columns, strict=True):
                 of_word = np.full(size.as_py(), -1, np.int64)
                 of_word[at.values.to_numpy()] = names.values.to_numpy()
-                psi, named = index(np.frombuffer(numbers.as_py(), "<i4"), of_word)
+                psi, named = index(unpacked(numbers.as_py()), of_word)
                 rows = np.flatnonzero(named >= 0)
                 new = np.ones(len(rows), bool)
                 new[1:] = named[rows[1:]] != named[rows[:-1]]
@@ -227,7 +239,7 @@ def _indexes(pieces: DataFrame, words: DataFrame) -> DataFrame:
                 offsets = pa.array([0, len(lows)], pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([shard.as_py()], pa.int64()), pa.array([psi.astype("<i4").tobytes()], pa.binary()),
+                        pa.array([shard.as_py()], pa.int64()), pa.array([packed(np.diff(psi, prepend=np.int32(0)))], pa.binary()),
                         pa.ListArray.from_arrays(offsets, pa.array(lows.astype(np.int32))),
                         pa.ListArray.from_arrays(offsets, pa.array(lengths.astype(np.int32))),
                         pa.ListArray.from_arrays(offsets, pa.array(named[lows])),
@@ -280,14 +292,22 @@ def collocations(
     )
     words = _frequent(single, ["lang", "text"], least, "phrase-words")
     indexed = _indexes(pieces, words)
-    levels = {}
-    state = indexed
+    named = {1: store(_named(words), "phrases-1")}
+    totals = store(totals, "phrase-totals")
+    drop(pieces, words)
+    state, done = indexed, []
     for n in range(2, DEPTH + 1):
-        levels[n] = _frequent(_intervals(state), ["first", "last"], least, f"phrases-{n}")
-        state = indexed.select("shard", "psi").join(_by_shard(levels[n]), "shard")
+        level = _frequent(_intervals(state), ["first", "last"], least, f"phrase-intervals-{n}")
+        named[n] = store(_named(level), f"phrases-{n}")
+        drop(*done)
+        done = [level]
+        if n < DEPTH:
+            state = indexed.select("shard", "psi").join(_by_shard(level), "shard")
+
+    drop(indexed, *done)
 
     # Texts, and the counts of the parts that a cut can leave: p_i the first, s_i the last i words.
-    grams = {1: _named(words).select("id", "lang", "text", "f", F.col("text").alias("tail"), F.col("f").alias("p1"), F.col("f").alias("s1"))}
+    grams = {1: named[1].select("id", "lang", "text", "f", F.col("text").alias("tail"), F.col("f").alias("p1"), F.col("f").alias("s1"))}
     found = []
     for n in range(2, DEPTH + 1):
         parts = range(1, n)
@@ -297,7 +317,7 @@ def collocations(
         )
         right = right.select(F.col("id").alias("last"), "tail", *[f"s{i}" for i in parts])
         grams[n] = store(
-            _named(levels[n]).join(left, "first").join(right, "last").select(
+            named[n].join(left, "first").join(right, "last").select(
                 "id", "first", "last", "lang", F.concat_ws(" ", "head", "tail").alias("text"), "f", "tail",
                 *[f"p{i}" for i in parts], F.col("f").alias(f"p{n}"), *[f"s{i}" for i in parts], F.col("f").alias(f"s{n}"),
             ),

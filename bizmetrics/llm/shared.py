@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import time
 import uuid
 import zipfile
 
@@ -16,6 +17,7 @@ from bizmetrics.session import shared_folder
 BATCH_ROWS = "256"
 # Bytes, for rows that hold more: both sides keep a batch at a time.
 BATCH_BYTES = "8m"
+LONG = 2.0  # seconds of a job whose shuffle files are worth a look
 _written: list[str] = []
 
 
@@ -51,8 +53,17 @@ def store(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives executors."""
     spark = df.sparkSession
     path = scratch(spark, name)
+    schema, started = df.schema, time.monotonic()
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if time.monotonic() - started > LONG:
+        release(spark)
+    return spark.read.schema(schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of jobs that are over. It does when their plans are
+    garbage, which a driver with memory to spare does not look for."""
+    spark.sparkContext._jvm.System.gc()
 
 
 def mark() -> int:
@@ -67,6 +78,14 @@ def taken(since: int) -> list[str]:
     return own
 
 
+def drop(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more."""
+    for table in tables:
+        path = os.path.dirname(table.inputFiles()[0]) if table.inputFiles() else None
+        if path:
+            delete(table.sparkSession, [path])
+
+
 def delete(spark: SparkSession, paths: list[str]) -> None:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path
     for path in paths:
