@@ -7,14 +7,13 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bizmetrics.functions.display import format_currency
+from bizmetrics import config
+from bizmetrics.functions.display import format_currency, kpi_display
 from bizmetrics.functions.text import literal
-from bizmetrics.plans import operational, pipeline
-from bizmetrics.plans.leadership import leadership_kpis
+from bizmetrics.plans import catalogue
 
 EDGE_ROWS = 10
 MAX_ROWS = 2 * EDGE_ROWS
-TOP_SECTORS = 5  # of the context summary
 
 SECTIONS = [
     "Weekly Sales & Delivery Update",
@@ -40,14 +39,6 @@ LEADERSHIP_LINES = {
 _LIST_START = 100
 
 
-def _ranked(df: DataFrame, order: list, section: int, text: str) -> DataFrame:
-    """List lines of an aggregated frame (a row a sector or status), numbered in order."""
-    window = Window.partitionBy(F.lit(section)).orderBy(*order)
-    return df.withColumn("__rank", F.row_number().over(window)).selectExpr(
-        f"{section} AS section", f"__rank + {_LIST_START} AS pos", f"{text} AS line"
-    )
-
-
 def _headings(spark: SparkSession) -> DataFrame:
     """Title and section headings."""
     rows = ", ".join(
@@ -58,84 +49,70 @@ def _headings(spark: SparkSession) -> DataFrame:
     return spark.range(1).selectExpr(f"inline(array({rows}))")
 
 
-def leadership_report(
-    deals: DataFrame | None, work_orders: DataFrame | None, sectors: int | None = None
+def _lines(
+    cube: DataFrame, kpis: dict[str, tuple[str, str]], kind: str, where: str, first: str,
+    section: int, text: str, limit: int | None = None,
 ) -> DataFrame:
-    """Markdown lines: four sections of KPIs, the sectors (the largest ``sectors`` of them,
-    if given) and all execution statuses.
-
-    Each table is read twice, for the KPIs and for its list; pass stored tables
-    (`LoadResult.store`), on raw ones this means cleaning twice.
-    """
-    kpis = leadership_kpis(deals, work_orders)
-    places = ", ".join(
-        f"{literal(m)}, struct({s} AS section, {p} AS pos, {literal(text)} AS caption)"
-        for m, (s, p, text) in LEADERSHIP_LINES.items()
+    """KPI lines from the cube's row of the whole table and list lines from those of ``kind``,
+    in one use of the cube. The first of the list is the top sector, where there is a line
+    for that."""
+    per_kind = Window.partitionBy("kind").orderBy(F.desc(first), "key")
+    rows = (
+        cube.filter(f"kind = '{catalogue.ALL}' OR (kind = {literal(kind)} AND ({where}))")
+        .withColumn("__rank", F.row_number().over(per_kind))
     )
-    placed = kpis.filter(F.col("metric").isin(list(LEADERSHIP_LINES))).selectExpr(
-        f"map({places})[metric] AS place", "display"
-    )
-    parts = [
-        _headings(kpis.sparkSession),
-        placed.selectExpr(
-            "place.section",
-            "place.pos",
-            "concat('- ', place.caption, ': ', display) AS line",
-        ),
-    ]
-    if deals is not None:
-        order = [F.desc("total_value"), F.col("sector")]
-        top = pipeline.pipeline_by_sector(deals)
-        top = top if sectors is None else top.limit(sectors)
-        line = f"concat('  - ', sector, ': ', {format_currency('total_value')})"
-        parts.append(_ranked(top, order, 1, line))
-    if work_orders is not None:
-        order = [F.desc("count"), F.col("execution_status")]
-        statuses = operational.execution_status(work_orders)
-        line = "concat('  - ', execution_status, ': ', CAST(count AS STRING))"
-        parts.append(_ranked(statuses, order, 2, line))
-    return reduce(DataFrame.unionByName, parts)
 
+    def line(place: tuple[int, int, str], display: str) -> str:
+        at, pos, caption = place
+        return f"named_struct('section', {at}, 'pos', {pos}, 'line', concat('- ', {literal(caption)}, ': ', {display}))"
 
-def context_summary(deals: DataFrame | None, work_orders: DataFrame | None) -> DataFrame:
-    """What is loaded: row counts, the five largest sectors, all deal statuses."""
-    parts = []
-
-    def total(df: DataFrame, label: str, section: int) -> DataFrame:
-        return df.selectExpr(
-            f"{section} AS section",
-            f"{literal(label)} AS item",
-            "CAST(NULL AS STRING) AS value",
-            "count(*) AS count",
-        )
+    whole = [
+        line(LEADERSHIP_LINES[m], kpi_display(f"CAST({value} AS DOUBLE)", literal(unit)))
+        for m, (unit, value) in kpis.items()
+        if m in LEADERSHIP_LINES and unit != "text"
+    ]
+    listed = [
+        f"CASE WHEN {f'__rank <= {limit}' if limit is not None else 'true'} THEN "
+        f"named_struct('section', {section}, 'pos', __rank + {_LIST_START}, 'line', {text}) END"
+    ]
+    if "top_sector" in kpis:
+        listed.append(f"CASE WHEN __rank = 1 THEN {line(LEADERSHIP_LINES['top_sector'], 'key')} END")
+    return rows.selectExpr(
+        f"inline(CASE kind WHEN '{catalogue.ALL}' THEN array({', '.join(whole)}) "
+        f"ELSE filter(array({', '.join(listed)}), l -> l IS NOT NULL) END)"
+    )
 
-    def listing(df: DataFrame, column: str, label: str, section: int) -> DataFrame:
-        return df.selectExpr(
-            f"{section} AS section", f"{literal(label)} AS item", f"{column} AS value", "count"
-        )
 
+def leadership_report(
+    deals: DataFrame | None, work_orders: DataFrame | None, sectors: int | None = None
+) -> DataFrame:
+    """Markdown lines: four sections of KPIs, the sectors (the largest ``sectors`` of them,
+    if given) and all execution statuses. Each table is read once."""
+    spark = (deals if deals is not None else work_orders).sparkSession
+    parts = [_headings(spark)]
     if deals is not None:
-        keys = [c for c in ("sector", "deal_status") if c in deals.columns]
-        # one pass: all three parts are read from the same counts
-        counts = deals.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
         parts.append(
-            counts.selectExpr(
-                "1 AS section", "'Deals dataset' AS item", "CAST(NULL AS STRING) AS value",
-                "coalesce(sum(n), 0) AS count",
+            _lines(
+                catalogue.deal_cube(deals), catalogue.DEAL_KPIS["leadership_update"],
+                "sector", "picked > 0", "picked_value", 1,
+                f"concat('  - ', key, ': ', {format_currency('picked_value')})", sectors,
             )
         )
-        if "sector" in keys:
-            top = counts.groupBy("sector").agg(F.sum("n").alias("count"))
-            top = top.orderBy(F.desc("count"), "sector").limit(TOP_SECTORS)
-            parts.append(listing(top, "sector", "Top sectors", 2))
-        if "deal_status" in keys:
-            statuses = counts.groupBy("deal_status").agg(F.sum("n").alias("count"))
-            parts.append(listing(statuses, "deal_status", "Status distribution", 3))
     if work_orders is not None:
-        parts.append(total(work_orders, "Work orders dataset", 4))
-    return reduce(DataFrame.unionByName, parts).orderBy(
-        "section", F.desc("count"), "value"
-    )
+        parts.append(
+            _lines(
+                catalogue.order_cube(work_orders), catalogue.ORDER_KPIS["leadership_update"],
+                "execution_status", f"key <> {literal(config.UNKNOWN)}", "records", 2,
+                "concat('  - ', key, ': ', CAST(records AS STRING))",
+            )
+        )
+    return reduce(DataFrame.unionByName, parts)
+
+
+def context_summary(deals: DataFrame | None, work_orders: DataFrame | None) -> DataFrame:
+    """What is loaded: row counts, the five largest sectors, all deal statuses. Each table
+    is read once."""
+    return catalogue.summary_rows(deals, work_orders)
 
 
 def edge_rows(df: DataFrame) -> tuple[list, bool]:

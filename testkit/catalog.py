@@ -13,6 +13,7 @@ from bizmetrics import config
 from bizmetrics.functions import dates, display, normalize, numbers, text
 from bizmetrics.operators import cleaning, dedupe, filters, quality, schema
 from bizmetrics.plans import (
+    catalogue,
     financial,
     leadership,
     operational,
@@ -265,16 +266,27 @@ def _receivable_mismatch(orders: DataFrame) -> DataFrame:
 # --- requests and reports -----------------------------------------------------------
 
 
-def _run_metric(deals: DataFrame, orders: DataFrame) -> DataFrame:
-    """The KPIs of every metric request, one table."""
-    parts = []
-    for name in config.METRICS:
-        kpis = registry.run_metric(name, deals, orders, AS_OF).kpis
-        if kpis is not None:
-            parts.append(kpis.select(F.lit(name).alias("request"), "*"))
+def _closing_soon(spark, sf_dir):
+    """The one request with a period and a sector: by month only if that is asked for, and
+    then in all sectors; else by quarter, in the sector if one is given."""
+    deals = cleaning.clean_deals(landing.raw_deals(spark, sf_dir), raw.DEAL_ORDER, keep_order=True)
+    variants = {
+        "month": {"period": "current_month", "sector": QUARTER_SECTOR},
+        "quarter": {"period": "current_quarter"},
+        "quarter, sector": {"period": "all_time", "sector": QUARTER_SECTOR},
+    }
+    parts = [
+        registry.run_metric("deals_closing_soon", deals, as_of=AS_OF, **how)
+        .data.select(F.lit(name).alias("variant"), *pipeline.CLOSING_COLUMNS)
+        for name, how in variants.items()
+    ]
     return reduce(DataFrame.unionByName, parts)
 
 
+def _unknown_metric(deals: DataFrame, orders: DataFrame) -> DataFrame:
+    return registry.run_metric("no such metric", deals, orders, AS_OF).data
+
+
 def queries() -> dict[str, Query]:
     def configured(plan: Query) -> Query:
         return lambda spark, sf_dir: plan(configure(spark), sf_dir)
@@ -380,5 +392,8 @@ def _plans() -> dict[str, Query]:
         "kpi_cards": _both(leadership.kpi_cards),
         "context_summary": _both(report.context_summary),
         "report_lines": _both(report.leadership_report),
-        "run_metric": _both(_run_metric),
+        "run_metric": _both(catalogue.kpi_frames),
+        "metric_data": _both(catalogue.data_frames),
+        "closing_soon": _closing_soon,
+        "unknown_metric": _both(_unknown_metric),
     }

@@ -448,6 +448,86 @@ def _run_metric() -> str:
     return " UNION ALL ".join(parts)
 
 
+def _frame(request: str, select: str, order: str, columns: list[str], last: int | None = None) -> str:
+    """A metric's data as (request, row, column, value, text) from its own SELECT."""
+    ranked = f"SELECT *, row_number() OVER (ORDER BY {order}) AS row FROM ({select}) f"
+    if last:
+        ranked = f"SELECT *, row_number() OVER (ORDER BY {order}) AS row FROM (SELECT * FROM ({select}) f ORDER BY {order} DESC LIMIT {last}) g"
+    parts = []
+    for i, c in enumerate(columns):
+        value, text = ("CAST(NULL AS DOUBLE)", c) if i == 0 else (f"CAST({c} AS DOUBLE)", "CAST(NULL AS VARCHAR)")
+        parts.append(f"SELECT '{request}' AS request, CAST(row AS INT) AS row, '{c}' AS \"column\", {value} AS value, {text} AS text FROM ({ranked}) r")
+    return " UNION ALL ".join(parts)
+
+
+def _metric_data() -> str:
+    by_stage = (
+        f"SELECT deal_stage, count(*) AS deal_count, {_sum('deal_value')} AS total_value "
+        f"FROM deals WHERE {_OPEN} GROUP BY deal_stage"
+    )
+    trend = (
+        "SELECT strftime(created_date, '%Y-%m') AS month, count(*) AS deal_count FROM deals "
+        "WHERE created_date IS NOT NULL GROUP BY 1"
+    )
+    value = ["sector", "deal_count", "total_value", "avg_value"]
+    largest = "total_value DESC, sector"
+    billing = (
+        f"SELECT sector, {_sum('billed_value')} AS billed, {_sum('collected_amount')} AS collected, "
+        f"{_sum('amount_receivable')} AS receivable, {_sum('amount_to_be_billed')} AS to_be_billed "
+        "FROM work_orders WHERE sector <> 'unknown' GROUP BY sector"
+    )
+    receivable = (
+        f"SELECT sector, {_sum('amount_receivable')} AS receivable_amount, count(*) AS wo_count "
+        "FROM work_orders WHERE amount_receivable > 0 GROUP BY sector"
+    )
+    kinds = (
+        f"SELECT nature_of_work, count(*) AS count, {_sum('amount_total')} AS total_value "
+        "FROM work_orders WHERE nature_of_work <> 'unknown' GROUP BY nature_of_work"
+    )
+    statuses = (
+        "SELECT billing_status, count(*) AS count FROM work_orders "
+        "WHERE billing_status NOT IN ('unknown', '') GROUP BY billing_status"
+    )
+    orders = f"SELECT sector, count(*) AS order_count, {_sum('amount_total')} AS total_value FROM work_orders GROUP BY sector"
+    return " UNION ALL ".join([
+        _frame("pipeline_value", _BY_SECTOR, largest, value),
+        _frame("pipeline_by_sector", _BY_SECTOR, largest, value),
+        _frame("pipeline_by_stage", by_stage, "total_value DESC, deal_stage", ["deal_stage", "deal_count", "total_value"]),
+        _frame("deal_trends", trend, "month", ["month", "deal_count"], 6),
+        _frame("work_orders_by_sector", orders, "order_count DESC, sector", ["sector", "order_count", "total_value"]),
+        _frame("execution_status", _EXECUTION, "count DESC, execution_status", ["execution_status", "count"]),
+        _frame("receivables", receivable, "receivable_amount DESC, sector", ["sector", "receivable_amount", "wo_count"]),
+        _frame("billing_vs_collection", billing, "billed DESC, sector", ["sector", "billed", "collected", "receivable", "to_be_billed"]),
+        _frame("work_orders_by_type", kinds, "count DESC, nature_of_work", ["nature_of_work", "count", "total_value"]),
+        _frame("work_orders_by_status", statuses, "count DESC, billing_status", ["billing_status", "count"]),
+    ])
+
+
+_SUMMARY = (
+    "SELECT 1 AS section, 'Deals dataset' AS item, CAST(NULL AS VARCHAR) AS value, "
+    "count(*) AS count FROM deals UNION ALL "
+    "(SELECT 2, 'Top sectors', sector, count(*) AS n FROM deals GROUP BY sector "
+    "ORDER BY n DESC, sector LIMIT 5) UNION ALL "
+    "SELECT 3, 'Status distribution', deal_status, count(*) FROM deals "
+    "GROUP BY deal_status UNION ALL "
+    "SELECT 4, 'Work orders dataset', NULL, count(*) FROM work_orders"
+)
+
+
+def _closing_soon() -> str:
+    cells = "deal_name, sector, deal_value, deal_stage, closure_probability, tentative_close_date"
+    quarter = "year(tentative_close_date) = 2001 AND quarter(tentative_close_date) = 2"
+    variants = {
+        "month": "year(tentative_close_date) = 2001 AND month(tentative_close_date) = 5",
+        "quarter": quarter,
+        "quarter, sector": f"{quarter} AND sector = 'renewables'",
+    }
+    return " UNION ALL ".join(
+        f"SELECT '{name}' AS variant, {cells} FROM deals WHERE deal_status = 'Open' AND {where}"
+        for name, where in variants.items()
+    )
+
+
 # --- questions ----------------------------------------------------------------------
 
 _SUGGESTIONS = "|".join(
@@ -711,15 +791,10 @@ def oracle_sql() -> dict[str, str]:
             "('avg_deal_size', 'Avg Deal Size', 'All open deals')) c(metric, label, caption) "
             "ON k.metric = c.metric"
         ),
-        "context_summary": _on_both(
-            "SELECT 1 AS section, 'Deals dataset' AS item, CAST(NULL AS VARCHAR) AS value, "
-            "count(*) AS count FROM deals UNION ALL "
-            "(SELECT 2, 'Top sectors', sector, count(*) AS n FROM deals GROUP BY sector "
-            "ORDER BY n DESC, sector LIMIT 5) UNION ALL "
-            "SELECT 3, 'Status distribution', deal_status, count(*) FROM deals "
-            "GROUP BY deal_status UNION ALL "
-            "SELECT 4, 'Work orders dataset', NULL, count(*) FROM work_orders"
-        ),
+        "metric_data": _on_both(_metric_data()),
+        "closing_soon": _on_deals(_closing_soon()),
+        "context_summary": _on_both(_SUMMARY),
+        "unknown_metric": _on_both(_SUMMARY),
         "report_lines": _on_both(_REPORT),
         "run_metric": _on_both(_run_metric()),
     }
