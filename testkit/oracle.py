@@ -95,7 +95,9 @@ def _clamped(x: str) -> str:
 _DATE_FORMATS = [
     "%Y-%m-%d", "%d-%m-%Y", "%m/%d/%Y", "%d/%m/%Y", "%Y/%m/%d", "%B %d, %Y", "%b %d, %Y",
     "%Y-%m-%dT%H:%M:%S", "%Y-%m-%d %H:%M:%S", "%Y%m%d", "%d %b %Y", "%d-%b-%y",
-    "%m.%d.%Y", "%B %d %Y", "%d %B, %Y", "%b %Y", "%Y%m%dT%H%M%S",
+    "%m.%d.%Y", "%B %d %Y", "%d %B, %Y", "%b %Y", "%Y%m%dT%H%M%S", "%m/%d/%Y %H:%M",
+    "%d-%b-%Y %H:%M:%S", "%A, %B %d, %Y", "%b. %d, %Y", "%Y%m%d %H%M", "%m/%d/%Y %I:%M %p",
+    "%d %B %Y %I:%M %p",
 ]
 
 

@@ -230,7 +230,7 @@ SELECT k AS id,
     WHEN 10 THEN concat(' ', price, ' ') WHEN 11 THEN concat(CAST(k AS STRING), '.')
     WHEN 12 THEN NULL WHEN 13 THEN '1000000000000000' WHEN 14 THEN '2e15'
     ELSE price END AS amount_cell,
-  CASE k % 22 WHEN 0 THEN made WHEN 1 THEN {_dmy('made', '-')} WHEN 2 THEN {_mdy('made')}
+  CASE k % 29 WHEN 0 THEN made WHEN 1 THEN {_dmy('made', '-')} WHEN 2 THEN {_mdy('made')}
     WHEN 3 THEN {_dmy('made', '/')}
     WHEN 4 THEN concat(substr(made,1,4),'/',substr(made,6,2),'/',substr(made,9,2))
     WHEN 5 THEN concat(mon, ' ', CAST(d AS STRING), ', ', substr(made,1,4))
@@ -247,6 +247,13 @@ SELECT k AS id,
     WHEN 18 THEN concat(substr(mon,1,3), ' ', substr(made,1,4))
     WHEN 19 THEN concat(CAST(m AS STRING), '-', CAST(d AS STRING), '-', substr(made,3,2))
     WHEN 20 THEN concat(substr(made,1,4), substr(made,6,2), substr(made,9,2), 'T101112')
+    WHEN 21 THEN concat({_mdy('made')}, ' 10:11')
+    WHEN 22 THEN concat(substr(made,9,2), '-', substr(mon,1,3), '-', substr(made,1,4), ' 10:11:12')
+    WHEN 23 THEN concat('Monday, ', mon, ' ', CAST(d AS STRING), ', ', substr(made,1,4))
+    WHEN 24 THEN concat(substr(mon,1,3), '. ', CAST(d AS STRING), ', ', substr(made,1,4))
+    WHEN 25 THEN concat(substr(made,1,4), substr(made,6,2), substr(made,9,2), ' 1011')
+    WHEN 26 THEN concat({_mdy('made')}, ' 10:11 PM')
+    WHEN 27 THEN concat(CAST(d AS STRING), ' ', lower(mon), ' ', substr(made,1,4), ' 12:05 am')
     ELSE NULL END AS date_cell,
   CASE k % 11 WHEN 0 THEN 'Mining Sector' WHEN 1 THEN 'power-line' WHEN 2 THEN '---'
     WHEN 3 THEN 'Security & Surveillance' WHEN 4 THEN 'Énergie!' WHEN 5 THEN ' RAIL.'

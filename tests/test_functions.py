@@ -94,6 +94,27 @@ def test_exact_sum_is_exact_and_order_free(spark):
         ("2024-03-04T10:11:12", (2024, 3, 4, 10, 11, 12)),
         ("2024-03-04 10:11", (2024, 3, 4, 10, 11)),
         ("2024-03-04T10:11:12Z", (2024, 3, 4, 10, 11, 12)),
+        ("3/4/2024 10:11", (2024, 3, 4, 10, 11)),
+        ("25/3/2024 10:11:12", (2024, 3, 25, 10, 11, 12)),
+        ("4-3-2024 7:05", (2024, 3, 4, 7, 5)),
+        ("3/4/24 10:11", (2024, 3, 4, 10, 11)),
+        ("3/4/2024 10:11 PM", (2024, 3, 4, 22, 11)),
+        ("3/4/2024, 12:11 am", (2024, 3, 4, 0, 11)),
+        ("3/4/2024 12:11pm", (2024, 3, 4, 12, 11)),
+        ("2024-03-04 10:11 PM", (2024, 3, 4, 22, 11)),
+        ("2024/03/04 10:11:12", (2024, 3, 4, 10, 11, 12)),
+        ("04-Mar-2024 10:11", (2024, 3, 4, 10, 11)),
+        ("4 March 2024 10:11:12", (2024, 3, 4, 10, 11, 12)),
+        ("Monday, March 4, 2024", (2024, 3, 4)),
+        ("Mon, 04 Mar 2024 10:11:12", (2024, 3, 4, 10, 11, 12)),
+        ("Mar. 4, 2024", (2024, 3, 4)),
+        ("Sept. 4, 2024", (2024, 9, 4)),
+        ("March 4th, 2024 10:11", (2024, 3, 4, 10, 11)),
+        ("1st of May", None),
+        ("20240304 1011", (2024, 3, 4, 10, 11)),
+        ("20240304T101112", (2024, 3, 4, 10, 11, 12)),
+        ("3/4/2024 25:11", None),
+        ("Mar-2024", (2024, 3, 1)),
         ("2024-02-30", None),
         ("31-02-2024", None),
         ("Q1 2024", None),
