@@ -161,8 +161,8 @@ def token_pieces(
         seen: Counter[int] = Counter()
         for batch in batches:
             which, out = [], []
-            for i, text in enumerate(batch.column(0)):
-                ids = encoder.encode(text.as_py() or "") + tail
+            for i, ids in enumerate(encoder.encode_column(batch.column(0))):
+                ids = ids.tobytes() + tail
                 n = len(ids) // 4
                 start, piece = 0, 0
                 while start < n:

@@ -126,8 +126,8 @@ def write(
         size, id_type = 0, None
         for batch in batches:
             id_type = batch.column(1).type
-            for text, doc_id in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                ids = encoder.encode(text.as_py() or "") + tail
+            for ids, doc_id in zip(encoder.encode_column(batch.column(0)), batch.column(1).to_pylist(), strict=True):
+                ids = ids.tobytes() + tail
                 if held and size + len(ids) > 4 * PAGE:
                     yield flush(id_type)
                     size = 0

@@ -43,9 +43,30 @@ def test_encoder_is_the_library():
     path = public_tokenizers.path("byte_bpe_50k.json")
     library, own = Tokenizer.from_file(path), tokens.Encoder(path)
     library.encode_special_tokens = True
-    own.known = tokens.Memory(50)  # forgets all the time
-    for t in random_texts(3000, 14):
-        assert own.encode(t) == np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+    own.known = tokens.Known(6, 300)  # forgets all the time
+    texts = random_texts(3000, 14)
+    odd = ["", " ", "  a", "a ", " a b", "a  b c", "a\u3000b c", "é\x85 x y", "don't stop\n\nnow . ..", "\x1c a"]
+    texts += odd + [" ".join(odd), None, "x" * 5000 + " y", "<|endoftext|> z"]
+    for size in (1, 7, len(texts)):
+        for i in range(0, len(texts), size):
+            part = texts[i : i + size]
+            want = [library.encode(t or "", add_special_tokens=False).ids for t in part]
+            assert [ids.tolist() for ids in own.encode_column(pa.array(part, pa.string()))] == want
+
+
+def test_known_units():
+    """Every key is found with what it was added with, as long as there is room."""
+    rng = np.random.default_rng(5)
+    first = rng.integers(1, 40, 3000, dtype=np.uint64) << np.uint64(20)  # all want few slots
+    first |= rng.integers(0, 1 << 12, 3000, dtype=np.uint64)
+    first = np.unique(first)
+    second = rng.integers(0, 1 << 63, len(first), dtype=np.uint64)
+    table = tokens.Known(13, 100)
+    table.add(first, second, np.arange(len(first)), np.ones(len(first), np.int32))
+    slot = table.find(first, second)
+    assert (slot >= 0).mean() > 0.9
+    assert (table.start[slot[slot >= 0]] == np.flatnonzero(slot >= 0)).all()
+    assert (table.find(first, second + np.uint64(1)) == -1).all()
 
 
 def test_bpe_tree_is_the_library():
