@@ -115,6 +115,37 @@ def exact_average(c: str) -> str:
     return f"{exact_total(c)} / count({c})"
 
 
+# Digits of base 2**20, from 2**-20 on: so many hold amounts up to 2**80, and squares of them.
+_DIGIT = 20
+_VALUE_DIGITS = range(-1, 4)
+_SQUARE_DIGITS = range(-1, 8)
+_LARGEST = float(2**80 - 2**28)  # the double before 2**80
+
+
+def _digit_total(value: str, digits: range, where: str | None) -> str:
+    """Total of whole digits, each summed as longs and put together from the highest on."""
+    parts = []
+    for k in reversed(digits):
+        unit = f"{float(2.0 ** (_DIGIT * k))!r}D"
+        # remainders of doubles are exact, and floor would leave the range of longs
+        digit = f"CAST(({value} / {unit}) % {2 ** _DIGIT}D - ({value} / {unit}) % 1D AS BIGINT)"
+        parts.append(f"coalesce(sum({digit}){_where(where)}, 0) * {unit}")
+    return "(" + " + ".join(parts) + ")"
+
+
+def exact_moments(c: str, where: str) -> dict[str, str]:
+    """``n``, ``total`` and ``squares`` of the non-negative values of a column, the same to the
+    last bit whatever the order of the rows: every value, and its square as a double, is
+    split into digits at fixed places, which are summed as whole numbers. What is beyond
+    2**80 counts as that, what is below 2**-20 is cut."""
+    value = f"least({c}, {_LARGEST!r}D)"
+    return {
+        "n": f"count({c}){_where(where)}",
+        "total": _digit_total(value, _VALUE_DIGITS, where),
+        "squares": _digit_total(f"({value} * {value})", _SQUARE_DIGITS, where),
+    }
+
+
 def round_half_even(c: str, digits: int) -> str:
     """Round the binary value itself, ties to even, as ``%.nf`` formatting does.
 

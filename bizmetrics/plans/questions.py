@@ -79,3 +79,38 @@ def extract_intent(replies: DataFrame, column: str = "text") -> DataFrame:
         "CASE WHEN __intent IS NULL THEN 'default' ELSE __found.source END"
     )
     return parsed.withColumns(fields).drop("__text", "__block", "__found", "__intent")
+
+
+def interpret(
+    exchanges: DataFrame, question: str = "question", reply: str = "reply"
+) -> DataFrame:
+    """The intent of each question, from the model's reply to it: ``nonsensical``, the intent
+    fields, ``suggestions`` and ``source`` beside the columns of ``exchanges``.
+
+    A question that is junk, or whose reply says so, gets the full nonsensical result: that
+    metric, no sector, period or status, the stripped question as its description, and the
+    questions to offer instead. Without a reply a question is a general query, described by
+    itself.
+    """
+    asked = exchanges.withColumn("__question", F.expr(strip(quoted(question))))
+    asked = asked.withColumn("__junk", F.expr(f"coalesce({is_gibberish('__question')}, true)"))
+    # Reading a reply takes long expressions: the text is replaced where it plays no part.
+    asked = asked.withColumn("__reply", F.expr(f"CASE WHEN NOT __junk THEN {quoted(reply)} END"))
+    found = extract_intent(asked, "__reply").withColumn(
+        "nonsensical", F.expr(f"__junk OR metric = {literal(config.NONSENSICAL_METRIC)}")
+    )
+    offer = ", ".join(literal(s) for s in config.SUGGESTED_QUESTIONS)
+    fields = {
+        "metric": f"CASE WHEN nonsensical THEN {literal(config.NONSENSICAL_METRIC)} ELSE metric END",
+        "description": "CASE WHEN nonsensical OR __reply IS NULL THEN __question ELSE description END",
+        "source": "CASE WHEN __junk THEN 'question' ELSE source END",
+        "suggestions": f"CASE WHEN nonsensical THEN array({offer}) END",
+        **{
+            f: f"CASE WHEN NOT nonsensical THEN {f} END"
+            for f in config.INTENT_FIELDS
+            if f not in ("metric", "description")
+        },
+    }
+    return found.withColumns({n: F.expr(e) for n, e in fields.items()}).drop(
+        "__question", "__junk", "__reply"
+    )

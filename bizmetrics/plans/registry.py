@@ -19,13 +19,15 @@ from bizmetrics.plans.leadership import leadership_kpis, to_long
 
 @dataclass
 class MetricResult:
-    """``data`` and ``chart_data`` are frames, ``kpis`` a long KPI table."""
+    """``data`` and ``chart_data`` are frames, ``kpis`` a long KPI table. ``order`` names the
+    columns the data is ordered by, and whether they descend."""
 
     data: DataFrame | None = None
     chart_data: DataFrame | None = None
     chart_type: str | None = None
     kpis: DataFrame | None = None
     warnings: list[str] = field(default_factory=list)
+    order: list[tuple[str, bool]] | None = None
 
 
 @dataclass
@@ -38,8 +40,10 @@ class Request:
     status: str | None = None
 
 
-def _chart(data: DataFrame, chart_type: str, kpis: DataFrame | None = None):
-    return MetricResult(data=data, chart_data=data, chart_type=chart_type, kpis=kpis)
+def _chart(data: DataFrame, chart_type: str, first: str | None, kpis: DataFrame | None = None):
+    """``first`` is the column whose largest values come first; the key breaks ties."""
+    order = ([(first, True)] if first else []) + [(data.columns[0], False)]
+    return MetricResult(data=data, chart_data=data, chart_type=chart_type, kpis=kpis, order=order)
 
 
 def _status(r: Request) -> str:
@@ -52,12 +56,13 @@ def _pipeline_by_sector(r: Request) -> MetricResult:
     return _chart(
         pipeline.pipeline_by_sector(r.deals, _status(r)),
         "bar_sector",
+        "total_value",
         to_long(total, {"total_pipeline": "money"}),
     )
 
 
 def _pipeline_by_stage(r: Request) -> MetricResult:
-    return _chart(pipeline.pipeline_by_stage(r.deals, _status(r)), "bar_stage")
+    return _chart(pipeline.pipeline_by_stage(r.deals, _status(r)), "bar_stage", "total_value")
 
 
 def _closing_soon(r: Request) -> MetricResult:
@@ -81,15 +86,15 @@ def _active_deals(r: Request) -> MetricResult:
 
 
 def _deal_trends(r: Request) -> MetricResult:
-    return _chart(pipeline.deal_creation_trend(r.deals), "line_trend")
+    return _chart(pipeline.deal_creation_trend(r.deals), "line_trend", None)
 
 
 def _work_orders_by_sector(r: Request) -> MetricResult:
-    return _chart(operational.work_orders_by_sector(r.work_orders), "bar_sector")
+    return _chart(operational.work_orders_by_sector(r.work_orders), "bar_sector", "order_count")
 
 
 def _execution_status(r: Request) -> MetricResult:
-    return _chart(operational.execution_status(r.work_orders), "pie")
+    return _chart(operational.execution_status(r.work_orders), "pie", "count")
 
 
 def _billing_completion(r: Request) -> MetricResult:
@@ -118,12 +123,13 @@ def _receivables(r: Request) -> MetricResult:
     return _chart(
         financial.receivables_by_sector(r.work_orders),
         "bar_sector",
+        "receivable_amount",
         to_long(total, {"total_receivable": "money"}),
     )
 
 
 def _billing_vs_collection(r: Request) -> MetricResult:
-    return _chart(financial.billing_vs_collection(r.work_orders), "grouped_bar")
+    return _chart(financial.billing_vs_collection(r.work_orders), "grouped_bar", "billed")
 
 
 def _financial_summary(r: Request) -> MetricResult:
@@ -143,7 +149,8 @@ def _leadership(r: Request) -> MetricResult:
 
 def _general(r: Request) -> MetricResult:
     return MetricResult(
-        data=report.context_summary(r.deals, r.work_orders), chart_type="none"
+        data=report.context_summary(r.deals, r.work_orders), chart_type="none",
+        order=[("section", False), ("count", True), ("value", False)],
     )
 
 

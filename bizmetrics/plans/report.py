@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from bizmetrics import config
 from bizmetrics.functions.display import format_currency, kpi_display
 from bizmetrics.functions.text import literal
+from bizmetrics.operators.filters import quoted
 from bizmetrics.plans import catalogue
 
 EDGE_ROWS = 10
@@ -115,27 +116,97 @@ def context_summary(deals: DataFrame | None, work_orders: DataFrame | None) -> D
     return catalogue.summary_rows(deals, work_orders)
 
 
-def edge_rows(df: DataFrame) -> tuple[list, bool]:
-    """All rows of a small result, else its first and last ten. Never more than 21 rows
-    reach the driver at a time."""
-    rows = df.limit(MAX_ROWS + 1).collect()
-    if len(rows) <= MAX_ROWS:
-        return rows, False
-    return rows[:EDGE_ROWS] + df.tail(EDGE_ROWS), True
+def data_lines(
+    data: DataFrame, order_by: list[tuple[str, bool]] | None = None, section: int = 2
+) -> DataFrame:
+    """A frame as lines ``(section, pos, line)``: a heading, the column names, then all rows
+    of up to ``MAX_ROWS``, else the first and the last ``EDGE_ROWS`` around a line of dots.
+    A frame without rows has no lines.
+
+    Both ends are bounded top-k's: every task keeps its best rows of each, and only these
+    are merged, so a frame of any size gives its lines without being sorted or collected.
+    ``order_by`` names columns and whether they descend (default: all, ascending).
+    """
+    names = data.columns
+    order = order_by or [(c, False) for c in names]
+    text = F.concat_ws(" | ", *[F.coalesce(F.col(quoted(c)).cast("string"), F.lit("")) for c in names])
+
+    def end(name: str, rows: int) -> DataFrame:
+        by = [
+            F.col(quoted(c)).desc_nulls_last() if down == (name == "first") else F.col(quoted(c)).asc_nulls_first()
+            for c, down in order
+        ]
+        # numbered among its own few rows
+        return data.orderBy(*by).limit(rows).select(
+            text.alias("line"), F.row_number().over(Window.orderBy(*by)).alias("at"), F.lit(name).alias("side")
+        )
 
+    # One row more than fits tells whether anything is left out.
+    both = end("first", MAX_ROWS + 1).unionByName(end("last", EDGE_ROWS))
+    shown = both.withColumn("all", F.count_if(F.col("side") == "first").over(Window.partitionBy())).filter(
+        f"CASE side WHEN 'first' THEN all <= {MAX_ROWS} OR at <= {EDGE_ROWS} ELSE all > {MAX_ROWS} END"
+    )
+    # Lines of a row: what stands before the first one, the row, the dots behind the tenth.
+    columns = literal(" | ".join(names))
+    return shown.selectExpr(
+        f"{section} AS section",
+        "inline(concat("
+        "CASE WHEN side = 'first' AND at = 1 THEN array(named_struct('pos', 0, 'line', 'Data Breakdown:'), "
+        f"named_struct('pos', 1, 'line', {columns})) ELSE array() END, "
+        f"array(named_struct('pos', CASE side WHEN 'first' THEN at + 1 ELSE {MAX_ROWS + 3} - at END, 'line', line)), "
+        f"CASE WHEN side = 'first' AND at = {EDGE_ROWS} AND all > {MAX_ROWS} "
+        f"THEN array(named_struct('pos', {EDGE_ROWS + 2}, 'line', '...')) ELSE array() END))",
+    )
 
-def summary_lines(result) -> list[str]:
-    """A metric result as text: KPI lines, the data's first and last rows, notes."""
-    lines = []
+
+def data_summary(result, order_by: list[tuple[str, bool]] | None = None) -> DataFrame | None:
+    """A metric result as lines ``(section, pos, line)``: KPIs in their order, the data's
+    first and last rows, notes. A result with nothing in it has one line; without frames
+    it is None."""
+    frames = [f for f in (result.kpis, result.data) if f is not None]
+    if not frames:
+        return None
+    parts = []
     if result.kpis is not None:
-        lines.append("Key Metrics:")
-        lines += [f"  - {r['metric']}: {r['display']}" for r in result.kpis.collect()]
+        # a result has a handful of KPIs
+        at = F.row_number().over(Window.orderBy("__at"))
+        kpis = result.kpis.withColumn("__at", F.monotonically_increasing_id()).withColumn("pos", at)
+        parts.append(
+            kpis.selectExpr(
+                "1 AS section",
+                "inline(concat(CASE WHEN pos = 1 THEN array(named_struct('pos', 0, 'line', 'Key Metrics:')) "
+                "ELSE array() END, array(named_struct('pos', pos, 'line', concat('  - ', metric, ': ', display)))))",
+            )
+        )
     if result.data is not None:
-        rows, cut = edge_rows(result.data)
-        if rows:
-            lines += ["", "Data Breakdown:", " | ".join(result.data.columns)]
-            body = [" | ".join("" if v is None else str(v) for v in r) for r in rows]
-            lines += body[:EDGE_ROWS] + ["..."] + body[EDGE_ROWS:] if cut else body
+        parts.append(data_lines(result.data, order_by or result.order))
     if result.warnings:
-        lines += ["", "Data Quality Notes:"] + [f"  ! {w}" for w in result.warnings]
-    return lines or ["No data available."]
+        notes = ["Data Quality Notes:", *[f"  ! {w}" for w in result.warnings]]
+        rows = ", ".join(f"named_struct('pos', {i}, 'line', {literal(n)})" for i, n in enumerate(notes))
+        parts.append(frames[0].sparkSession.range(1).selectExpr("3 AS section", f"inline(array({rows}))"))
+    lines = reduce(DataFrame.unionByName, parts)
+    if result.kpis is not None or result.warnings:
+        return lines
+    # The line that says so stands first and alone.
+    nothing = frames[0].sparkSession.range(1).selectExpr(
+        "0 AS section", "0 AS pos", "'No data available.' AS line"
+    )
+    only = Window.partitionBy()
+    return (
+        lines.unionByName(nothing).withColumn("__last", F.max("section").over(only))
+        .filter("section > 0 OR __last = 0").drop("__last")
+    )
+
+
+def summary_lines(result) -> list[str]:
+    """The lines of `data_summary`, for a terminal: at most some dozens reach the driver."""
+    frame = data_summary(result)
+    if frame is None:
+        notes = [f"  ! {w}" for w in result.warnings]
+        return ["", "Data Quality Notes:", *notes] if notes else ["No data available."]
+    out: list[str] = []
+    for row in frame.orderBy("section", "pos").collect():
+        if row["pos"] == 0 and row["section"] > 1:
+            out.append("")
+        out.append(row["line"])
+    return out

@@ -283,6 +283,44 @@ def _closing_soon(spark, sf_dir):
     return reduce(DataFrame.unionByName, parts)
 
 
+def _data_summary(spark, sf_dir):
+    """Orders counted by remainder: frames of 19, 20, 21 and some hundred rows, the largest
+    counts first, beside KPIs and a note."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    parts = []
+    for rows in (19, 20, 21, 977):
+        counts = orders.groupBy((F.col("o_orderkey") % rows).alias("rest")).agg(F.count(F.lit(1)).alias("orders"))
+        kpis = leadership.to_long(
+            orders.selectExpr("count(*) AS orders", f"{rows}.5D AS share"), {"orders": "count", "share": "percent"}
+        )
+        result = registry.MetricResult(
+            data=counts, kpis=kpis, warnings=["Made of remainders."] if rows == 20 else [],
+            order=[("orders", True), ("rest", False)],
+        )
+        parts.append(report.data_summary(result).select(F.lit(f"by {rows}").alias("request"), "*"))
+    nothing = registry.MetricResult(data=orders.filter("o_orderkey < 0").select("o_orderkey"))
+    parts.append(report.data_summary(nothing).select(F.lit("none").alias("request"), "*"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _typed_dates(spark, sf_dir):
+    """Typed columns lose their time of day."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    cells = events.select("event_id", F.col("ts").cast("timestamp_ntz").alias("stamp"), F.to_date("ts").alias("day"))
+    kinds = {f.name: f.dataType for f in cells.schema}
+    return cells.selectExpr(
+        "event_id", *[f"{dates.parse_date(c, kinds[c])} AS {c}" for c in ("stamp", "day")]
+    )
+
+
+def _interpret(spark, sf_dir):
+    """Users' turns as questions with what a model replied to them."""
+    asked = raw.for_spark(spark, sf_dir, "questions").withColumnRenamed("text", "question")
+    replies = raw.for_spark(spark, sf_dir, "replies").withColumnRenamed("text", "reply")
+    found = questions.interpret(asked.join(replies, ["conv_id", "turn"]))
+    return found.withColumn("suggestions", F.array_join("suggestions", "|"))
+
+
 def _unknown_metric(deals: DataFrame, orders: DataFrame) -> DataFrame:
     return registry.run_metric("no such metric", deals, orders, AS_OF).data
 
@@ -326,6 +364,8 @@ def _plans() -> dict[str, Query]:
         "strip_strings": _cells("text_cell", text.strip),
         "safe_float": _cells("amount_cell", numbers.money),
         "parse_dates": _cells("date_cell", dates.parse_date, stripped=True),
+        "typed_dates": _typed_dates,
+        "interpret_questions": _interpret,
         "normalize_sector": _cells("sector_cell", normalize.sector, stripped=True),
         "normalize_status": _cells("status_cell", normalize.deal_status, stripped=True),
         "normalize_probability": _cells("probability_cell", normalize.probability, stripped=True),
@@ -395,5 +435,6 @@ def _plans() -> dict[str, Query]:
         "run_metric": _both(catalogue.kpi_frames),
         "metric_data": _both(catalogue.data_frames),
         "closing_soon": _closing_soon,
+        "data_summary": _data_summary,
         "unknown_metric": _both(_unknown_metric),
     }

@@ -516,6 +516,28 @@ _SUMMARY = (
 )
 
 
+def _summary_lines() -> str:
+    """(request, section, pos, line) of frames counted by remainder."""
+    parts = []
+    for rows in (19, 20, 21, 977):
+        parts.append(f"""
+SELECT 'by {rows}' AS request, 1 AS section, 0 AS pos, 'Key Metrics:' AS line
+UNION ALL SELECT 'by {rows}', 1, 1, concat('  - orders: ', count(*)) FROM orders
+UNION ALL SELECT 'by {rows}', 1, 2, '  - share: {rows}.5%'
+UNION ALL SELECT 'by {rows}', 2, 0, 'Data Breakdown:'
+UNION ALL SELECT 'by {rows}', 2, 1, 'rest | orders'
+UNION ALL SELECT 'by {rows}', 2, CAST(CASE WHEN n <= 20 OR place <= 10 THEN place + 1 ELSE place - n + 22 END AS INT),
+  concat(rest, ' | ', orders)
+  FROM (SELECT *, row_number() OVER (ORDER BY orders DESC, rest) AS place, count(*) OVER () AS n
+    FROM (SELECT o_orderkey % {rows} AS rest, count(*) AS orders FROM orders GROUP BY 1) c) r
+  WHERE n <= 20 OR place <= 10 OR place > n - 10
+UNION ALL SELECT 'by {rows}', 2, 12, '...' FROM (SELECT count(DISTINCT o_orderkey % {rows}) AS n FROM orders) d
+  WHERE n > 20""")
+    parts.append("SELECT 'by 20', 3, 0, 'Data Quality Notes:' UNION ALL SELECT 'by 20', 3, 1, '  ! Made of remainders.'")
+    parts.append("SELECT 'none', 0, 0, 'No data available.'")
+    return " UNION ALL ".join(parts)
+
+
 def _closing_soon() -> str:
     cells = "deal_name, sector, deal_value, deal_stage, closure_probability, tentative_close_date"
     quarter = "year(tentative_close_date) = 2001 AND quarter(tentative_close_date) = 2"
@@ -574,6 +596,23 @@ SELECT conv_id, turn, text,
   CASE WHEN ok THEN s ELSE 'default' END AS source
 FROM typed"""
 
+_NONSENSE = "(f.nonsensical OR i.metric = 'nonsensical')"
+_INTERPRET = f"""
+WITH asked AS (SELECT conv_id, turn, text AS question, {_trim('text')} AS q FROM ({raw.for_duckdb('questions')}) a),
+replied AS (SELECT conv_id, turn, text AS reply FROM ({raw.for_duckdb('replies')}) b),
+intents AS ({_INTENT}),
+flags AS ({_GIBBERISH})
+SELECT a.conv_id, a.turn, a.question, r.reply, {_NONSENSE} AS nonsensical,
+  CASE WHEN {_NONSENSE} THEN 'nonsensical' ELSE i.metric END AS metric,
+  CASE WHEN NOT {_NONSENSE} THEN i.sector END AS sector,
+  CASE WHEN NOT {_NONSENSE} THEN i.period END AS period,
+  CASE WHEN NOT {_NONSENSE} THEN i.status_filter END AS status_filter,
+  CASE WHEN {_NONSENSE} THEN a.q ELSE i.description END AS description,
+  CASE WHEN f.nonsensical THEN 'question' ELSE i.source END AS source,
+  CASE WHEN {_NONSENSE} THEN {_quote(_SUGGESTIONS)} END AS suggestions
+FROM asked a JOIN replied r USING (conv_id, turn) JOIN intents i USING (conv_id, turn)
+  JOIN flags f USING (conv_id, turn)"""
+
 _VALUE_SCALE = "list_value(1.0::DOUBLE, -1.0, 100.0, 0.001, -0.01)[o_orderkey % 5 + 1]"
 
 
@@ -795,6 +834,10 @@ def oracle_sql() -> dict[str, str]:
         ),
         "metric_data": _on_both(_metric_data()),
         "closing_soon": _on_deals(_closing_soon()),
+        "data_summary": _summary_lines(),
+        "interpret_questions": _INTERPRET,
+        "typed_dates": "SELECT event_id, CAST(date_trunc('day', ts) AS TIMESTAMP) AS stamp, "
+        "CAST(date_trunc('day', ts) AS TIMESTAMP) AS day FROM events",
         "context_summary": _on_both(_SUMMARY),
         "unknown_metric": _on_both(_SUMMARY),
         "report_lines": _on_both(_REPORT),

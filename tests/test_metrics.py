@@ -1,8 +1,11 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
+from bizmetrics.operators import quality
 from bizmetrics.plans import (
+    catalogue,
     financial,
     leadership,
     operational,
@@ -163,6 +166,116 @@ def test_summary_lines(spark, deals):
     assert report.summary_lines(registry.MetricResult()) == ["No data available."]
 
 
+@pytest.mark.parametrize("rows", [0, 1, 10, 19, 20, 21, 500])
+def test_both_ends_of_a_frame(spark, rows):
+    """All lines up to twenty, else ten from each end; the order has ties and nulls."""
+    cells = [(i // 3 if i % 7 else None, i) for i in range(rows)]
+    data = spark.createDataFrame(cells, "a int, b int").repartition(5)
+    got = [r["line"] for r in report.data_lines(data, [("a", True), ("b", False)]).orderBy("pos").collect()]
+    wanted = sorted(cells, key=lambda c: (c[0] is None, -(c[0] or 0), c[1]))
+    lines = [f"{'' if a is None else a} | {b}" for a, b in wanted]
+    if rows > 20:
+        lines = [*lines[:10], "...", *lines[-10:]]
+    assert got == (["Data Breakdown:", "a | b", *lines] if rows else [])
+
+
+def test_ends_are_bounded_per_task(spark):
+    plan = report.data_lines(spark.range(1000)).sort("pos")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("TakeOrderedAndProject") == 2
+
+
+def test_catalogue_equals_the_single_metrics(spark, deals, orders):
+    """Frames picked from the cubes are those of each metric's own plan."""
+    for make, frames in ((deals, catalogue.DEAL_FRAMES), (orders, catalogue.ORDER_FRAMES)):
+        is_deals = make is deals
+        long = catalogue.data_frames(*((deals, None) if is_deals else (None, orders)))
+        found = {}
+        for r in long.collect():
+            found.setdefault(r["request"], {}).setdefault(r["row"], {})[r["column"]] = r["value"] if r["text"] is None else r["text"]
+        for name in frames:
+            own = registry.run_metric(name, deals, orders, AS_OF).data
+            if name in ("work_orders_by_type", "work_orders_by_status"):
+                own = getattr(operational, name)(orders)
+            rows = [r.asDict() for r in own.collect()]
+            assert [found.get(name, {})[i] for i in sorted(found.get(name, {}))] == rows, name
+
+
+def test_catalogue_kpis(deals, orders):
+    kpis = {(r["request"], r["metric"]): r["display"] for r in catalogue.kpi_frames(deals, orders).collect()}
+    for name in ("pipeline_value", "average_deal_size", "active_deals", "receivables", "billing_completion_rate", "financial_summary", "leadership_update"):
+        own = registry.run_metric(name, deals, orders, AS_OF).kpis.collect()
+        assert {r["metric"]: r["display"] for r in own} == {m: d for (r, m), d in kpis.items() if r == name}, name
+
+
+def test_catalogue_of_empty_tables(deals, orders):
+    kpis = catalogue.kpi_frames(deals.limit(0), orders.limit(0)).collect()
+    by = {(r["request"], r["metric"]): r["value"] for r in kpis}
+    assert by["active_deals", "active_deals"] == 0 and by["total_billed", "total_billed"] == 0
+    assert ("leadership_update", "top_sector") not in by
+    assert catalogue.data_frames(deals.limit(0), orders.limit(0)).count() == 0
+    assert {r["count"] for r in catalogue.summary_rows(deals.limit(0), orders.limit(0)).collect()} == {0}
+
+
+def test_status_of_a_request(deals):
+    got = catalogue.kpi_frames(deals, None, "Won").filter("request = 'pipeline_value'").first()
+    assert got["value"] == 1000.0
+
+
+def test_moments_do_not_depend_on_the_order(spark):
+    """The same bound to the last bit, whatever the partitions; near the plain one."""
+    import random
+    import statistics
+
+    rng = random.Random(3)
+    values = [rng.lognormvariate(10, 3) for _ in range(3000)] + [0.1, 1e-5, 123456789012.345, 0.0]
+    bounds = set()
+    for parts in (1, 7, 64):
+        rng.shuffle(values)
+        df = spark.createDataFrame([(v,) for v in values], "deal_value double").repartition(parts)
+        bounds.add(df.select(quality.outlier_bound(df).alias("b")).first()["b"])
+    positive = [v for v in values if v > 0]
+    assert len(bounds) == 1
+    assert bounds.pop() == pytest.approx(statistics.mean(positive) + 3 * statistics.stdev(positive), rel=1e-9)
+
+
+def test_moments_of_extremes(spark):
+    equal = spark.createDataFrame([(0.1,)] * 20, "deal_value double")
+    assert equal.select(quality.outlier_bound(equal).alias("b")).first()["b"] == pytest.approx(0.1, rel=1e-5)
+    huge = spark.createDataFrame([(1e300,)] * 20 + [(-5.0,), (None,)], "deal_value double")
+    assert huge.select(quality.outlier_bound(huge).alias("b")).first()["b"] > 1e24
+    few = spark.createDataFrame([(5.0,)] * 10, "deal_value double")
+    assert few.select(quality.outlier_bound(few).alias("b")).first()["b"] is None
+
+
+def test_interpret(spark):
+    rows = [
+        ("ok", '{"metric": "receivables"}'), ("  How is it? ", '{"metric": "nonsensical", "sector": "dsp"}'),
+        ("What is due?", '{"metric": "receivables", "sector": "dsp", "period": "all_time"}'),
+        (" What now? ", None), (None, None), ("What is due?", "no idea"),
+    ]
+    df = spark.createDataFrame(rows, "question string, reply string").coalesce(1)
+    got = [
+        (r["nonsensical"], r["metric"], r["sector"], r["description"], r["source"], len(r["suggestions"] or []))
+        for r in questions.interpret(df).collect()
+    ]
+    assert got == [
+        (True, "nonsensical", None, "ok", "question", 7),
+        (True, "nonsensical", None, "How is it?", "whole", 7),
+        (False, "receivables", "dsp", None, "whole", 0),
+        (False, "general_query", None, "What now?", "default", 0),
+        (True, "nonsensical", None, None, "question", 7),
+        (False, "general_query", None, "no idea", "default", 0),
+    ]
+
+
+def test_closing_deals_keep_the_order_of_the_source(spark, deals):
+    ordered = deals.withColumn("at", -F.monotonically_increasing_id()).repartition(4)
+    got = pipeline.closing_this_quarter(ordered, AS_OF, order_by=["at"])
+    assert "at" not in got.columns
+    assert [r["deal_name"] for r in got.collect()] == [None, "b", "a"]
+    assert pipeline.closing_this_month(ordered, AS_OF, ["at"]).columns == pipeline.CLOSING_COLUMNS
+
+
 def test_gibberish(spark):
     cells = ["aaaaa", "bcdfgh", "12345", "ok", " no ", "xz", "How is mining?", ""]
     df = spark.createDataFrame([(c,) for c in cells], "text string")

@@ -39,6 +39,11 @@ def test_kpis_scan_each_table_once(spark):
     assert text.count("FileScan") == 2
 
 
+@pytest.mark.parametrize("name", ["run_metric", "metric_data", "report_lines", "context_summary", "unknown_metric"])
+def test_catalogues_scan_each_table_once(spark, name):
+    assert plan(catalog.queries()[name](spark, SF_DIR)).count("FileScan") == 2
+
+
 def test_share_reuses_the_grouped_counts(spark):
     df = operational.execution_status_share(catalog.clean_work_orders(spark, SF_DIR))
     df.collect()
