@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bizmetrics.llm.shared import store
+from bizmetrics.llm.shared import drop, store
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -41,6 +41,8 @@ def components(links: DataFrame) -> DataFrame:
             .select("o.id", F.least(F.col("o.root"), F.coalesce("beyond", "o.root")).alias("root"), "o.was"),
             "roots",
         )
+        drop(roots, offered)
         roots = after.select("id", "root")
         if after.filter("root <> was").isEmpty():
+            drop(both)
             return roots

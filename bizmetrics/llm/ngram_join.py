@@ -37,10 +37,10 @@ from pyspark.sql import functions as F
 
 from bizmetrics.llm import sketch
 from bizmetrics.llm.links import components
-from bizmetrics.llm.shared import prepare, store
+from bizmetrics.llm.shared import drop, prepare, store
 from bizmetrics.llm.text import chunks, mix, poly, window_hashes, word_bounds, word_hashes
 
-SKETCH = sketch.Shape(bits=20, rows=2)
+SKETCH = sketch.Shape(bits=24, rows=1, limit=(1 << 16) - 1)  # 32 MB
 WANTED = sketch.Shape(bits=22, rows=2, limit=255)
 SIGNATURE = 8  # long integers
 SIGNED = [f"s{i}" for i in range(SIGNATURE)]
@@ -264,7 +264,9 @@ def _sets(rows: DataFrame, of_set: DataFrame, ids: DataFrame, how: Similarity) -
     found = rows.select("text", F.xxhash64("doc_id").alias("k")).mapInArrow(
         full, "d1 long, d2 long, shingles array<long>"
     )
-    return store(found.join(wanted.select("id", "d1", "d2"), ["d1", "d2"]).select("id", "shingles"), "shingles")
+    out = store(found.join(wanted.select("id", "d1", "d2"), ["d1", "d2"]).select("id", "shingles"), "shingles")
+    drop(wanted)
+    return out
 
 
 def _more(sets: DataFrame, rows: DataFrame, of_set: DataFrame, pairs: DataFrame, how: Similarity) -> DataFrame:
@@ -343,6 +345,7 @@ def ngram_links(
         .select("a", F.col("s.b").alias("b"), F.col("s.far").alias("far")),
         "stars",
     )
+    drop(met)
     links = stars.select("a", "b")
     roots = components(links)
     lists = live.select("shingle", "id", "n", (F.col("n") - F.col("pos")).alias("rest"))
@@ -374,6 +377,7 @@ def ngram_links(
         sets = _more(sets, rows, of_set, met, how)
         new = store(_overlaps(met, sets).filter(f"common >= {enough}").select("a", "b"), "links-drawn")
         won, tried = new.count(), met.count()
+        drop(now, heads, met)
         if won:
             links = links.union(new)
             roots = components(links)
@@ -419,6 +423,7 @@ def ngram_links(
         .distinct(),
         "meeting",
     )
+    drop(placed, placed_open, summary)
     sets = _more(sets, rows, of_set, meeting, how)
     heads = (
         meeting.join(blocks.select(F.col("block").alias("a"), F.col("size").alias("n"), F.col("radius").alias("ra")), "a")

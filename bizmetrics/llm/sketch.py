@@ -39,7 +39,7 @@ class Shape:
 
     @property
     def dtype(self):
-        return np.uint8 if self.limit < 256 else np.uint32
+        return np.uint8 if self.limit < 1 << 8 else np.uint16 if self.limit < 1 << 16 else np.uint32
 
     @property
     def size(self) -> int:
