@@ -80,7 +80,7 @@ def parse_date(c: str, dtype: T.DataType | None = None) -> str:
     short = f"concat({_full_year(_group(c, _SHORT_YEAR, 4))}, '-', " + (
         f"{_group(c, _SHORT_YEAR, 1)}, '-', {_group(c, _SHORT_YEAR, 3)}, ' ', {_group(c, _SHORT_YEAR, 5)})"
     )
-    iso = f"translate(regexp_replace({c}, r'(?i)(?<=\d) ?[ap]\.?m\.?$', ''), '/', '-')"
+    iso = rf"translate(regexp_replace({c}, r'(?i)(?<=\d) ?[ap]\.?m\.?$', ''), '/', '-')"
     # Hours that am and pm move; few cells end in them.
     hours = (
         f"CASE WHEN {c} RLIKE r'{_HALF}' THEN CASE WHEN {c} RLIKE r'{_AFTERNOON}' THEN 12 ELSE 0 END "

@@ -90,18 +90,25 @@ def _ready(
     return filters.apply_rules(df, {c: r for c, r in rules(df).items() if c not in skip})
 
 
-def _raw_left(df: DataFrame, keys: list[str]) -> list[str]:
-    """What `_ready` has left raw: the keys, or everything if there are none."""
-    return [k for k in keys if k in df.columns] or df.columns
+def _raw_left(df: DataFrame, keys: list[str], later: list[str] = ()) -> list[str]:
+    """What `_ready` has left raw: the keys and what was put off, or everything if there are
+    no keys."""
+    if not any(k in df.columns for k in keys):
+        return df.columns
+    return [c for c in (*keys, *later) if c in df.columns]
 
 
-def _stripped(df: DataFrame, keys: list[str], order_by: list[str]) -> DataFrame:
-    left = [c for c in _raw_left(df, keys) if c not in order_by]
+def _stripped(
+    df: DataFrame, keys: list[str], order_by: list[str], later: list[str] = ()
+) -> DataFrame:
+    left = [c for c in _raw_left(df, keys, later) if c not in order_by]
     return filters.strip_strings(df, [c for c in filters.string_columns(df) if c in left])
 
 
-def _finished(df: DataFrame, rules: Callable, keys: list[str], order_by: list[str]) -> DataFrame:
-    left = [c for c in _raw_left(df, keys) if c not in order_by]
+def _finished(
+    df: DataFrame, rules: Callable, keys: list[str], order_by: list[str], later: list[str] = ()
+) -> DataFrame:
+    left = [c for c in _raw_left(df, keys, later) if c not in order_by]
     return filters.apply_rules(df, {c: r for c, r in rules(df).items() if c in left})
 
 
@@ -146,12 +153,14 @@ def clean_work_orders(
     raw: DataFrame, order_by: list[str], numeric_columns: list[str] = (), keep_order: bool = False
 ) -> DataFrame:
     """As `clean_deals`, but header-like and nameless rows are kept here and the billing
-    months stay text."""
+    months stay text. The four dates are read behind the exchange: with them, the generated
+    method before it would pass the size that the JVM accepts."""
+    later = config.WORK_ORDER_DATES
     df = _filled(canonical_work_orders(raw), order_by, numeric_columns)
-    df = _ready(df, work_order_rules, config.WORK_ORDER_KEYS, order_by)
+    df = _ready(df, work_order_rules, config.WORK_ORDER_KEYS, [*order_by, *later])
     df = keep_first(df, config.WORK_ORDER_KEYS, order_by, numeric_columns)
-    df = _stripped(df if keep_order else df.drop(*order_by), config.WORK_ORDER_KEYS, order_by)
-    return _finished(df, work_order_rules, config.WORK_ORDER_KEYS, order_by)
+    df = _stripped(df if keep_order else df.drop(*order_by), config.WORK_ORDER_KEYS, order_by, later)
+    return _finished(df, work_order_rules, config.WORK_ORDER_KEYS, order_by, later)
 
 
 def enforce_types(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -22,8 +22,9 @@ from bizmetrics.plans import (
     registry,
     report,
 )
-from bizmetrics.session import configure
+from bizmetrics.session import configure, shared_folder
 from bizmetrics.sources import board, csv, load, positions
+from bizmetrics.sources.cache import Cache
 from testkit import landing
 from testkit import raw_tables as raw
 
@@ -106,6 +107,31 @@ def _load_board(spark, sf_dir):
     )
 
 
+def _cached_metrics(spark, sf_dir):
+    """A table that is loaded twice through the cache, and metrics of what the pointer names:
+    the second load finds the version of the first and reads no source."""
+    folder = f"{shared_folder(spark)}/bizmetrics-cache"
+    sources = {
+        "deals_csv": landing.deals_csv(spark, sf_dir),
+        "work_orders_csv": landing.work_orders_csv(spark, sf_dir),
+    }
+    load.load(spark, **sources, cache=folder)
+    second = load.load(spark, **sources, cache=folder)
+    cache = Cache(spark, folder)
+    kpis = catalogue.kpi_frames(second.deals.clean, second.work_orders.clean)
+    found = second.findings().select(
+        F.lit("findings").alias("request"), F.concat_ws(".", "table", "rule").alias("metric"),
+        F.col("affected").cast("double").alias("value"), F.lit("count").alias("unit"), F.col("message").alias("display"),
+    ).filter("metric not like 'load.%'")
+    reread = F.lit(float(sum(t.raw is not None for t in (second.deals, second.work_orders))))
+    rows = cache.current("deals").agg(F.count(F.lit(1)).cast("double").alias("value"))
+    notes = rows.select(
+        F.lit("cache").alias("request"), F.lit("deals").alias("metric"), "value", F.lit("rows").alias("unit"),
+        F.concat(reread.cast("int"), F.lit(" sources read again")).alias("display"),
+    )
+    return kpis.unionByName(found).unionByName(notes)
+
+
 def _clean_deals_csv(spark, sf_dir):
     """Twelve unpadded folders of CSV files, cleaned by the reader's own positions."""
     table = csv.read_deals_csv(spark, landing.deals_export(spark, sf_dir))
@@ -347,6 +373,7 @@ def _plans() -> dict[str, Query]:
         "find_board": _find_board,
         "load_status": _load_status,
         "load_board": _load_board,
+        "cached_metrics": _cached_metrics,
         "clean_deals_csv": _clean_deals_csv,
         "clean_deals_board": _clean_deals_board,
         # schema

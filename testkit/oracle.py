@@ -656,6 +656,11 @@ def oracle_sql() -> dict[str, str]:
         "load_board": f"WITH {_BOARD_DEALS}, {_CLEAN_ORDERS} "
         "SELECT 'deals' AS \"table\", 'loaded_from_api' AS status, count(*) AS rows FROM deals "
         "UNION ALL SELECT 'work_orders', 'loaded_from_csv', count(*) FROM work_orders",
+        "cached_metrics": f"WITH {_CLEAN_DEALS}, {_CLEAN_ORDERS}, {_DQ_DEALS}, {_DQ_ORDERS}, {_DQ_OUTLIERS}, "
+        "findings AS (SELECT * FROM dq_deals UNION SELECT * FROM dq_orders UNION SELECT * FROM dq_outliers) "
+        f"SELECT * FROM ({_run_metric()}) k UNION ALL "
+        "SELECT 'findings', concat(\"table\", '.', rule), CAST(affected AS DOUBLE), 'count', message FROM findings "
+        "UNION ALL SELECT 'cache', 'deals', CAST(count(*) AS DOUBLE), 'rows', '0 sources read again' FROM deals",
         "clean_deals_csv": f"WITH {_FIRST_DEALS}, "
         "kept AS (SELECT * FROM firsts WHERE deal_status IS NULL OR deal_status <> 'Deal Status'), "
         f"named AS (SELECT ordinal, {_cols(_DEALS, {c: _trim(c) for c in _DEALS})} FROM kept "

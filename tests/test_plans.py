@@ -3,6 +3,7 @@
 import pytest
 
 from bizmetrics.plans import financial, leadership, operational, pipeline
+from bizmetrics import session
 from testkit import catalog
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -73,3 +74,20 @@ def test_filters_reach_a_stored_table(spark, tmp_path):
 def test_summary_is_one_pass(spark):
     orders = catalog.clean_work_orders(spark, SF_DIR)
     assert plan(financial.financial_summary(orders)).count("FileScan") == 1
+
+
+@pytest.mark.parametrize(
+    "name",
+    ["clean_deals", "clean_work_orders", "dq_deals", "dq_work_orders", "parse_dates", "typed_dates",
+     "run_metric", "metric_data", "report_lines", "extract_intent", "interpret_questions", "data_summary"],
+)
+def test_generated_code_compiles(spark, name, monkeypatch):
+    """No stage passes the size that a method of the JVM may have."""
+    monkeypatch.setitem(session.SETTINGS, "spark.sql.adaptive.enabled", "false")
+    executed = catalog.queries()[name](spark, SF_DIR)._jdf.queryExecution().executedPlan()
+    debug = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+    stages = debug.codegenStringSeq(executed)
+    monkeypatch.undo()
+    session.configure(spark)
+    sizes = [stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size())]
+    assert sizes and -1 not in sizes
