@@ -118,8 +118,9 @@ def _parities(shingles: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def _indexed(rows: DataFrame, how: Similarity, shape: sketch.Shape, hot: int) -> DataFrame:
-    """``doc_id, n, d1, d2, prefix, parts`` and the signature: size, digest, first shingles in
-    the global order and into how many parts each one's list is split; stored with a ``rid``."""
+    """``doc_id, fp, n, d1, d2, prefix, parts`` and the signature: size, digest, first shingles
+    in the global order and into how many parts each one's list is split; stored with a
+    ``rid``."""
 
     def keys(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         for _, shingles, _ in shingle_sets(batch.column(0), how):
@@ -145,19 +146,19 @@ def _indexed(rows: DataFrame, how: Similarity, shape: sketch.Shape, hot: int) ->
                 offsets = pa.array(np.concatenate([[0], np.cumsum(take)]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(1).slice(first, len(size)),
+                        batch.column(1).slice(first, len(size)), batch.column(2).slice(first, len(size)),
                         pa.array(size.astype(np.int64)), pa.array(d1), pa.array(d2),
                         pa.ListArray.from_arrays(offsets, pa.array(shingles[chosen].view(np.int64))),
                         pa.ListArray.from_arrays(offsets, pa.array(parts.astype(np.int32))),
                         *[pa.array(np.ascontiguousarray(c)) for c in _parities(shingles, bounds).T],
                     ],
-                    names=["doc_id", "n", "d1", "d2", "prefix", "parts", *SIGNED],
+                    names=["doc_id", "fp", "n", "d1", "d2", "prefix", "parts", *SIGNED],
                 )
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     made = rows.mapInArrow(
         index,
-        f"doc_id {kind}, n long, d1 long, d2 long, prefix array<long>, parts array<int>, "
+        f"doc_id {kind}, fp long, n long, d1 long, d2 long, prefix array<long>, parts array<int>, "
         + ", ".join(f"{c} long" for c in SIGNED),
     )
     return store(made.withColumn("rid", F.monotonically_increasing_id()), "sets")
@@ -282,11 +283,13 @@ def _rooted(ids: DataFrame, roots: DataFrame) -> DataFrame:
 
 def ngram_links(
     docs: DataFrame, how: Similarity, id_col: str = "doc_id", text_col: str = "text",
-    shape: sketch.Shape = SKETCH, hot: int = HOT,
+    shape: sketch.Shape = SKETCH, hot: int = HOT, detail: bool = False,
 ) -> DataFrame:
     """Component of every document under links between similar shingle sets.
 
-    Returns one row per input row: ``doc_id, n_shingles, component_id``. Defined cases: a
+    Returns one row per input row: ``doc_id, n_shingles, component_id``, with ``detail`` also
+    ``fp``, a hash of the text, and ``root``, which names the component whatever its ids (null
+    without shingles). Defined cases: a
     null or blank text has no shingles and links with nothing, so its component is its own
     id; a text with fewer words than a shingle has the whole sequence as its only one; rows
     that repeat an id count as documents of their own with that id; a null id is never the
@@ -294,7 +297,9 @@ def ngram_links(
     columns are ignored, whatever their names.
     """
     prepare(docs.sparkSession)
-    rows = docs.select(F.col(text_col).alias("text"), F.col(id_col).alias("doc_id"))
+    rows = docs.select(
+        F.col(text_col).alias("text"), F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("fp")
+    )
     indexed = _indexed(rows, how, shape, hot)
 
     # One row for equal sets; its rid is the set's id.
@@ -475,12 +480,13 @@ def ngram_links(
         .withColumn("root", F.coalesce("root", "id"))
     )
     smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.join(smallest, "root").select("d1", "d2", "component_id")
+    named = named.join(smallest, "root").select("d1", "d2", "component_id", "root")
     return (
-        indexed.select("doc_id", "n", "d1", "d2")
+        indexed.select("doc_id", "fp", "n", "d1", "d2")
         .join(named, ["d1", "d2"], "left")
         .select(
             "doc_id", F.col("n").alias("n_shingles"),
             F.coalesce("component_id", "doc_id").alias("component_id"),
+            *(["fp", "root"] if detail else []),
         )
     )

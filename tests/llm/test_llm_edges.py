@@ -220,3 +220,22 @@ def test_empty_archive(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     found, same = archive(spark, pages, F.col("record"))
     assert found.collect() == [] and warc.audit(found.drop("record"), same).collect() == []
+
+
+def test_near_copies_with_repeated_and_null_ids(spark):
+    """One row of each group stays, whatever ids its rows and others have."""
+    def text(name, change=None):
+        words = [f"{name}{i}" for i in range(200)]
+        return " ".join(words if change is None else [*words[:-1], change])
+
+    rows = [
+        (5, text("a")), (5, text("a", "x")), (5, text("b")), (None, text("c")), (None, text("c", "x")),
+        (None, text("d")), (7, text("e")), (8, text("e", "x")), (7, text("f")), (None, text("e", "y")),
+        (None, ""), (5, "  "),
+    ]
+    docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars int")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, docs, "").collect()]
+    assert len(got) == len(set(got)) == 8
+    stays = {t.split("0")[0] if t.strip() else t for _, t in got}
+    assert stays == {"a", "b", "c", "d", "e", "f", "", "  "}
+    assert (7, text("e")) in got
