@@ -50,11 +50,16 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id stays. Texts
-    without words are in no group. Rows that repeat a doc_id stay or go together."""
-    linked = ngram_join.ngram_links(docs, NEAR)
-    stay = linked.filter("doc_id <=> component_id").select(F.col("doc_id").alias("stays")).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("stays")), "left_semi").select(*COLUMNS)
+    """Of each group of linked documents one stays: that with the smallest doc_id, of equal
+    ids that with the smallest hash of its text; a null id comes last. Texts without words are
+    in no group. Rows that repeat id and text are one document, and stay or go together."""
+    linked = ngram_join.ngram_links(docs, NEAR, detail=True)
+    alone = linked.filter("root is null").select("doc_id", "fp")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "fp")).alias("one")
+    chosen = linked.filter("root is not null").groupBy("root").agg(first).select("one.doc_id", "one.fp")
+    stay = alone.union(chosen).select(F.col("doc_id").alias("stays"), F.col("fp").alias("stays_fp")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("stays")) & (F.xxhash64("text") == F.col("stays_fp"))
+    return docs.join(stay, same, "left_semi").select(*COLUMNS)
 
 
 @_stage
