@@ -62,7 +62,8 @@ def clamp(c: str) -> str:
 
 def enforce_double(c: str) -> str:
     """Numeric or 0: unreadable, null and NaN become 0."""
-    return f"coalesce(nanvl(try_cast({c} AS DOUBLE), 0D), 0D)"
+    fill = f"{config.NUMERIC_FILL}D"
+    return f"coalesce(nanvl(try_cast({c} AS DOUBLE), {fill}), {fill})"
 
 
 def _where(*conditions: str | None) -> str:

@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 
+from bizmetrics import config
 from bizmetrics.plans import financial, operational, pipeline, report
 from bizmetrics.plans.leadership import leadership_kpis, to_long
 
@@ -67,7 +68,7 @@ def _pipeline_by_stage(r: Request) -> MetricResult:
 
 def _closing_soon(r: Request) -> MetricResult:
     # by month only on explicit request, and then without the sector
-    if r.period == "current_month":
+    if r.period == config.PERIODS[0]:
         data = pipeline.closing_this_month(r.deals, r.as_of)
     else:
         data = pipeline.closing_this_quarter(r.deals, r.as_of, r.sector)

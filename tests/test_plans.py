@@ -45,6 +45,13 @@ def test_catalogues_scan_each_table_once(spark, name):
     assert plan(catalog.queries()[name](spark, SF_DIR)).count("FileScan") == 2
 
 
+def test_findings_scan_each_table_once(spark):
+    """The bound of outliers shares the exchange of the merged copies."""
+    found = catalog.queries()["dq_all"](spark, SF_DIR)
+    found.collect()
+    assert "ReusedExchange" in plan(found)
+
+
 def test_share_reuses_the_grouped_counts(spark):
     df = operational.execution_status_share(catalog.clean_work_orders(spark, SF_DIR))
     df.collect()
