@@ -104,6 +104,76 @@ TEMPLATES = (
         "this is free and unencumbered software released into the public domain",
         ("unencumbered software",),
     ),
+    Template(
+        "bsd-3",
+        "nor the names of its contributors may be used to endorse or promote products derived from this "
+        "software without specific prior written permission",
+        ("endorse or promote products",),
+    ),
+    Template(
+        "lgpl-2",
+        "under the terms of the gnu lesser general public license as published by the free software "
+        "foundation either version 2 1 of the license",
+        ("gnu lesser general public license", "version 2 1"),
+    ),
+    Template(
+        "lgpl-3",
+        "under the terms of the gnu lesser general public license as published by the free software "
+        "foundation either version 3 of the license",
+        ("gnu lesser general public license", "version 3"),
+    ),
+    Template(
+        "agpl-3",
+        "under the terms of the gnu affero general public license as published by the free software "
+        "foundation either version 3 of the license",
+        ("gnu affero general public license", "version 3"),
+    ),
+    Template(
+        "epl-2",
+        "this program and the accompanying materials are made available under the terms of the "
+        "eclipse public license 2 0",
+        ("eclipse public license 2 0",),
+    ),
+    Template(
+        "epl-1",
+        "this program and the accompanying materials are made available under the terms of the "
+        "eclipse public license v1 0",
+        ("eclipse public license v1 0",),
+    ),
+    Template(
+        "cc-by-sa",
+        "this work is licensed under a creative commons attribution sharealike 4 0 international license",
+        ("creative commons attribution sharealike",),
+    ),
+    Template(
+        "cc-by-nc",
+        "this work is licensed under a creative commons attribution noncommercial 4 0 international license",
+        ("creative commons attribution noncommercial 4 0",),
+    ),
+    Template(
+        "cc-by-nc-sa",
+        "this work is licensed under a creative commons attribution noncommercial sharealike 4 0 "
+        "international license",
+        ("attribution noncommercial sharealike",),
+    ),
+    Template(
+        "cc0",
+        "to the extent possible under law the author has waived all copyright and related or "
+        "neighboring rights to this work",
+        ("waived all copyright",),
+    ),
+    Template(
+        "boost",
+        "permission is hereby granted free of charge to any person or organization obtaining a copy of "
+        "the software and accompanying documentation covered by this license",
+        ("any person or organization",),
+    ),
+    Template(
+        "zlib",
+        "permission is granted to anyone to use this software for any purpose including commercial "
+        "applications and to alter it and redistribute it freely subject to the following restrictions",
+        ("including commercial applications",),
+    ),
 )
 
 
