@@ -46,3 +46,22 @@ def components(links: DataFrame) -> DataFrame:
         if after.filter("root <> was").isEmpty():
             drop(both)
             return roots
+
+
+def extended(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots`` after more ``links``: only what joins two components is followed, once for
+    all links between them, so a round costs what it finds and not all links so far."""
+    one, two = (
+        roots.select(F.col("id").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab"
+    )
+    joined = links.join(one, "a", "left").join(two, "b", "left").select(
+        "a", "b", F.coalesce("root_a", "a").alias("root_a"), F.coalesce("root_b", "b").alias("root_b")
+    )
+    joined = store(joined, "links-rooted")
+    between = joined.filter("root_a <> root_b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct()
+    over = components(between).select(F.col("id").alias("root"), F.col("root").alias("beyond"))
+    seen = joined.select(F.col("a").alias("id"), F.col("root_a").alias("root")).union(joined.select("b", "root_b"))
+    every = roots.select("id", "root").union(seen).distinct()
+    out = store(every.join(over, "root", "left").select("id", F.coalesce("beyond", "root").alias("root")), "roots")
+    drop(joined)
+    return out

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bizmetrics.llm import sketch
-from bizmetrics.llm.links import components
+from bizmetrics.llm.links import components, extended
 from bizmetrics.llm.shared import drop, prepare, store
 from bizmetrics.llm.text import chunks, mix, poly, window_hashes, word_bounds, word_hashes
 
@@ -351,8 +351,7 @@ def ngram_links(
         "stars",
     )
     drop(met)
-    links = stars.select("a", "b")
-    roots = components(links)
+    roots = components(stars.select("a", "b"))
     lists = live.select("shingle", "id", "n", (F.col("n") - F.col("pos")).alias("rest"))
 
     # Then other heads, drawn for each list and round, as long as meetings often give links:
@@ -384,8 +383,7 @@ def ngram_links(
         won, tried = new.count(), met.count()
         drop(now, heads, met)
         if won:
-            links = links.union(new)
-            roots = components(links)
+            roots = extended(roots, new)
         if won <= OFTEN * tried:
             break
 
@@ -440,7 +438,7 @@ def ngram_links(
         .withColumn("apart", 1 - F.col("common") / (F.col("n") + F.col("m") - F.col("common"))),
         "heads",
     )
-    links = links.union(heads.filter("link").select("a", "b"))
+    links = heads.filter("link").select("a", "b")
 
     # Between the bounds: members meet, each pair only if its own distances and signatures
     # allow a link.
@@ -473,7 +471,7 @@ def ngram_links(
         )
         sets = _more(sets, rows, of_set, near, how)
         links = links.union(_overlaps(near, sets).filter(f"common >= {enough}").select("a", "b"))
-    roots = components(links)
+    roots = extended(roots, links)
     named = (
         of_set.select("d1", "d2", "id", "least")
         .join(roots, "id", "left")
