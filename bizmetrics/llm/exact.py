@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bizmetrics.llm.shared import numbered, prepare, store
+from bizmetrics.llm.shared import drop, numbered, prepare, store
 
 FIRST_DIGIT = 64
 GROWTH = 16
@@ -88,6 +88,7 @@ def exact_groups(
             ),
             "exact-level",
         )
+        drop(groups)
         done.append(level.filter("final"))
         open_ = level.filter("not final").select("rid", "doc_id", "sha", "rest", "grp")
         if open_.isEmpty():

@@ -17,7 +17,7 @@ from bizmetrics.session import shared_folder
 BATCH_ROWS = "256"
 # Bytes, for rows that hold more: both sides keep a batch at a time.
 BATCH_BYTES = "8m"
-LONG = 2.0  # seconds of a job whose shuffle files are worth a look
+LONG = 1.0  # seconds of a job whose shuffle files are worth a look
 _written: list[str] = []
 
 
