@@ -40,7 +40,7 @@ from bizmetrics.llm.links import components, extended
 from bizmetrics.llm.shared import drop, prepare, store
 from bizmetrics.llm.text import chunks, mix, poly, window_hashes, word_bounds, word_hashes
 
-SKETCH = sketch.Shape(bits=24, rows=1, limit=(1 << 16) - 1)  # 32 MB
+SKETCH = sketch.Shape(bits=22, rows=1, limit=(1 << 16) - 1)  # 8 MB
 WANTED = sketch.Shape(bits=22, rows=2, limit=255)
 SIGNATURE = 8  # long integers
 SIGNED = [f"s{i}" for i in range(SIGNATURE)]
