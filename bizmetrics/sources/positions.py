@@ -44,4 +44,5 @@ def numbered(df: DataFrame, order_by: list[str], name: str = NAME) -> DataFrame:
     keep = [quoted(c) for c in df.columns if c not in order_by]
     starts = run_starts(df, order_by)
     at = F.col("__before") + F.col(quoted(order_by[-1])) - F.col("__least")
-    return df.join(starts, order_by[:-1]).select(at.cast("long").alias(name), *keep)
+    # one row a run, sent to the rows instead of these to it
+    return df.join(F.broadcast(starts), order_by[:-1]).select(at.cast("long").alias(name), *keep)
