@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import types as T
 
 from bizmetrics.sources import board, csv, positions
-from testkit import landing, raw_tables
+from testkit import catalog, landing, raw_tables
 
 ORDERS = 200
 
@@ -86,3 +86,10 @@ def test_an_export_has_files_by_its_rows(spark, tables, monkeypatch):
     read = [r[0] for r in table.orderBy(positions.NAME).select("Deal Name").collect()]
     blank = {None, ""}
     assert [r for r in read if r not in blank][: len(wanted) // 2] == [w for w in wanted if w not in blank][: len(wanted) // 2]
+
+
+def test_stored_pages_are_read_one_by_one(spark, tables):
+    items = catalog.queries()["board_pages_items"](spark, tables)
+    assert items.count() == raw_tables.for_spark(spark, tables, "raw_deals").count()
+    scan = next(x for x in items._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan parquet" in x)
+    assert "Batched: false" in scan
