@@ -9,11 +9,12 @@ sketch; then by hash). Two sets that link share a shingle within the first
   link with a head belong to its *block*, with their distance to it: of n near copies in a
   list that is n meetings, not n * n. Further rounds draw other heads for the sets that are
   in another component than theirs.
+* A meeting costs two shingle sets only if the sets' signatures (parities of hashed shingles,
+  a lower bound of their difference) allow a link: most sets meet by chance.
 * Then blocks of different components meet, not sets. In every list a block is one entry
   with the range of its sizes and the longest rest behind its positions; a pair of entries
   is skipped if no sizes and positions in them could give the overlap, and if the heads'
-  signatures (parities of hashed shingles, a lower bound of their difference) are too far
-  apart for their radii.
+  signatures are too far apart for their radii.
 * The members' answers are derived from those of the heads. Distance is a metric: if the
   heads of two blocks are further apart than the threshold and both distances to the heads
   together, no members link. If the heads link, the blocks are one component, and no member
@@ -44,6 +45,7 @@ SKETCH = sketch.Shape(bits=22, rows=1, limit=(1 << 16) - 1)  # 8 MB
 WANTED = sketch.Shape(bits=22, rows=2, limit=255)
 SIGNATURE = 8  # long integers
 SIGNED = [f"s{i}" for i in range(SIGNATURE)]
+DIFFER = "(" + " + ".join(f"bit_count(x_{c} ^ y_{c})" for c in SIGNED) + ")"
 HOT = 5000
 OFTEN = 0.02  # links a meeting, from which another round of heads is worth its while
 _WORD, _SHINGLE, _SHORT, _DIGEST = 21, 22, 23, 24
@@ -66,6 +68,11 @@ class Similarity:
         """SQL: the least intersection with which sets of n and m link."""
         return f"(({self.num} * ({n} + {m}) + {self.num + self.den - 1}) div {self.num + self.den})"
 
+    @property
+    def most(self) -> float:
+        """The largest distance (1 - similarity) of sets that link, and a little more."""
+        return 1 - self.num / self.den + 1e-9
+
     def sizes(self, n: str, m: str) -> str:
         """SQL: neither size is too large for the other."""
         return f"({self.den} * {n} >= {self.num} * {m} and {self.den} * {m} >= {self.num} * {n})"
@@ -224,6 +231,14 @@ def _lists(how: Similarity):
     return run
 
 
+def _possible(pairs: DataFrame, signed: DataFrame, how: Similarity) -> DataFrame:
+    """The ``pairs`` (a, b, n, m) whose signatures allow a link."""
+    x = signed.select(F.col("id").alias("a"), *[F.col(c).alias(f"x_{c}") for c in SIGNED])
+    y = signed.select(F.col("id").alias("b"), *[F.col(c).alias(f"y_{c}") for c in SIGNED])
+    both = pairs.join(x, "a").join(y, "b")
+    return both.filter(f"2 * {DIFFER} <= {how.most} * (n + m + {DIFFER})").select(*pairs.columns)
+
+
 def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """``pairs`` (a, b) with ``common``: the size of the intersection."""
     one = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
@@ -270,10 +285,15 @@ def _sets(rows: DataFrame, of_set: DataFrame, ids: DataFrame, how: Similarity) -
     return out
 
 
-def _more(sets: DataFrame, rows: DataFrame, of_set: DataFrame, pairs: DataFrame, how: Similarity) -> DataFrame:
-    """``sets`` and those that ``pairs`` need besides."""
-    missing = _ids(pairs).join(sets.select("id").distinct(), "id", "left_anti")
-    return sets if missing.isEmpty() else sets.union(_sets(rows, of_set, missing, how))
+def _compared(pairs: DataFrame, rows: DataFrame, of_set: DataFrame, how: Similarity) -> tuple[DataFrame, DataFrame]:
+    """``pairs`` (a, b) with ``common``, and the sets made for them, to be dropped when read.
+
+    Only the sets of these pairs: those of earlier pairs would be dealt out again each time.
+    """
+    if pairs.isEmpty():
+        return pairs.withColumn("common", F.lit(0).cast("long")), pairs
+    sets = _sets(rows, of_set, _ids(pairs), how)
+    return _overlaps(pairs, sets), sets
 
 
 def _rooted(ids: DataFrame, roots: DataFrame) -> DataFrame:
@@ -333,24 +353,25 @@ def ngram_links(
     # Every set meets the heads of its lists; the least head it links with is its block.
     enough = how.overlap("n", "m")
     meet = f"{how.sizes('n', 'm')} and least(rest, head_rest) >= {enough}"
-    met = store(
+    signatures = indexed.select(F.col("rid").alias("id"), *SIGNED)
+    met = (
         live.select(
             F.col("id").alias("a"), F.col("head").alias("b"), "n", F.col("head_n").alias("m"),
             (F.col("n") - F.col("pos")).alias("rest"), (F.col("head_n") - F.col("head_pos")).alias("head_rest"),
         )
-        .filter(f"a <> b and {meet}").select("a", "b", "n", "m").distinct(),
-        "met",
+        .filter(f"a <> b and {meet}").select("a", "b", "n", "m").distinct()
     )
-    sets = _sets(rows, of_set, _ids(met), how)
+    met = store(_possible(met, signatures, how), "met")
+    compared, sets = _compared(met, rows, of_set, how)
     stars = store(
-        _overlaps(met, sets)
+        compared
         .filter(f"common >= {enough}")
         .groupBy("a")
         .agg(F.min(F.struct("b", (1 - F.col("common") / (F.col("n") + F.col("m") - F.col("common"))).alias("far"))).alias("s"))
         .select("a", F.col("s.b").alias("b"), F.col("s.far").alias("far")),
         "stars",
     )
-    drop(met)
+    drop(met, sets)
     roots = components(stars.select("a", "b"))
     lists = live.select("shingle", "id", "n", (F.col("n") - F.col("pos")).alias("rest"))
 
@@ -378,10 +399,11 @@ def ngram_links(
             .select(F.col("id").alias("a"), "b", "n", "m").distinct(),
             "met",
         )
-        sets = _more(sets, rows, of_set, met, how)
-        new = store(_overlaps(met, sets).filter(f"common >= {enough}").select("a", "b"), "links-drawn")
+        near = store(_possible(met, signatures, how), "met-near")
+        compared, sets = _compared(near, rows, of_set, how)
+        new = store(compared.filter(f"common >= {enough}").select("a", "b"), "links-drawn")
         won, tried = new.count(), met.count()
-        drop(now, heads, met)
+        drop(now, heads, met, near, sets)
         if won:
             roots = extended(roots, new)
         if won <= OFTEN * tried:
@@ -412,8 +434,7 @@ def ngram_links(
     def side(df: DataFrame, name: str) -> DataFrame:
         return df.select("shingle", *[F.col(c).alias(f"{name}_{c}") for c in df.columns if c != "shingle"])
 
-    most = 1 - how.num / how.den + 1e-9
-    differ = "(" + " + ".join(f"bit_count(x_{c} ^ y_{c})" for c in SIGNED) + ")"
+    most, differ = how.most, DIFFER
     meeting = store(
         side(summary, "x").join(side(summary, "y"), "shingle")
         .filter(
@@ -427,17 +448,19 @@ def ngram_links(
         "meeting",
     )
     drop(placed, placed_open, summary)
-    sets = _more(sets, rows, of_set, meeting, how)
     heads = (
         meeting.join(blocks.select(F.col("block").alias("a"), F.col("size").alias("n"), F.col("radius").alias("ra")), "a")
         .join(blocks.select(F.col("block").alias("b"), F.col("size").alias("m"), F.col("radius").alias("rb")), "b")
     )
+    heads = store(heads, "heads-met")
+    compared, sets = _compared(heads, rows, of_set, how)
     heads = store(
-        _overlaps(heads, sets)
+        compared
         .withColumn("link", F.expr(f"common >= {enough}"))
         .withColumn("apart", 1 - F.col("common") / (F.col("n") + F.col("m") - F.col("common"))),
         "heads",
     )
+    drop(meeting, sets)
     links = heads.filter("link").select("a", "b")
 
     # Between the bounds: members meet, each pair only if its own distances and signatures
@@ -447,7 +470,7 @@ def ngram_links(
         back = unsure.select(F.col("b").alias("a"), F.col("a").alias("b"), "apart", F.col("rb").alias("ra"), F.col("ra").alias("rb"))
         other = blocks.select(F.col("block").alias("b"), F.col("size").alias("y_size"), *[F.col(c).alias(f"y_{c}") for c in SIGNED])
         unsure = store(unsure.union(back).join(other, "b"), "unsure")
-        signed = store(member.join(indexed.select(F.col("rid").alias("id"), *SIGNED), "id"), "signed")
+        signed = store(member.join(signatures, "id"), "signed")
         x, y = ([F.col(c).alias(f"{name}_{c}") for c in signed.columns] for name in "xy")
         # A member near enough to the other head, then members near enough to each other.
         towards = store(
@@ -469,8 +492,8 @@ def ngram_links(
             .distinct(),
             "near",
         )
-        sets = _more(sets, rows, of_set, near, how)
-        links = links.union(_overlaps(near, sets).filter(f"common >= {enough}").select("a", "b"))
+        compared, _ = _compared(near, rows, of_set, how)
+        links = links.union(compared.filter(f"common >= {enough}").select("a", "b"))
     roots = extended(roots, links)
     named = (
         of_set.select("d1", "d2", "id", "least")
