@@ -5,8 +5,10 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
-from bizmetrics.llm import ngram_join
+from bizmetrics.llm import links, ngram_join
 
 HOW = ngram_join.Similarity(3, 90, 100)
 
@@ -59,3 +61,26 @@ def test_signatures_keep_every_link(spark):
     kept = {r.a for r in ngram_join._possible(met, signed, HOW).collect()}
     assert {p[0] for p in pairs if p[4]} <= kept
     assert len(kept) < len(pairs)
+
+
+@pytest.fixture
+def many_partitions(spark):
+    names = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    was = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in was.items():
+        spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
+def test_small_components_are_few_files(spark, many_partitions):
+    chains = spark.range(2000).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).filter("a % 10 <> 9")
+    roots = links.components(chains)
+    assert {(r.id, r.root) for r in roots.collect()} == {(i, i - i % 10) for i in range(2000)}
+    cores = spark.sparkContext.defaultParallelism
+    assert len(roots.inputFiles()) <= cores
+    more = links.extended(roots, spark.createDataFrame([(9, 10), (5, 5000)], "a long, b long"))
+    found = {r.id: r.root for r in more.collect()}
+    assert found[19] == 0 and found[5000] == 0 and found[20] == 20 and len(found) == 2001
+    assert len(more.inputFiles()) <= cores
