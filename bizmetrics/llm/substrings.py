@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bizmetrics.llm import sketch
-from bizmetrics.llm.shared import prepare, store
+from bizmetrics.llm.shared import drop, prepare, store
 from bizmetrics.llm.text import Chunk, chunks, window_hashes, window_mask, word_bounds, word_hashes
 
 WINDOW = 50
@@ -120,12 +120,16 @@ def repeated_spans(
         .select("h1", "h2", "first"),
         "first-windows",
     )
-    return (
+    # Stored as well: the windows' shuffle files can go before the texts are dealt out.
+    spans = store(
         found.join(first, ["h1", "h2"])
         .filter("doc_id > first")
         .groupBy("doc_id", "fp")
-        .agg(F.collect_set("start").alias("starts"))
+        .agg(F.collect_set("start").alias("starts")),
+        "repeated-spans",
     )
+    drop(first)
+    return spans
 
 
 def remove_repeated(

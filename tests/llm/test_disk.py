@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from bizmetrics.llm import links, ngram_join
+from bizmetrics.llm import links, ngram_join, substrings
 
 HOW = ngram_join.Similarity(3, 90, 100)
 
@@ -84,3 +84,18 @@ def test_small_components_are_few_files(spark, many_partitions):
     found = {r.id: r.root for r in more.collect()}
     assert found[19] == 0 and found[5000] == 0 and found[20] == 20 and len(found) == 2001
     assert len(more.inputFiles()) <= cores
+
+
+def test_spans_are_stored_before_texts_are_dealt_out(spark):
+    rng = random.Random(7)
+    passage = _words(rng, 55)
+    docs = spark.createDataFrame(
+        [(k, " ".join(_words(rng, 20) + passage)) for k in range(3)], "doc_id long, text string"
+    )
+    spans = substrings.repeated_spans(docs)
+    assert "Exchange" not in spans._jdf.queryExecution().toString()
+    assert {(r.doc_id, tuple(sorted(r.starts))) for r in spans.collect()} == {
+        (k, tuple(range(20, 26))) for k in (1, 2)
+    }
+    removed = {r.doc_id: r.n_removed for r in substrings.remove_repeated(docs).collect()}
+    assert removed == {0: 0, 1: 55, 2: 55}
