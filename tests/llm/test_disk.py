@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from bizmetrics.llm import links, ngram_join, substrings
+from bizmetrics.llm import links, ngram_join, phrases, substrings
 
 HOW = ngram_join.Similarity(3, 90, 100)
 
@@ -99,3 +99,10 @@ def test_spans_are_stored_before_texts_are_dealt_out(spark):
     }
     removed = {r.doc_id: r.n_removed for r in substrings.remove_repeated(docs).collect()}
     assert removed == {0: 0, 1: 55, 2: 55}
+
+
+def test_what_intervals_share_stands_together(spark):
+    rows = phrases._intervals(
+        spark.createDataFrame([], "shard long, psi binary, lows array<int>, lengths array<int>, names array<long>")
+    )
+    assert rows.columns == ["n", "shard", "first", "last", "low"]
