@@ -38,6 +38,18 @@ def _normal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _digits(open_: DataFrame, width: int) -> DataFrame:
+    """``open_`` with its next digit. ``rest`` is what follows it (null: nothing), so that no
+    byte of a text goes through an exchange twice."""
+    ended = F.length("rest") <= width
+    return open_.select(
+        "rid", "doc_id", "sha", "grp",
+        F.substring("rest", 1, width).alias("digit"),
+        ended.alias("ended"),
+        F.when(~ended, F.expr(f"substring(rest, {width + 1})")).alias("rest"),
+    )
+
+
 def exact_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()
 ) -> DataFrame:
@@ -64,11 +76,7 @@ def exact_groups(
     open_ = rows.select("rid", "doc_id", "sha", "rest", F.lit(0).cast("long").alias("grp"))
     width, done = FIRST_DIGIT, []
     while True:
-        digits = open_.select(
-            "rid", "doc_id", "sha", "grp", "rest",
-            F.substring("rest", 1, width).alias("digit"),
-            (F.length("rest") <= width).alias("ended"),
-        )
+        digits = _digits(open_, width)
         keys = ["grp", "digit", "ended"]
         # Stored, so that the join has an exchange on both sides and can split a hot digit.
         groups = store(
@@ -84,11 +92,13 @@ def exact_groups(
             digits.join(groups, keys).select(
                 "rid", "doc_id", "sha", "group_size", "last", final.alias("final"),
                 F.col("next").alias("grp"),
-                F.when(~final, F.expr(f"substring(rest, {width + 1})")).alias("rest"),
+                F.when(~final, F.col("rest")).alias("rest"),
             ),
             "exact-level",
         )
         drop(groups)
+        if not done and not carry:
+            drop(rows)
         done.append(level.filter("final"))
         open_ = level.filter("not final").select("rid", "doc_id", "sha", "rest", "grp")
         if open_.isEmpty():

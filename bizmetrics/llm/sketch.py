@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from bizmetrics.llm.shared import once
 from bizmetrics.llm.text import mix
 
 BLOCK_BITS = 16
@@ -101,9 +102,10 @@ def _merged(
         for b, total in sums.items():
             yield _rows({b: finish(total.astype(shape.dtype))})
 
-    parts = df.mapInArrow(build, _SCHEMA).repartition("block").mapInArrow(merge, _SCHEMA)
     # As many rows as the sketch has blocks, whatever the input.
-    for batch in parts.toArrow().to_batches():
+    with once(df.sparkSession):
+        merged = df.mapInArrow(build, _SCHEMA).repartition("block").mapInArrow(merge, _SCHEMA).toArrow()
+    for batch in merged.to_batches():
         yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
 
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import os
 import random
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from bizmetrics.llm import links, ngram_join, phrases, substrings
+from bizmetrics.llm import exact, links, ngram_join, phrases, shared, sketch, substrings
 
 HOW = ngram_join.Similarity(3, 90, 100)
 
@@ -106,3 +108,60 @@ def test_what_intervals_share_stands_together(spark):
         spark.createDataFrame([], "shard long, psi binary, lows array<int>, lengths array<int>, names array<long>")
     )
     assert rows.columns == ["n", "shard", "first", "last", "low"]
+
+
+def _shuffle_files(spark):
+    held = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {n for n in (held.apply(i).getName() for i in range(held.size())) if n.startswith("shuffle_")}
+
+
+def _left(spark, before):
+    """Shuffle files made since that are still there two seconds later."""
+    for _ in range(20):
+        if not _shuffle_files(spark) - before:
+            break
+        time.sleep(0.1)
+    return _shuffle_files(spark) - before
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    before = _shuffle_files(spark)
+    counted = spark.range(10000).groupBy((F.col("id") % 100).alias("k")).count()
+    table = shared.store(counted.join(spark.range(100).withColumnRenamed("id", "k").repartition("k"), "k"), "counted")
+    assert not _left(spark, before)
+    assert spark.conf.get(shared.CLEANUP, None) is None
+    assert table.count() == 100
+
+
+def test_sketches_leave_no_shuffle_files(spark):
+    before = _shuffle_files(spark)
+    shape = sketch.Shape(bits=16, rows=1)
+    table = sketch.count(spark.range(1000), lambda b: iter([b.column(0).to_numpy().view(np.uint64)]), shape)
+    assert table.sum() == 1000
+    assert not _left(spark, before)
+
+
+def test_stored_tables_are_packed(spark):
+    assert all(name.endswith(".zstd.parquet") for name in shared.store(spark.range(10), "ten").inputFiles())
+
+
+def test_no_byte_of_a_text_is_dealt_out_twice(spark):
+    rows = spark.createDataFrame(
+        [(i, i, "s", bytearray(b"x" * n), 0) for i, n in enumerate((0, 3, 64, 65, 300))],
+        "rid long, doc_id long, sha string, rest binary, grp long",
+    )
+    found = {r.rid: (len(r.digit), r.ended, r.rest and len(r.rest)) for r in exact._digits(rows, 64).collect()}
+    assert found == {0: (0, True, None), 1: (3, True, None), 2: (64, True, None), 3: (64, False, 1), 4: (64, False, 236)}
+
+
+def test_texts_are_deleted_when_dealt_out(spark):
+    docs = spark.createDataFrame([(1, "a" * 100), (2, "A" * 100), (3, "b")], "doc_id long, text string")
+    before = len(shared._written)
+    out = exact.exact_groups(docs)
+    there = [p for p in shared._written[before:] if os.path.exists(p)]
+    assert there and not [p for p in there if "exact-rows" in p]
+    assert {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in out.collect()} == {
+        (1, 2, 2, False), (2, 2, 2, True), (3, 3, 1, True)
+    }
+    held = exact.exact_groups(docs, carry=("text",))
+    assert {r.doc_id: r.text for r in held.collect()} == {1: "a" * 100, 2: "A" * 100, 3: "b"}
