@@ -349,6 +349,9 @@ def ngram_links(
         ),
         "lists",
     )
+    # The first shingles, hashes that nothing packs, are in the lists now.
+    wide, indexed = indexed, store(indexed.drop("prefix", "parts"), "signed-sets")
+    drop(wide)
 
     # Every set meets the heads of its lists; the least head it links with is its block.
     enough = how.overlap("n", "m")

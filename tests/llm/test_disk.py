@@ -165,3 +165,11 @@ def test_texts_are_deleted_when_dealt_out(spark):
     }
     held = exact.exact_groups(docs, carry=("text",))
     assert {r.doc_id: r.text for r in held.collect()} == {1: "a" * 100, 2: "A" * 100, 3: "b"}
+
+
+def test_first_shingles_are_deleted_when_in_lists(spark):
+    before = len(shared._written)
+    out = ngram_join.ngram_links(_chance_and_copies(spark), HOW)
+    there = [os.path.basename(p) for p in shared._written[before:] if os.path.exists(p)]
+    assert there and not [name for name in there if name.startswith("sets-")]
+    assert {r.doc_id: r.component_id for r in out.collect()} == {i: i for i in range(11)} | {11: 10}
