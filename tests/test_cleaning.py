@@ -93,6 +93,52 @@ def test_hot_key_is_cut_before_the_shuffle(spark):
     assert [(r["o"], r["copies"]) for r in hot] == [(0, 10000)]
 
 
+@pytest.mark.parametrize("numeric", [[], ["v"]])
+def test_keep_first_of_wide_rows(spark, numeric, monkeypatch):
+    """The same rows, also where all keys share one word of the sketch."""
+    df = spark.createDataFrame(KEYED, "o int, k string, v string, note string")
+    want = sorted(dedupe.keep_first(df, ["k", "v", "absent"], ["o"], numeric).collect(), key=str)
+    for words in (dedupe._WORDS, 4):
+        monkeypatch.setattr(dedupe, "_WORDS", words)
+        monkeypatch.setattr(dedupe, "_BLOCK", min(words, 2))
+        kept = dedupe.keep_first_wide(df, ["k", "v", "absent"], ["o"], numeric)
+        assert kept.columns == df.columns and sorted(kept.collect(), key=str) == want
+    whole = spark.createDataFrame([(1, "x"), (2, "x"), (3, "y")], "o int, c string")
+    assert dedupe.keep_first_wide(whole, ["absent"], ["o"]).count() == 2
+
+
+def test_rows_of_one_copy_are_not_shuffled(spark, tmp_path):
+    """Of 30000 wide rows 200 share their key with another: the exchange of whole rows has few
+    more, though which they are is known to the data alone."""
+    df = spark.range(0, 30000, 1, 6).selectExpr(
+        "id AS o", "CAST(CASE WHEN id >= 29900 THEN id - 29900 ELSE id END AS STRING) AS `Serial #`",
+        "repeat(sha2(CAST(id AS STRING), 256), 8) AS SECTOR",
+    )
+    df.write.parquet(str(tmp_path / "wide"))
+    kept = cleaning.distinct_work_orders(spark.read.parquet(str(tmp_path / "wide")), ["o"])
+    assert {r["o"] for r in kept.select("o").collect()} == set(range(29900))
+    kept.collect()
+    moved = kept._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in moved
+    assert largest_exchange(kept) < 1 << 20
+
+
+def largest_exchange(df):
+    """Bytes, of the executed plan's exchanges without those of subqueries."""
+    todo, sizes = [df._jdf.queryExecution().executedPlan()], [0]
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "Exchange":
+            sizes.append(node.metrics().apply("dataSize").value())
+        if node.nodeName() == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+        elif node.nodeName().endswith("QueryStage"):
+            todo.append(node.plan())
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return max(sizes)
+
+
 RAW_DEALS = [
     (0, "Deal 1 ", "C1", "open", "₹ 1,000", "mining sector", "25/03/2024", "high"),
     (1, "Deal 1 ", "C1", "won", "₹ 1,000", "later copy", "x", "low"),
