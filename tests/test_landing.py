@@ -93,3 +93,23 @@ def test_stored_pages_are_read_one_by_one(spark, tables):
     assert items.count() == raw_tables.for_spark(spark, tables, "raw_deals").count()
     scan = next(x for x in items._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan parquet" in x)
     assert "Batched: false" in scan
+
+
+def test_work_orders_csv_is_made_without_a_copy(spark, tables, tmp_path):
+    """Straight from the source rows, and in the spelling of the stored table: banner and
+    header stand before the rows of each file, also where there are none."""
+    headers = list(raw_tables.WORK_ORDER_HEADERS.values())
+
+    def cells(path):
+        table = csv.read_work_orders_csv(spark, path)
+        return sorted(map(str, table.select(*[f"`{c}`" for c in headers]).collect()))
+
+    direct = cells(landing.work_orders_csv(spark, tables))
+    assert not any(key[1:] == (tables, "raw_work_orders") for key in landing._landed)
+    copy = f"{tmp_path}/copy"
+    for name in ("orders", "lineitem"):
+        spark.read.parquet(f"{tables}/{name}.parquet").write.parquet(f"{copy}/{name}.parquet")
+    assert landing.raw_work_orders(spark, copy).count() == len(direct) > ORDERS
+    assert cells(landing.work_orders_csv(spark, copy)) == direct
+    spark.read.parquet(f"{tables}/lineitem.parquet").limit(0).write.parquet(f"{copy}/none/lineitem.parquet")
+    assert cells(landing.work_orders_csv(spark, f"{copy}/none")) == []
